@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, token_files
+from . import byte_bpe, quality_rules, shards, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": shards.op3_sharding,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_token_files": token_files.op10_token_files,
