@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, quality_rules, shards, token_files, url_filter, warc
+from . import byte_bpe, decontaminate, quality_knn, quality_rules, shards, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": warc.op2_warc,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_quality_classifier": quality_knn.op9_quality_classifier,
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLES: dict[str, str] = {
