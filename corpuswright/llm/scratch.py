@@ -28,9 +28,14 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """URI of a folder that does not exist yet, under the shared folder."""
-    return f"{shared_root(spark)}/corpuswright/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/corpuswright/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -60,6 +65,18 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete everything that queries of this session have left; only when none of it is needed."""
-    remove(spark, f"{shared_root(spark)}/corpuswright")
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the folders made since the mark; only when no plan needs them any more."""
+    for path in _made[since:]:
+        remove(spark, path)
+    del _made[since:]
+
+
+def fresh_name(label: str) -> str:
+    """A name for a folder that nothing else has."""
+    return f"{''.join(c if c.isalnum() else '-' for c in label)}-{uuid.uuid4().hex}"
