@@ -176,9 +176,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_re
 b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
 g AS (SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS gram FROM b WHERE len(w) > 0),
 l AS (SELECT DISTINCT n FROM g),
-x AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS at, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM d, l WHERE len(w) >= n),
-h AS (SELECT r, at, x.n, item_id FROM x JOIN g ON x.gram = g.gram AND x.n = g.n),
-c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS p FROM h) GROUP BY r),
+x AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM d, l WHERE len(w) >= n),
+h AS (SELECT r, pos, x.n, item_id FROM x JOIN g ON x.gram = g.gram AND x.n = g.n),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS p FROM h) GROUP BY r),
 i AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::varchar AS s FROM h) GROUP BY r)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
