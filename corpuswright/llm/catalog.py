@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, jaccard_join, quality_knn, quality_rules, shards, token_files, url_filter, warc
+from . import byte_bpe, decontaminate, jaccard_join, quality_knn, quality_rules, shards, token_counts, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_warc": warc.op2_warc,
     "op3_sharding": shards.op3_sharding,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
