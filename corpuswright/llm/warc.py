@@ -169,7 +169,9 @@ def read(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_bytes:
                     rows.append((_id(warc["WARC-Record-ID"]), None if "X-No-Target" in warc else warc["WARC-Target-URI"], kind, _id(warc.get("WARC-Refers-To")), digest, int(http["Content-Length"]), payload if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], names=[c.split()[0] for c in RECORD.split(", ")])
 
-    return ranges(index, read_bytes, gap_bytes).mapInArrow(run, RECORD)
+    # the index is small beside the archives: without a number of its own, one task would read them all
+    spread = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges(index, read_bytes, gap_bytes).repartition(spread).mapInArrow(run, RECORD)
 
 
 def _id(uri: str | None) -> int | None:
