@@ -9,7 +9,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -73,6 +73,15 @@ def ascii_fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once a row.
+
+    Within a lambda an expression is evaluated for every element; an explode of one element keeps the
+    optimiser from copying it there.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def words(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit("[a-z0-9]+"), 0)
 
