@@ -15,14 +15,16 @@ result is exact for any sketch.
 Groups of copies. Documents with equal sets are one class, told apart by a 64-bit hash of the set;
 each task lists a class once, so a hot group of copies sends no more postings than there are
 tasks. Shingles of hot groups of near copies are salted by their estimated frequency, so that no
-run of equal shingles is longer than about ``hot_run``. Near copies are not paired with each other:
-each document is first verified against a hub, the first or last document in its runs, of which the
-one it shares most with is taken. Linked documents become components; after that, only shingles that
-occur in more than one component are left, and all their cross-component pairs are counted, checked
-against both l and verified. A pair within a component needs no check, as it can't change the
-components. No link between components is lost.
-
-Verification reads whole texts again, of the documents in pairs only: a Bloom filter of fixed
+run of equal shingles is longer than about ``hot_run``. Near copies are not all paired with each other.
+Each document is measured against a hub, the most central document of its runs, and against the
+hub's own hub and so on, the root of its family; the links make components. For documents of one root, what a pair can share is bounded by their overlaps with the
+hub, so only pairs are left that share some shingle which the hub lacks: in a group of near copies,
+those with an edit in common. For documents of different roots, the shingles are left that occur
+in several components and families, and their pairs are checked against both l. All pairs that are
+left, in different components, are measured. A pair within a component needs no check, as it can't
+change the components. No link between components is lost.
+
+Measuring reads whole texts again, of documents that share a posting only: a Bloom filter of fixed
 size passes their ids, so that other texts aren't shuffled; it is an optimisation and exact
 membership is checked by the join after it.
 
@@ -197,7 +199,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, p: Params) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """Postings of shingles that two classes or more have, with the first and last class of their run.
+    """Postings of shingles that two classes or more have.
 
     Runs of one shingle and salt stand together, sorted by class. A salted shingle is kept even if
     its run has one class, since other runs may have more.
@@ -220,7 +222,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
             yield _runs(rest)
 
     placed = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "set_id")
-    return scratch.cut(placed.mapInArrow(run, POSTING + ", low long, low_n int, high long, high_n int"), "postings")
+    return scratch.cut(placed.mapInArrow(run, POSTING), "postings")
 
 
 def _runs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -228,14 +230,13 @@ def _runs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1]) | (ids[1:] != ids[:-1])
     t = {c: x[new] for c, x in t.items()}
-    s, salt, ids, n = t["shingle"], t["salt"], t["set_id"], t["n"]
+    s, salt = t["shingle"], t["salt"]
     start = np.ones(len(s), bool)
     start[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])
     run = np.cumsum(start) - 1
     at = np.flatnonzero(start)
     end = np.append(at[1:], len(s)) - 1
     keep = (end - at > 0)[run] | (salt > 0)
-    t |= {"low": ids[at][run], "low_n": n[at][run], "high": ids[end][run], "high_n": n[end][run]}
     return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in t.values()], names=list(t))
 
 
@@ -244,29 +245,133 @@ def _alike(a: str, b: str, p: Params) -> str:
     return f"100L * least({a}, {b}) >= {p.percent}L * greatest({a}, {b})"
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def hub_pairs(shared: DataFrame, p: Params) -> DataFrame:
-    """(a, b): every class with that hub, of the first and last classes of its runs, that it meets most often."""
-    sides = [shared.select("set_id", F.col(h).alias("hub")).where(f"set_id <> hub AND {_alike('n', f'{h}_n', p)}") for h in ("low", "high")]
-    met = sides[0].unionAll(sides[1]).groupBy("set_id", "hub").agg(F.count("*").alias("c"))
-    best = met.groupBy("set_id").agg(F.max(F.struct("c", F.col("hub"))).alias("x")).select(F.col("set_id").alias("a"), F.col("x.hub").alias("b"))
+    """(set_id, hub): every class with the hub that it meets most often.
+
+    The hub of a run is the class that has most of its prefix in common with others: in a group of
+    near copies that is the text that the others were made from, or the one nearest to it.
+    """
+    whole = F.expr(f"n - (({p.percent} * n + 99) div 100) + matches")
+    central = shared.groupBy("set_id").agg((1000 * F.count("*") / F.first(whole)).cast("int").alias("weight"))
+    weighed = shared.join(central, "set_id").select("shingle", "salt", "set_id", "n", F.struct("weight", F.col("set_id").alias("hub"), F.col("n").alias("m")).alias("w"))
+    top = F.max("w").over(Window.partitionBy("shingle", "salt"))
+    hubbed = weighed.select("shingle", "salt", "set_id", "n", top.alias("w")).select("shingle", "salt", "set_id", "n", "w.*")
+    met = hubbed.where(f"set_id <> hub AND {_alike('n', 'm', p)}").groupBy("set_id", "hub").agg(F.count("*").alias("c"), F.max("weight").alias("weight"))
+    best = met.groupBy("set_id").agg(F.max(F.struct("c", "weight", "hub")).alias("x")).select("set_id", "x.hub")
     # the hubs of a salted shingle's runs meet each other
-    hubs = shared.where("salt > 0").select("shingle", F.explode(F.array(F.struct(F.col("low").alias("s"), F.col("low_n").alias("m")), F.struct(F.col("high").alias("s"), F.col("high_n").alias("m")))).alias("h")).select("shingle", "h.*").distinct()
-    tops = hubs.groupBy("shingle").agg(F.min(F.struct("s", "m")).alias("t"))
-    joined = hubs.join(tops, "shingle").where(f"s <> t.s AND {_alike('m', 't.m', p)}").select(F.col("s").alias("a"), F.col("t.s").alias("b"))
-    pairs = best.unionAll(joined)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def cross_pairs(shared: DataFrame, joined: DataFrame, p: Params) -> DataFrame:
-    """(a, b): all candidates in different components; their prefixes share as many shingles as the smaller l asks for."""
-    rows = shared.select("shingle", "set_id", "n", "matches").join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    rows = scratch.cut(rows, "cross")
-    several = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    hubs = hubbed.where("salt > 0").select("shingle", "hub", "m", "weight").distinct()
+    tops = hubs.groupBy("shingle").agg(F.max(F.struct("weight", F.col("hub").alias("h"), F.col("m").alias("k"))).alias("t"))
+    joined = hubs.join(tops, "shingle").where(f"hub <> t.h AND {_alike('m', 't.k', p)}").select(F.col("hub").alias("set_id"), F.col("t.h").alias("hub"))
+    return best.unionAll(joined).distinct()
+
+
+HUBBED = "set_id long, hub long, n int, overlap int, linked boolean, whole boolean, rest array<long>"
+
+
+def to_hubs(hubs: DataFrame, texts: DataFrame, sketch: np.ndarray, p: Params) -> DataFrame:
+    """Every class measured against its hubs (set_id, hub), from their whole texts.
+
+    ``overlap`` counts the shingles that both have; ``rest`` are the class's others, all of them
+    (``whole``), or the rarest ones if any partner must share so many of them that these are enough.
+    """
+    x = texts.select("set_id", F.col("text").alias("text_a"))
+    y = texts.select(F.col("set_id").alias("hub"), F.col("text").alias("text_b"))
+    shared = hubs.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known, out = {}, []
+            for i in range(b.num_rows):
+                hub = b.column("hub")[i].as_py()
+                if hub not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[hub] = _set_of(b.column("text_b")[i], p)
+                s, t = _set_of(b.column("text_a")[i], p), known[hub]
+                inside = np.isin(s, t, assume_unique=True)
+                same, rest = int(inside.sum()), s[~inside]
+                # a partner has ceil(percent * n) of the shingles, of which the hub's own are at most these
+                spare = -(-p.percent * len(s) // 100) - same
+                if spare > 1:
+                    often = shared.value[_cells(rest, p.sketch_width)]
+                    rest = rest[np.lexsort((rest, often))][: max(0, len(rest) - spare + 1)]
+                out.append((hub, len(s), same, 100 * same >= p.percent * (len(s) + len(t) - same), spare <= 1, rest.view(np.int64)))
+            columns = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("set_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[c.split()[0] for c in HUBBED.split(", ")])
+
+    joined = hubs.join(x, "set_id").join(y, "hub").select("set_id", "hub", "text_a", "text_b")
+    return scratch.cut(joined.mapInArrow(run, HUBBED), "to-hubs")
+
+
+def _set_of(text: pa.Scalar, p: Params) -> np.ndarray:
+    buf = np.frombuffer(text.as_buffer(), np.uint8)
+    return shingle_sets(buf, np.array([0, len(buf)]), p.k).values
+
+
+def roots(hubs: DataFrame, jumps: int = 4) -> DataFrame:
+    """(set_id, hub) with the hub's hub and so on, a power of two of steps up: hubs are ever more central."""
+    up = hubs.groupBy("set_id").agg(F.max("hub").alias("hub"))
+    for _ in range(jumps):
+        above = up.select(F.col("set_id").alias("hub"), F.col("hub").alias("next"))
+        up = scratch.cut(up.join(above, "hub", "left").select("set_id", F.coalesce("next", "hub").alias("hub")), "roots")
+    return up
+
+
+def families(measured: DataFrame, root: DataFrame) -> DataFrame:
+    """(set_id, hub, n, overlap, whole, rest): every class with its root; a root is its own."""
+    best = measured.drop("linked").join(root, ["set_id", "hub"], "left_semi")
+    hubs = root.select(F.col("hub").alias("set_id")).distinct().withColumn("is_hub", F.lit(True))
+    marked = best.join(hubs, "set_id", "left")
+    own = lambda c, v: F.when(F.col("is_hub"), v).otherwise(F.col(c)).alias(c)
+    return marked.select("set_id", own("hub", F.col("set_id")), "n", own("overlap", F.col("n")), own("whole", F.lit(True)), own("rest", F.expr("cast(array() as array<bigint>)")))
+
+
+def _least_shared(n: str, m: str, p: Params) -> str:
+    """SQL: shingles that sets of these sizes must share to link."""
+    return f"(({p.percent}L * ({n} + {m}) + {99 + p.percent}L) div {100 + p.percent}L)"
+
+
+def family_pairs(family: DataFrame, p: Params) -> DataFrame:
+    """(a, b): all candidates in different components among the classes of one hub.
+
+    Two classes share at most the smaller of their overlaps with the hub, and what they share
+    besides. If the first is too little for a link, they must have a shingle in common that the hub
+    lacks, and if all of these are listed, as many as are wanting. If the first might be enough, which
+    takes texts shorter than the hub's, the pair is taken as it is.
+    """
+    sides = {}
+    for s in "ab":
+        sides[s] = family.select("hub", *(F.col(c).alias(f"{s}_{c}") for c in ("set_id", "n", "overlap", "whole", "component")), F.col("rest").alias(f"{s}_rest"))
+    differ = f"a_set_id < b_set_id AND a_component <> b_component AND {_alike('a_n', 'b_n', p)}"
+    wanting = f"({_least_shared('a_n', 'b_n', p)} - least(a_overlap, b_overlap))"
+    listed = {s: sides[s].select("*", F.explode(f"{s}_rest").alias("shingle")).drop(f"{s}_rest") for s in "ab"}
+    met = listed["a"].join(listed["b"], ["hub", "shingle"]).where(f"{differ} AND {wanting} > 0")
+    counted = met.groupBy(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).agg(F.count("*").alias("c"), F.first(F.expr(f"CASE WHEN a_whole AND b_whole THEN {wanting} ELSE 1 END")).alias("need"))
+    # overlaps that may be enough: only of classes that are smaller, together, than their overlap allows
+    loose = family.groupBy("hub").agg(F.min("n").alias("smallest"))
+    may = {s: sides[s].drop(f"{s}_rest").join(loose, "hub").where(f"{_least_shared(f'{s}_n', 'smallest', p)} <= {s}_overlap").drop("smallest") for s in "ab"}
+    near = may["a"].join(may["b"], "hub").where(f"{differ} AND {wanting} <= 0")
+    return counted.where("c >= need").select("a", "b").unionAll(near.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")))
+
+
+def cross_pairs(shared: DataFrame, family: DataFrame, p: Params) -> DataFrame:
+    """(a, b): all candidates in different components that have not one hub in common.
+
+    Their prefixes share as many shingles as the smaller l asks for.
+    """
+    rows = shared.select("shingle", "set_id", "n", "matches").join(family.select("set_id", "hub", "component"), "set_id", "left")
+    rows = scratch.cut(rows.withColumns({"hub": F.coalesce("hub", "set_id"), "component": F.coalesce("component", "set_id")}), "cross")
+    several = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("hub").alias("u"), F.max("hub").alias("v")).where("x <> y AND u <> v").select("shingle")
     left = scratch.cut(rows.join(several, "shingle", "left_semi"), "cross")
     scratch.drop(rows)
-    x = left.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("set_id", "n", "matches", "component")))
-    y = left.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("set_id", "n", "matches", "component")))
-    met = x.join(y, "shingle").where(f"a_set_id < b_set_id AND a_component <> b_component AND {_alike('a_n', 'b_n', p)}")
+    x = left.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("set_id", "n", "matches", "component", "hub")))
+    y = left.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("set_id", "n", "matches", "component", "hub")))
+    met = x.join(y, "shingle").where(f"a_set_id < b_set_id AND a_component <> b_component AND a_hub <> b_hub AND {_alike('a_n', 'b_n', p)}")
     counted = met.groupBy(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("a_matches", "b_matches")).alias("need"))
     return counted.where("c >= need").select("a", "b")
 
@@ -310,16 +415,12 @@ def texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, p: Params)
     return scratch.cut(found, "texts")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets really link."""
-    pairs = scratch.cut(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
-    texts = texts_of(docs, wanted, classes, p)
+def linked(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) of class ids that really link, from their whole texts (set_id, text)."""
     x, y = (texts.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # a hub's text stands in many rows, one after the other
             known: dict[int, np.ndarray] = {}
             out = []
             for i in range(b.num_rows):
@@ -327,10 +428,9 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) ->
                 for c in ("a", "b"):
                     key = b.column(c)[i].as_py()
                     if key not in known:
-                        if len(known) > 256:
+                        if len(known) > 64:
                             known.clear()
-                        buf = np.frombuffer(b.column(f"text_{c}")[i].as_buffer(), np.uint8)
-                        known[key] = shingle_sets(buf, np.array([0, len(buf)]), p.k).values
+                        known[key] = _set_of(b.column(f"text_{c}")[i], p)
                     sides.append(known[key])
                 s, t = sides
                 same = len(np.intersect1d(s, t, assume_unique=True))
@@ -338,7 +438,18 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) ->
             yield b.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     joined = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
-    return scratch.cut(joined.mapInArrow(run, "a long, b long"), "verified")
+    return scratch.cut(joined.mapInArrow(run, "a long, b long"), "linked")
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of classes with further links (a, b) between them."""
+    name = joined.select("node", "component")
+    hops = links.join(name.withColumnsRenamed({"node": "a", "component": "x"}), "a", "left").join(name.withColumnsRenamed({"node": "b", "component": "y"}), "b", "left")
+    tops = components(hops.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    again = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = name.join(again, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = tops.join(name.select("node"), "node", "left_anti")
+    return scratch.cut(old.unionAll(new), "components")
 
 
 def cluster(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -347,20 +458,23 @@ def cluster(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rows = surveyed.where("block IS NULL").select("doc_id", "set_id", "n")
     linking = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(linking.groupBy("set_id").agg(F.min("doc_id").alias("first_id")), "classes")
-    shared = shared_postings(postings(docs, read_sketch(surveyed, p), p))
-    near = verify(hub_pairs(shared, p), docs, classes, p)
-    joined = scratch.cut(components(near), "components")
-    far = verify(cross_pairs(shared, joined, p), docs, classes, p)
-    # components of the first links are the nodes of the second
-    name = joined.select("node", "component")
-    hops = far.join(name.withColumnsRenamed({"node": "a", "component": "x"}), "a", "left").join(name.withColumnsRenamed({"node": "b", "component": "y"}), "b", "left")
-    again = scratch.cut(components(hops.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))), "components")
-    labelled = classes.join(name.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    labelled = labelled.join(again.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").withColumn("top", F.coalesce("top", "component"))
-    labelled = scratch.cut(labelled.select("set_id", "first_id", "top"), "labelled")
+    sketch = read_sketch(surveyed, p)
+    shared = shared_postings(postings(docs, sketch, p))
+    texts = texts_of(docs, shared.select("set_id").distinct(), classes, p)
+    hubs = scratch.cut(hub_pairs(shared, p), "hubs")
+    root = roots(hubs)
+    measured = to_hubs(scratch.cut(hubs.unionAll(root).distinct(), "hubs"), texts, sketch, p)
+    joined = scratch.cut(components(measured.where("linked").select(*_pair("set_id", "hub"))), "components")
+    family = families(measured, root).join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
+    family = scratch.cut(family.withColumn("component", F.coalesce("component", "set_id")), "families")
+    pairs = scratch.cut(family_pairs(family, p).unionAll(cross_pairs(shared, family, p)), "pairs")
+    scratch.drop(shared)
+    joined = _merged(joined, linked(pairs, texts, p))
+    labelled = classes.join(joined.select(F.col("node").alias("set_id"), F.col("component").alias("top")), "set_id", "left").withColumn("top", F.coalesce("top", "set_id"))
+    labelled = scratch.cut(labelled, "labelled")
     least = labelled.groupBy("top").agg(F.min("first_id").alias("component_id"))
     by_set = scratch.cut(labelled.join(least, "top").select("set_id", "component_id"), "by-set")
-    scratch.drop(shared)
+    scratch.drop(texts, measured, family, pairs)
     out = rows.join(by_set, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "set_id")
