@@ -10,8 +10,8 @@ products with all labelled vectors are computed block by block, and its nearest
 each with its similarity to the power ``sharpness`` and the inverse share of its class in the sample.
 
 Only the text is an input of a score. Labels are learnt from rows whose crc32 of the id modulo 4 is
-not 2; of these, those lowest by a hash of the id make the sample, an equal number of each class
-as far as there are that many.
+not 2 and whose document is in the input; of these, those lowest by a hash of the id make the sample,
+an equal number of each class as far as there are that many.
 
 Defined results: a null or empty text has a zero vector and gets the sample's prior, as does any
 document when no labelled row exists (0.5 then); a null doc_id is never held out (its crc32 is null)
@@ -151,9 +151,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | None:
-    """A model from at most ``sample_rows`` labelled rows outside the held-out ones."""
+    """A model from at most ``sample_rows`` labelled rows of ``docs`` outside the held-out ones."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    one = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    here = docs.select("doc_id").distinct()  # the limits of each class are filled with rows that docs has
+    one = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(here, "doc_id", "left_semi")
     half = p.sample_rows // 2
     pick = lambda good, n: one.where((F.col("quality") == 1) == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     bad = pick(False, half)

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from corpuswright.llm import quality_knn as q
+from corpuswright.llm import quality_rules
 
 
 def test_held_out_accuracy(spark):
@@ -52,3 +53,26 @@ def test_odd_tables(spark):
     one = q.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int"))
     assert q.score(docs, one).count() == 5 and q.score(docs.limit(0), one).count() == 0
     assert q.stage(spark, docs, none).columns == docs.columns
+
+
+def test_bad_rows_that_the_rules_let_through_are_learnt_from(spark):
+    """The labels table holds many more bad ids than the limit of a class, and most aren't in the stage's input."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    # letters changed one for one: the rules' counts stay as they are
+    turned = q.F.translate("text", "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm")
+    planted = docs.where("doc_id % 5 = 0").withColumn("text", turned).withColumn("doc_id", q.F.col("doc_id") + 1_000_000)
+    kept = quality_rules.stage(spark, docs.unionByName(planted), labels)
+    bad = planted.where("doc_id % 2 = 0").selectExpr("doc_id", "0 as quality")
+    gone = spark.range(2_000_000, 2_060_000).selectExpr("id as doc_id", "0 as quality")
+    known = labels.select("doc_id", "quality").unionByName(bad).unionByName(gone)
+    want = {r.doc_id for r in bad.join(kept, "doc_id", "left_semi").where(~q.held_out(q.F.col("doc_id"))).collect()}
+    assert len(want) > 40
+    model = q.fit(kept, known)
+    assert (model.bad > 0).sum() == len(want)
+    left = {r.doc_id for r in q.stage(spark, kept, known).select("doc_id").collect()}
+    before = {r.doc_id for r in kept.select("doc_id").collect()}
+    unseen = {i for i in before if i >= 1_000_000} - want
+    assert len(unseen) > 40 and len(unseen & left) < 0.1 * len(unseen)
+    good = {i for i in before if i < 1_000_000}
+    assert len(good & left) > 0.97 * len(good)
