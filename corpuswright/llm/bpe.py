@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -63,6 +64,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def load_added(path: str) -> dict[bytes, int]:
+    """Bytes of the added tokens of a ``.json`` file to id; another file has none."""
+    if not path.endswith(".json"):
+        return {}
+    added = [t for t in json.loads(read_bytes(path)).get("added_tokens", []) if t["content"]]
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token has options beyond its text")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
 def byte_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all tokens in id order, concatenated, and where each begins (one entry more)."""
     size = max(ranks.values()) + 1
@@ -88,6 +99,9 @@ class Encoder:
         import tiktoken
 
         self.ranks = load_ranks(path)
+        self.added = load_added(path)
+        # where two begin at one place, the longer one
+        self.added_pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         # the pattern plays no part: only whole pre-tokens are encoded
         self.piece = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
         self.cache_words = cache_words
@@ -137,6 +151,27 @@ class Encoder:
         np.cumsum(lens, out=total[1:])
         return gather(self.offs[at], lens, self.pool), total[ptr]
 
+    def encode_with_added(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, but an added token's literal text is that token; what stands between is encoded by itself."""
+        raw = buf.tobytes() if self.added_pattern else b""
+        if not any(t in raw for t in self.added):
+            return self.encode(buf, offs)
+        found = [m for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()) for m in self.added_pattern.finditer(raw, a, b)]
+        starts = np.array([m.start() for m in found], np.int64)
+        cuts = np.unique(np.concatenate([offs, starts, np.array([m.end() for m in found], np.int64)]))
+        ids, ptr = self.encode(buf, cuts)
+        lens, at = np.diff(ptr), np.searchsorted(cuts, starts)
+        token = np.zeros(len(lens), bool)
+        token[at] = True
+        total = np.zeros(len(cuts), np.int64)
+        np.cumsum(np.where(token, 1, lens), out=total[1:])
+        out = np.zeros(total[-1], np.uint32)
+        single = np.zeros(len(out), bool)
+        single[total[at]] = True
+        out[single] = [self.added[m[0]] for m in found]
+        out[~single] = ids[np.repeat(~token, lens)]
+        return out, total[np.searchsorted(cuts, offs)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

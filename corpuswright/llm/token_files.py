@@ -80,14 +80,18 @@ class Packer:
         self.docs.close()
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, sequence_length: int = 2048, batch_sequences: int = 128) -> DataFrame:
-    """Encode ``docs`` (doc_id, text), write the files in ascending id order; the manifest, a row for each file."""
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, sequence_length: int = 2048, batch_sequences: int = 128, added_tokens: bool = False) -> DataFrame:
+    """Encode ``docs`` (doc_id, text), write the files in ascending id order; the manifest, a row for each file.
+
+    With ``added_tokens`` the literal text of one of the file's added tokens is that token, as the
+    tokenizers library has it by default; without, it is text like any other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = None
         part = TaskContext.get().partitionId()
         enc = bpe.encoder(vocabulary)
-        small = max(enc.ranks.values()) < 1 << 16 and end_id < 1 << 16
+        small = max([*enc.ranks.values(), *enc.added.values(), end_id]) < 1 << 16
         fs, inner = pafs.FileSystem.from_uri(folder)
         own = f"{inner}/.{uuid.uuid4().hex}"
         final = f"{inner}/part-{part:06d}"
@@ -98,7 +102,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, sequen
                 sinks = [fs.open_output_stream(own + end) for end in (".arrow", ".docs.arrow")]
                 packer = Packer(*sinks, sequence_length, pa.uint16() if small else pa.uint32(), batch_sequences)
             for first, last, buf, offs in tk.blocks(b.column("text")):
-                ids, ptr = enc.encode(buf, offs)
+                ids, ptr = (enc.encode_with_added if added_tokens else enc.encode)(buf, offs)
                 ids = np.insert(ids, ptr[1:], end_id).astype(np.uint16 if small else np.uint32)
                 packer.add(b.column("doc_id").slice(first, last - first), ids, ptr[:-1] + np.arange(last - first))
         if packer is not None:
@@ -159,5 +163,5 @@ def _documents(source: pa.ipc.RecordBatchFileReader, doc_ids: pa.Array, base: in
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_folder(spark, "token-files")
-    manifest = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    manifest = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), folder, added_tokens=True)
     return read(spark, folder, manifest)

@@ -61,3 +61,17 @@ def test_cache_is_only_a_cache():
     big, small = bpe.Encoder(JSON), bpe.Encoder(JSON, 1)
     for _, _, buf, offs in tk.blocks(texts, 10):
         assert [x.tolist() for x in big.encode(buf, offs)] == [x.tolist() for x in small.encode(buf, offs)]
+
+
+def test_added_tokens_are_the_library_s_at_its_defaults(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = [None, "", "a <|endoftext|> b", end, end * 3, f"x{end}{end}y  {end}  z\n", f"don{end}'t", f"日本{end}é ", "<|endof", "text|>", f"<|endof{end}text|>", "plain words", end[:-1]]
+    assert len(set(texts)) == len(texts)
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t, want, at = Tokenizer.from_file(JSON), [], 0
+    for doc_id, text in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in token_files.op10_token_files(spark, str(tmp_path)).collect()) == want
