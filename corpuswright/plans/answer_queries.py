@@ -92,9 +92,12 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the benchmark item whose id is theirs modulo 40."""
+    """Documents with the benchmark item whose place in the order of ids is their id modulo the number of items."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
-    return tx.once(docs.join(items, docs["doc_id"] % 40 == items["item_id"]), tx.content_tokens(F.col("text")), "tokens")
+    ids = items.select("item_id").distinct()
+    n = max(1, ids.count())
+    placed = items.join(ids.withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1), "item_id")
+    return tx.once(docs.join(placed, F.pmod("doc_id", F.lit(n)) == placed["place"]), tx.content_tokens(F.col("text")), "tokens")
 
 
 def phrase_hit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpuswright.plans import registry
+from corpuswright.plans import answer_queries, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_benchmark_item_meets_documents(spark, tmp_path):
+    items = [(5, "the first"), (9, "der zweite"), (70, "les uns"), (10**6, "de cuatro")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r["item"]) for r in answer_queries._doc_items(spark, str(tmp_path)).collect())
+    assert got == [(i, items[i % 4][1]) for i in range(9)]
+    large = "/root/testdata/sf0.1"
+    want = {r.item_id for r in spark.read.parquet(f"{large}/benchmark.parquet").collect()}
+    met = answer_queries._doc_items(spark, large).groupBy("item_id").count().collect()
+    assert len(want) > 40 and {r.item_id for r in met} == want
+    assert sum(r["count"] for r in met) == spark.read.parquet(f"{large}/documents.parquet").count()
