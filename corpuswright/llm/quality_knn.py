@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quality_rules
 from . import textkit as tk
 
 
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | Non
     pick = lambda good, n: one.where((F.col("quality") == 1) == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     bad = pick(False, half)
     good = pick(True, half)
-    chosen = F.broadcast(bad.unionByName(good))
+    chosen = quality_rules.one_row_each(docs, bad.unionByName(good))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | Non
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array([r.tobytes() for r in c], pa.binary())], names=["doc_id", "quality", "counts"])
 
     # only counts come to the driver, whose size doesn't depend on the texts'
-    counted = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, "doc_id long, quality int, counts binary")
+    counted = chosen.mapInArrow(run, "doc_id long, quality int, counts binary")
     rows = counted.orderBy("doc_id", "counts").limit(p.sample_rows).toArrow()
     counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float32).reshape(len(rows), p.terms + SHAPES)
     return fit_model(counts, rows["quality"].to_numpy(), p)

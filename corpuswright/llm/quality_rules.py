@@ -178,7 +178,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     """(text, quality) of at most ``sample_rows`` labelled rows, those lowest by a hash of the id."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    return one_row_each(docs, chosen).select("text", "quality")
+
+
+def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, quality, text) of the chosen ids: of an id's rows, the one whose text is lowest by its hash."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    least = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return least.select("doc_id", "quality", "least.text")
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Forest | None:
     """A calibrated forest, or None if no row is labelled as good."""
     schema = "quality int, " + ", ".join(f"{c} long" for c in COUNTS)
-    # a document table may repeat an id: the bound of the sample holds for the collected rows too
+    # a row for each chosen id, so the limit only states the bound
     got = labelled_sample(docs, labels, p).mapInArrow(_count_rows, schema).orderBy(*COUNTS, "quality").limit(p.sample_rows).toPandas()
     counts, quality = got[list(COUNTS)].to_numpy(), got["quality"].to_numpy()
     passed = ~base_failed(counts, p) if len(counts) else np.zeros(0, bool)

@@ -76,3 +76,12 @@ def test_bad_rows_that_the_rules_let_through_are_learnt_from(spark):
     assert len(unseen) > 40 and len(unseen & left) < 0.1 * len(unseen)
     good = {i for i in before if i < 1_000_000}
     assert len(good & left) > 0.97 * len(good)
+
+
+def test_a_repeated_id_takes_one_place_in_the_sample(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    hot = labels.where(~q.held_out(q.F.col("doc_id"))).orderBy("doc_id").first().doc_id
+    copies = docs.where(f"doc_id = {hot}").crossJoin(spark.range(5000)).drop("id")
+    a, b = q.fit(docs, labels), q.fit(docs.unionByName(copies), labels)
+    assert len(a.vectors) == len(b.vectors) and (b.good > 0).any() and (b.bad > 0).any()
+    assert np.array_equal(a.good, b.good) and np.allclose(a.vectors, b.vectors)

@@ -65,3 +65,11 @@ def test_scores_order_outliers_first():
     f = q.calibrate(q.fit_forest(x, q.Params()), x, np.r_[np.zeros(40), np.ones(1960)], q.Params())
     s = f.scores(x)
     assert (s[:40] > f.limit).all() and (s[40:] > f.limit).mean() <= 0.005
+
+
+def test_a_repeated_id_takes_one_place_in_the_sample(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    hot = docs.join(labels, "doc_id").where("quality = 1 and n_chars > 600").orderBy("n_chars", "doc_id").first().doc_id
+    copies = docs.where(f"doc_id = {hot}").crossJoin(spark.range(5000)).drop("id")
+    a, b = q.fit(docs, labels), q.fit(docs.unionByName(copies), labels)
+    assert a.limit == b.limit and np.array_equal(a.feature, b.feature) and np.array_equal(a.value, b.value)
