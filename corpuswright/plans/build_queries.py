@@ -92,6 +92,11 @@ def worst_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.worst(batching.costs(batches)).select("pool", "batch", "size", "longest", "cost")
 
 
+def worst_packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst of the packed batches themselves, which SQL can't make."""
+    return batching.worst(batching.costs(token_budget_batches(spark, sf_dir)))
+
+
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _examples(spark, sf_dir)
     ids = lambda n: F.sequence(F.lit(1), n.cast("int"))
@@ -171,7 +176,7 @@ def relational_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", name.alias("english"), F.to_json(F.struct("s_suppkey", "s_nationkey")).alias("data"))
 
 
-QUERIES = {f.__name__: f for f in (fact_explode, seen_expansion, seen_term_expansion, rag_only_expansion, heldout_expansion, heldout_term_expansion, reverse_facts, two_turn_conversations, pad_to_multiple, token_budget_batches, worst_batches, label_mask, summarize_by_group, wilson_ci, mcnemar_exact, mcnemar_small, resume_todo, last_wins_log, pick_examples, stratified_limit, log_token_rate, weighted_nll, relational_export)}
+QUERIES = {f.__name__: f for f in (fact_explode, seen_expansion, seen_term_expansion, rag_only_expansion, heldout_expansion, heldout_term_expansion, reverse_facts, two_turn_conversations, pad_to_multiple, token_budget_batches, worst_batches, worst_packed_batches, label_mask, summarize_by_group, wilson_ci, mcnemar_exact, mcnemar_small, resume_todo, last_wins_log, pick_examples, stratified_limit, log_token_rate, weighted_nll, relational_export)}
 
 _I = duck.stable_int
 _KEY = "entity || '|' || attribute"

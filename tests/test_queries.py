@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpuswright.plans import answer_queries, registry
+from corpuswright.plans import answer_queries, build_queries, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,13 @@ def test_every_benchmark_item_meets_documents(spark, tmp_path):
     met = answer_queries._doc_items(spark, large).groupBy("item_id").count().collect()
     assert len(want) > 40 and {r.item_id for r in met} == want
     assert sum(r["count"] for r in met) == spark.read.parquet(f"{large}/documents.parquet").count()
+
+
+def test_worst_packed_batches_equal_brute_force(spark):
+    batches = {}
+    for r in build_queries.token_budget_batches(spark, SF).collect():
+        batches.setdefault((r.pool, r.batch), []).append(r.length)
+    made = [(p, b, len(x), max(x), -(-max(x) // 8) * 8 * len(x)) for (p, b), x in batches.items()]
+    first = lambda at: min(made, key=lambda r: (-r[at], r[0], r[1]))
+    got = sorted((r.pool, r.batch, r["size"], r.longest, r.cost) for r in registry.QUERIES["worst_packed_batches"](spark, SF).collect())
+    assert len(made) > 10 and got == sorted({first(4), first(3)})
