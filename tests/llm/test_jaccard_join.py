@@ -85,7 +85,7 @@ def test_near_copies_passages_and_odd_rows(spark):
     want = plain(rows)
     assert result(j.cluster(docs)) == want
     # hot runs are salted from few rows on; a sketch of few cells and other choices change nothing
-    for p in (j.Params(hot_run=4, bloom_bits=64), j.Params(sketch_width=64, max_matches=1)):
+    for p in (j.Params(hot_run=4, bloom_bits=64), j.Params(sketch_width=64, spread=0), j.Params(spread=30, hot_run=1)):
         assert result(j.cluster(docs, p)) == want
     kept = j.keep_one(docs)
     assert kept.columns == docs.columns
