@@ -209,16 +209,34 @@ def prefixes(sets: Sets, sketch: np.ndarray, p: Params) -> tuple[np.ndarray, np.
     return own[inside], g[inside], excess[inside], choice
 
 
-POSTING = "shingle long, salt int, set_id long, n int, matches int"
+#: Postings that a bucket of the shuffle holds, about.
+BUCKET = 1 << 18
+CHUNK = "bucket int, postings binary, salts binary, sets binary"
+_SET = np.dtype([("set_id", "<i8"), ("n", "<i4"), ("matches", "<i4")])
+SHARED = "shingle long, salt int, set_id long, n int, matches int"
 
 
-def postings(docs: DataFrame, sketch: np.ndarray, p: Params) -> tuple[DataFrame, Broadcast]:
-    """The prefixes of every class of equal sets, a row for each shingle, once a task at least; and the sketch as sent."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    hot = p.hot_run + float(sketch.mean())
+def _buckets(g: np.ndarray, salts: np.ndarray, count: int) -> np.ndarray:
+    return (tk.mix(g ^ (salts.astype(tk.U64) * tk.U64(0xC2B2AE3D27D4EB4F))) % tk.U64(count)).astype(np.int64)
+
+
+def _parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts the keys, the distinct keys, and where each one's part begins and the last ends."""
+    order = np.argsort(keys, kind="stable")
+    found, begin = np.unique(keys[order], return_index=True)
+    return order, found, np.append(begin, len(keys))
+
+
+def postings(docs: DataFrame, sent: Broadcast, buckets: int, p: Params) -> DataFrame:
+    """The prefixes of every class of equal sets, once a task at least, packed: a row for a bucket and a block of texts.
+
+    ``postings`` are pairs of a shingle and a class, ``salts`` their salts if any has one; ``sets`` are
+    classes with their size and l, in a bucket by their id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        sketch, seen = sent.value, set()
+        hot = p.hot_run + float(sketch.mean())
         for b in batches:
             for _, _, buf, offs in tk.blocks(b.column("text")):
                 sets = shingle_sets(buf, offs, p.k)
@@ -230,56 +248,70 @@ def postings(docs: DataFrame, sketch: np.ndarray, p: Params) -> tuple[DataFrame,
                         seen.add(x)
                 if len(seen) > 1_000_000:  # a class may then be listed again, which changes nothing
                     seen.clear()
-                own, g, excess, matches = prefixes(sets, shared.value, p)
+                own, g, excess, matches = prefixes(sets, sketch, p)
                 keep = fresh[own]
                 own, g, excess = own[keep], g[keep], excess[keep]
                 salts = np.where(excess > hot, (ids.view(tk.U64)[own] % (1 + excess // hot).astype(tk.U64)).astype(np.int64) + 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(salts.astype(np.int32)), pa.array(ids[own]), pa.array(sets.sizes[own].astype(np.int32)), pa.array(matches[own].astype(np.int32))], names=["shingle", "salt", "set_id", "n", "matches"])
-
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, POSTING)
-    return rows, shared
-
-
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """Postings of shingles that two classes or more have.
-
-    Runs of one shingle and salt stand together, sorted by class. A salted shingle is kept even if
-    its run has one class, since other runs may have more.
+                pairs = np.stack([g.view("<i8"), ids[own]], axis=1)
+                listed = np.zeros(int(fresh.sum()), _SET)
+                listed["set_id"], listed["n"], listed["matches"] = ids[fresh], sets.sizes[fresh], matches[fresh]
+                rows: dict[int, list[bytes]] = {}
+                for kind, keys, values in ((0, _buckets(g, salts, buckets), pairs), (2, _buckets(ids.view(tk.U64)[fresh], np.zeros(len(listed)), buckets), listed)):
+                    order, found, cut = _parts(keys)
+                    values, own_salts = values[order], salts[order] if kind == 0 else None
+                    for k, x, y in zip(found.tolist(), cut, cut[1:]):
+                        row = rows.setdefault(k, [b"", b"", b""])
+                        row[kind] = values[x:y].tobytes()
+                        if kind == 0 and own_salts[x:y].any():
+                            row[1] = own_salts[x:y].astype("<u4").tobytes()
+                parts = [pa.array(x, pa.binary()) for x in zip(*rows.values())] if rows else [pa.array([], pa.binary())] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *parts], names=["bucket", "postings", "salts", "sets"])
+
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, CHUNK)
+
+
+def shared_postings(chunks: DataFrame) -> DataFrame:
+    """Postings of shingles that two classes or more have, and, without a shingle, every class with its n and l.
+
+    A bucket is put together and sorted at once. A salted shingle is kept even if its run has one class, since
+    other runs may have more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        now, held = -1, []
         for b in batches:
-            t = {c: b.column(c).to_numpy() for c in ("shingle", "salt", "set_id", "n", "matches")}
-            if rest is not None:
-                t = {c: np.concatenate([rest[c], t[c]]) for c in t}
-            # the last run may go on in the next batch
-            s, salt = t["shingle"], t["salt"]
-            change = np.flatnonzero((s[1:] != s[:-1]) | (salt[1:] != salt[:-1])) + 1
-            cut = int(change[-1]) if len(change) else 0
-            rest = {c: x[cut:] for c, x in t.items()}
-            if cut:
-                yield _runs({c: x[:cut] for c, x in t.items()})
-        if rest is not None and len(rest["shingle"]):
-            yield _runs(rest)
-
-    placed = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "set_id")
-    return scratch.cut(placed.mapInArrow(run, POSTING), "postings")
-
-
-def _runs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
-    s, salt, ids = t["shingle"], t["salt"], t["set_id"]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1]) | (ids[1:] != ids[:-1])
-    t = {c: x[new] for c, x in t.items()}
-    s, salt = t["shingle"], t["salt"]
+            for bucket, *row in zip(b.column("bucket").to_pylist(), *(b.column(c) for c in ("postings", "salts", "sets"))):
+                if bucket != now and held:
+                    yield from _bucket_rows(held)
+                    held = []
+                now = bucket
+                held.append([x.as_buffer().to_pybytes() for x in row])
+        if held:
+            yield from _bucket_rows(held)
+
+    return scratch.cut(chunks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SHARED), "postings")
+
+
+def _bucket_rows(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    listed = np.frombuffer(b"".join(x[2] for x in held), _SET)
+    names = ["shingle", "salt", "set_id", "n", "matches"]
+    if len(listed):
+        listed = np.unique(listed)
+        n = len(listed)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.array(listed[c]) for c in ("set_id", "n", "matches"))], names=names)
+    pairs = np.frombuffer(b"".join(x[0] for x in held), "<i8").reshape(-1, 2)
+    salt = np.concatenate([np.frombuffer(x[1], "<u4").astype(np.int32) if x[1] else np.zeros(len(x[0]) // 16, np.int32) for x in held])
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], salt))
+    s, ids, salt = pairs[order, 0], pairs[order, 1], salt[order]
     start = np.ones(len(s), bool)
     start[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])
-    run = np.cumsum(start) - 1
+    new = start.copy()
+    new[1:] |= ids[1:] != ids[:-1]
+    s, ids, salt, start = s[new], ids[new], salt[new], start[new]
     at = np.flatnonzero(start)
-    end = np.append(at[1:], len(s)) - 1
-    keep = (end - at > 0)[run] | (salt > 0)
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in t.values()], names=list(t))
+    keep = np.repeat(np.diff(np.append(at, len(s))) > 1, np.diff(np.append(at, len(s)))) | (salt > 0)
+    n = int(keep.sum())
+    yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(salt[keep]), pa.array(ids[keep]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
 
 
 def _alike(a: str, b: str, p: Params) -> str:
@@ -298,12 +330,12 @@ def weighed_postings(shared: DataFrame, p: Params) -> DataFrame:
     smaller than ``percent`` of it: a class with fewer shared postings than that has no partner.
     """
     several = shared.where("salt > 0").groupBy("shingle").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("shingle")
-    rows = shared.where("salt = 0").unionByName(shared.where("salt > 0").join(several, "shingle", "left_semi"))
-    whole = F.expr(f"n - (({p.percent} * n + 99) div 100) + matches")
-    asked = F.expr(f"least(matches, {_least_matches(f'(({p.percent} * n + 99) div 100)', p)})")
-    common = rows.groupBy("set_id").agg(F.count("*").alias("c"), F.first(whole).alias("whole"), F.first(asked).alias("asked"))
-    central = common.where("c >= asked").select("set_id", F.expr("cast(1000 * c / whole as int)").alias("weight"))
-    return scratch.cut(rows.join(central, "set_id").select("shingle", "salt", "set_id", "n", "matches", "weight"), "weighed")
+    rows = shared.where("salt = 0 OR salt IS NULL").unionByName(shared.where("salt > 0").join(several, "shingle", "left_semi"))
+    common = rows.groupBy("set_id").agg(F.count("shingle").alias("c"), F.max("n").alias("n"), F.max("matches").alias("matches"))
+    whole = f"(n - (({p.percent} * n + 99) div 100) + matches)"
+    asked = f"least(matches, {_least_matches(f'(({p.percent} * n + 99) div 100)', p)})"
+    central = common.where(f"c >= {asked}").select("set_id", "n", "matches", F.expr(f"cast(1000 * c / {whole} as int)").alias("weight"))
+    return scratch.cut(rows.where("shingle IS NOT NULL").select("shingle", "salt", "set_id").join(central, "set_id"), "weighed")
 
 
 def _differing_bits(a: str, b: str) -> str:
@@ -557,8 +589,9 @@ def cluster(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rows = surveyed.where("block IS NULL").select("doc_id", "set_id", "n")
     linking = surveyed.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.cut(linking.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").cast("int").alias("n"), F.first("parity").alias("parity")), "classes")
-    placed, sent = postings(docs, read_sketch(surveyed, p), p)
-    shared = shared_postings(placed)
+    sent = docs.sparkSession.sparkContext.broadcast(read_sketch(surveyed, p))
+    expected = (classes.agg(F.sum("n")).first()[0] or 0) * (100 - p.percent) * 5 // 400
+    shared = shared_postings(postings(docs, sent, 16 + expected // BUCKET, p))
     weighed = weighed_postings(shared, p)
     scratch.drop(shared)
     hubs = hub_pairs(weighed, classes, p)
