@@ -334,7 +334,7 @@ def weighed_postings(shared: DataFrame, p: Params) -> DataFrame:
     common = rows.groupBy("set_id").agg(F.count("shingle").alias("c"), F.max("n").alias("n"), F.max("matches").alias("matches"))
     whole = f"(n - (({p.percent} * n + 99) div 100) + matches)"
     asked = f"least(matches, {_least_matches(f'(({p.percent} * n + 99) div 100)', p)})"
-    central = common.where(f"c >= {asked}").select("set_id", "n", "matches", F.expr(f"cast(1000 * c / {whole} as int)").alias("weight"))
+    central = common.withColumn("asked", F.expr(f"cast({asked} as int)")).where("c >= asked").select("set_id", "n", "asked", F.expr(f"cast(1000 * c / {whole} as int)").alias("weight"))
     return scratch.cut(rows.where("shingle IS NOT NULL").select("shingle", "salt", "set_id").join(central, "set_id"), "weighed")
 
 
@@ -345,33 +345,43 @@ def _differing_bits(a: str, b: str) -> str:
     return f"aggregate(transform(sequence(0, {words} - 1), i -> bit_count({fold(a)} ^ {fold(b)})), 0, (s, c) -> s + c)"
 
 
-def similar(pairs: DataFrame, classes: DataFrame, p: Params, a: str = "a", b: str = "b") -> DataFrame:
-    """The pairs of class ids whose signatures don't rule out a link."""
+def _near(p: Params) -> str:
+    """SQL: do the signatures x and y tell, by estimate, a similarity of about one half or more?
+
+    Of d shingles that only one set has, about ``bits / 2 * (1 - exp(-2 d / bits))`` bits differ.
+    """
+    bits = "(64.0D * least(size(x_parity), size(y_parity)))"
+    return f"{_differing_bits('x_parity', 'y_parity')} <= {bits} / 2 * (1 - exp(-2 * (x_n + y_n) / 3 / {bits}))"
+
+
+def similar(pairs: DataFrame, classes: DataFrame, p: Params, a: str = "a", b: str = "b", near: bool = False) -> DataFrame:
+    """The pairs of class ids whose signatures don't rule out a link; or those that are near by estimate."""
     for s, c in (("x", a), ("y", b)):
         pairs = pairs.join(classes.select(F.col("set_id").alias(c), F.col("n").alias(f"{s}_n"), F.col("parity").alias(f"{s}_parity")), c)
-    kept = pairs.where(f"{_alike('x_n', 'y_n', p)} AND {_differing_bits('x_parity', 'y_parity')} <= x_n + y_n - 2 * {_least_shared('x_n', 'y_n', p)}")
-    return kept.select(a, b)
+    possible = f"{_differing_bits('x_parity', 'y_parity')} <= x_n + y_n - 2 * {_least_shared('x_n', 'y_n', p)}"
+    return pairs.where(f"{_alike('x_n', 'y_n', p)} AND {_near(p) if near else possible}").select(a, b)
 
 
 def hub_pairs(weighed: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """(set_id, hub): every class with the hub that it meets most often, if the two may link.
+    """(set_id, hub): every class with the hub that it meets most often, if the two are near.
 
     The hub of a run is the class that has most of its prefix in common with others: in a group of
-    near copies that is the text that the others were made from, or the one nearest to it.
+    near copies that is the text that the others were made from, or the one nearest to it. Hubs that are met
+    in few runs are left out: such a class is a family of its own, which costs, but loses, nothing.
     """
-    own = F.struct("weight", F.col("set_id").alias("hub"), F.col("n").alias("m"), F.col("matches").alias("l"))
+    own = F.struct("weight", F.col("set_id").alias("hub"), F.col("n").alias("m"))
     top = F.max(own).over(Window.partitionBy("shingle", "salt"))
-    hubbed = weighed.select("shingle", "salt", "set_id", "n", "matches", top.alias("w")).select("shingle", "salt", "set_id", "n", "matches", "w.*")
-    met = hubbed.where(f"set_id <> hub AND {_alike('n', 'm', p)}").groupBy("set_id", "hub").agg(F.count("*").alias("c"), F.max("weight").alias("weight"), F.first(F.least("matches", "l")).alias("need"))
-    best = met.where("c >= need").groupBy("set_id").agg(F.max(F.struct("c", "weight", "hub")).alias("x")).select("set_id", "x.hub")
+    hubbed = weighed.select("shingle", "salt", "set_id", "n", "asked", top.alias("w")).select("shingle", "salt", "set_id", "n", "asked", "w.*")
+    met = hubbed.where(f"set_id <> hub AND {_alike('n', 'm', p)}").groupBy("set_id", "hub").agg(F.count("*").alias("c"), F.max("weight").alias("weight"), F.first("asked").alias("asked"))
+    best = met.where("8 * c >= asked").groupBy("set_id").agg(F.max(F.struct("c", "weight", "hub")).alias("x")).select("set_id", "x.hub")
     # the hubs of a salted shingle's runs meet each other
     hubs = hubbed.where("salt > 0").select("shingle", "hub", "m", "weight").distinct()
     tops = hubs.groupBy("shingle").agg(F.max(F.struct("weight", F.col("hub").alias("h"), F.col("m").alias("k"))).alias("t"))
     joined = hubs.join(tops, "shingle").where(f"hub <> t.h AND {_alike('m', 't.k', p)}").select(F.col("hub").alias("set_id"), F.col("t.h").alias("hub"))
-    return scratch.cut(similar(best.unionAll(joined).distinct(), classes, p, "set_id", "hub"), "hubs")
+    return scratch.cut(similar(best.unionAll(joined).distinct(), classes, p, "set_id", "hub", near=True), "hubs")
 
 
-def roots(hubs: DataFrame, jumps: int = 3) -> DataFrame:
+def roots(hubs: DataFrame, jumps: int = 4) -> DataFrame:
     """(set_id, hub) with the hub's hub and so on, a power of two of steps up: hubs are ever more central."""
     up = hubs.groupBy("set_id").agg(F.max("hub").alias("hub"))
     for _ in range(jumps):
@@ -527,18 +537,21 @@ def family_pairs(family: DataFrame, p: Params) -> DataFrame:
 def cross_pairs(weighed: DataFrame, family: DataFrame, p: Params) -> DataFrame:
     """(a, b): all candidates of different roots that aren't known to be connected.
 
-    Their prefixes share as many shingles as the smaller l asks for.
+    Shingles of one family, or of classes known to be connected, have no such pair. Of its other shared postings a
+    class and a partner have ``asked`` in common, at least. So the first of those that they have in common, from the shortest run to the
+    longest, is among all but the last ``asked - 1`` postings of either; only those are joined. Classes with fewer than ``asked`` have no partner.
     """
-    rows = weighed.select("shingle", "set_id", "n", "matches").join(family.select("set_id", "hub", "component"), "set_id", "left")
+    rows = weighed.select("shingle", "set_id", "n", "asked").join(family.select("set_id", "hub", "component"), "set_id", "left")
     rows = scratch.cut(rows.withColumns({"hub": F.coalesce("hub", "set_id"), "component": F.coalesce("component", "set_id")}), "cross")
-    several = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("hub").alias("u"), F.max("hub").alias("v")).where("x <> y AND u <> v").select("shingle")
-    left = scratch.cut(rows.join(several, "shingle", "left_semi"), "cross")
+    runs = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("hub").alias("u"), F.max("hub").alias("v"), F.count("*").alias("run"))
+    left = rows.join(runs.where("x <> y AND u <> v").select("shingle", "run"), "shingle")
+    own = Window.partitionBy("set_id")
+    ranked = left.withColumn("place", F.row_number().over(own.orderBy("run", "shingle"))).withColumn("all", F.count("*").over(own))
+    seeds = scratch.cut(ranked.where("place <= all - asked + 1").drop("run", "place", "all", "asked"), "seeds")
     scratch.drop(rows)
-    x = left.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("set_id", "n", "matches", "component", "hub")))
-    y = left.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("set_id", "n", "matches", "component", "hub")))
+    x, y = (seeds.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("set_id", "n", "component", "hub"))) for s in "ab")
     met = x.join(y, "shingle").where(f"a_set_id < b_set_id AND a_component <> b_component AND a_hub <> b_hub AND {_alike('a_n', 'b_n', p)}")
-    counted = met.groupBy(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("a_matches", "b_matches")).alias("need"))
-    return counted.where("c >= need").select("a", "b")
+    return met.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
