@@ -274,7 +274,7 @@ def shared_postings(chunks: DataFrame) -> DataFrame:
     """Postings of shingles that two classes or more have, and, without a shingle, every class with its n and l.
 
     A bucket is put together and sorted at once. A salted shingle is kept even if its run has one class, since
-    other runs may have more.
+    other runs may have more; only shingles in a cell that stands out are salted, so that hardly any of these is alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +329,11 @@ def weighed_postings(shared: DataFrame, p: Params) -> DataFrame:
     A class and a partner share as many of their prefixes as the smaller l asks for, and no partner is
     smaller than ``percent`` of it: a class with fewer shared postings than that has no partner.
     """
-    several = shared.where("salt > 0").groupBy("shingle").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("shingle")
-    rows = shared.where("salt = 0 OR salt IS NULL").unionByName(shared.where("salt > 0").join(several, "shingle", "left_semi"))
-    common = rows.groupBy("set_id").agg(F.count("shingle").alias("c"), F.max("n").alias("n"), F.max("matches").alias("matches"))
+    common = shared.groupBy("set_id").agg(F.count("shingle").alias("c"), F.max("n").alias("n"), F.max("matches").alias("matches"))
     whole = f"(n - (({p.percent} * n + 99) div 100) + matches)"
     asked = f"least(matches, {_least_matches(f'(({p.percent} * n + 99) div 100)', p)})"
     central = common.withColumn("asked", F.expr(f"cast({asked} as int)")).where("c >= asked").select("set_id", "n", "asked", F.expr(f"cast(1000 * c / {whole} as int)").alias("weight"))
-    return scratch.cut(rows.where("shingle IS NOT NULL").select("shingle", "salt", "set_id").join(central, "set_id"), "weighed")
+    return scratch.cut(shared.where("shingle IS NOT NULL").select("shingle", "salt", "set_id").join(central, "set_id"), "weighed")
 
 
 def _differing_bits(a: str, b: str) -> str:

@@ -110,3 +110,19 @@ def test_components(spark):
     nodes = {v for a, b in links if a != b for v in (a, b)}
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == roots(nodes, links)
+
+
+def test_crowded_sketch_keeps_no_postings_of_one_class(spark):
+    """Where a cell's mean passes the hot run, shingles of one class are still dropped and hardly any is salted."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(80)) for _ in range(400)] + family(r, words, 80, 3, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    p = j.Params(sketch_width=64, hot_run=16)
+    sketch = j.read_sketch(j.survey(docs, p), p)
+    assert sketch.mean() > 10 * p.hot_run
+    kept = j.shared_postings(j.postings(docs, spark.sparkContext.broadcast(sketch), 16, p)).where("shingle IS NOT NULL")
+    runs = kept.groupBy("shingle").agg({"set_id": "count"}).toDF("shingle", "n")
+    assert 500 < kept.count() < 4000 and runs.where("n = 1").count() == 0
+    assert kept.where("salt > 0").count() == 0
+    assert result(j.cluster(docs, p)) == plain(list(enumerate(texts)))
