@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze
+from .text import compatible, squeeze
 
 # The question patterns of each route, in the order they are tried, and the answer guard.
 ROUTES = (
@@ -43,8 +43,8 @@ ANSWER_DOSE = r"\b\d+(?:\.\d+)?\s*(?:-\s*\d+(?:\.\d+)?\s*)?(?:mg|mcg|g|gm|grams?
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, plain apostrophes, single spaces."""
-    return squeeze(F.replace(F.lower(text), F.lit("’"), F.lit("'")))
+    """Lower case, compatibility characters as what they stand for, plain apostrophes, single spaces."""
+    return squeeze(F.replace(F.lower(compatible(text)), F.lit("’"), F.lit("'")))
 
 
 def route(text: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .text import content_tokens, fold, squeeze, stem
+from .text import content_tokens, fold, squeeze, stem, unmarked, word_count
 
 # Classes and the patterns that name them in folded text, in the order of ties.
 FACTORS = {
@@ -93,29 +95,44 @@ CRISIS = r"crisis|helpline|hotline|\b988\b|14416|emergency|reach out|someone you
 DOSE = r"\b\d+(?:\.\d+)?\s*(?:-\s*\d+(?:\.\d+)?\s*)?(?:mg|g|gm|grams?|ml|mcg|tsp|teaspoons?|tablespoons?|tbsp|capsules?|tablets?|drops?)\b"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once: as the variable of a lambda it isn't copied to where it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _tagged(folded: Column, patterns: dict[str, str]) -> Column:
+    return F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(n)) for n, p in patterns.items())))
+
+
 def tagged(text: Column, patterns: dict[str, str]) -> Column:
     """Names of all patterns that occur in the folded text."""
-    t = fold(text)
-    return F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(n)) for n, p in patterns.items())))
+    return bound(fold(text), lambda t: _tagged(t, patterns))
+
+
+def _factors(folded: Column) -> Column:
+    three = F.when(folded.rlike(ALL_THREE), F.array(*map(F.lit, ("vata", "pitta", "kapha")))).otherwise(F.array().cast("array<string>"))
+    return F.array_union(_tagged(folded, FACTORS), three)
 
 
 def factors(text: Column) -> Column:
     """Factors that an answer names; "all three" stands for three."""
-    three = F.when(fold(text).rlike(ALL_THREE), F.array(*map(F.lit, ("vata", "pitta", "kapha")))).otherwise(F.array().cast("array<string>"))
-    return F.array_union(tagged(text, FACTORS), three)
+    return bound(fold(text), _factors)
+
+
+def _first_match(folded: Column, patterns: dict[str, str]) -> Column:
+    found = F.array(*(F.struct(F.regexp_instr(folded, F.lit(p)).alias("at"), F.lit(i).alias("n"), F.lit(name).alias("name")) for i, (name, p) in enumerate(patterns.items())))
+    return F.array_min(F.filter(found, lambda x: x["at"] > 0))["name"]
 
 
 def first_match(text: Column, patterns: dict[str, str]) -> Column:
     """The pattern that occurs first, of equal ones the first listed; null if none does."""
-    t = fold(text)
-    found = F.array(*(F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), F.lit(i).alias("n"), F.lit(name).alias("name")) for i, (name, p) in enumerate(patterns.items())))
-    return F.array_min(F.filter(found, lambda x: x["at"] > 0))["name"]
+    return bound(fold(text), lambda t: _first_match(t, patterns))
 
 
 def without_name(answer: Column, name: Column) -> Column:
     """The answer without the name, whatever its case."""
     quoted = F.regexp_replace(name, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    return F.when(F.coalesce(name, F.lit("")) == "", answer).otherwise(F.regexp_replace(answer, F.concat(F.lit("(?i)"), quoted), F.lit(" ")))
+    return F.when(F.coalesce(name, F.lit("")) == "", answer).otherwise(F.regexp_replace(answer, F.concat(F.lit("(?iu)"), quoted), F.lit(" ")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -170,41 +187,95 @@ def safety_score(kind: Column, answer: Column) -> Column:
     return _flag(ok)
 
 
+def _term_hits(values: Column, folded: Column) -> Column:
+    quoted = lambda v: F.regexp_replace(fold(v), r"([\\^$.?*+()\[\]{}])", r"\\$1")
+    return F.transform(values, lambda v: F.rlike(folded, F.concat(F.lit(r"\b(?:"), quoted(v), F.lit(")"))))
+
+
 def term_hits(values: Column, answer: Column) -> Column:
     """For each group "a|b" of alternatives: does one begin a word of the answer?"""
-    quoted = lambda v: F.regexp_replace(fold(v), r"([\\^$.?*+()\[\]{}])", r"\\$1")
-    among = lambda t: F.transform(values, lambda v: F.rlike(t, F.concat(F.lit(r"\b(?:"), quoted(v), F.lit(")"))))
-    return F.transform(F.array(fold(answer)), among)[0]
+    return bound(fold(answer), lambda t: _term_hits(values, t))
+
 
+def _simple(kind: Column, values: Column, safety_kind: Column, x: Column) -> Column:
+    """struct(score, correct) against a fact of one of the simple types; an unknown type raises.
 
-def score_gold(kind: Column, values: Column, answer: Column, name: Column, safety_kind: Column) -> Column:
-    """struct(score, correct) of an answer against a fact of any simple type; an unknown type raises."""
-    tokens = content_tokens(answer)
-    plain = without_name(answer, name)
+    ``x`` has what is made of the answer: answer, tokens, folded, named (folded, without the name).
+    """
     expected = F.when(F.array_contains(values, "balanced"), F.array().cast("array<string>")).otherwise(F.array_distinct(values))
-    named = factors(plain)
-    equal = (F.size(F.array_except(named, expected)) == 0) & (F.size(F.array_except(expected, named)) == 0)
-    folded = fold(plain)
-    system = F.create_map(*(x for n, p in SYSTEMS.items() for x in (F.lit(n), F.lit(p))))
-    systems = _share(F.transform(values, lambda v: F.rlike(folded, F.element_at(system, v))))
-    category = F.when(values[0].isin(*PROGNOSES), first_match(answer, PROGNOSES)).otherwise(first_match(answer, SOURCES))
-    items = F.when(F.size(values) == 0, 0.0).otherwise(_share(F.transform(values, lambda v: item_covered(v, tokens))))
-    terms = _share(term_hits(values, answer))
-    squeezed = squeeze(answer)
+    pair = bound(F.struct(_factors(x["named"]).alias("named"), expected.alias("expected")), lambda y: result(jaccard(y["named"], y["expected"]), (F.size(F.array_except(y["named"], y["expected"])) == 0) & (F.size(F.array_except(y["expected"], y["named"])) == 0)))
+    system = F.create_map(*(c for n, p in SYSTEMS.items() for c in (F.lit(n), F.lit(p))))
+    least = lambda share: bound(share, lambda s: result(s, s >= 0.5))
+    systems = least(_share(F.transform(values, lambda v: F.rlike(x["named"], F.element_at(system, v)))))
+    first = F.try_element_at(values, F.lit(1))
+    category = F.when(first.isin(*PROGNOSES), _first_match(x["folded"], PROGNOSES)).otherwise(_first_match(x["folded"], SOURCES))
+    items = least(F.when(F.size(values) == 0, 0.0).otherwise(_share(F.transform(values, lambda v: item_covered(v, x["tokens"])))))
+    squeezed = squeeze(x["answer"])
     return (
-        F.when(kind == "dosha_set", result(jaccard(named, expected), equal))
-        .when(kind == "system", result(systems, systems >= 0.5))
-        .when(kind == "category", _flag(category == values[0]))
-        .when(kind == "source_any", _flag(F.array_contains(values, first_match(answer, SOURCES))))
-        .when(kind == "phrase", _flag(F.exists(values, lambda v: phrase_hit(v, tokens))))
-        .when(kind == "items", result(items, items >= 0.5))
+        F.when(kind == "dosha_set", pair)
+        .when(kind == "system", systems)
+        .when(kind == "category", _flag(category == first))
+        .when(kind == "source_any", _flag(F.array_contains(values, _first_match(x["folded"], SOURCES))))
+        .when(kind == "phrase", _flag(F.exists(values, lambda v: phrase_hit(v, x["tokens"]))))
+        .when(kind == "items", items)
         .when(kind == "exact", _flag(F.exists(values, lambda v: F.contains(squeezed, v))))
-        .when(kind == "terms", result(terms, terms >= 0.5))
-        .when(kind == "safety", safety_score(safety_kind, answer))
+        .when(kind == "terms", least(_share(_term_hits(values, x["folded"]))))
+        .when(kind == "safety", safety_score(safety_kind, x["answer"]))
         .otherwise(F.raise_error(F.concat(F.lit("unknown gold type: "), kind)).cast("struct<score:double,correct:boolean>"))
     )
 
 
+def score_gold(kind: Column, values: Column, answer: Column, name: Column, safety_kind: Column, parts: Column | None = None) -> Column:
+    """struct(score, correct) of an answer against a fact; ``parts`` (type, values) are those of a composite one.
+
+    Texts and values of type exact are compared as they are: normalise both (``text.nfc``) if they may not be composed alike.
+    """
+    none = F.lit(None).cast("string")
+    held = F.struct(answer.alias("answer"), content_tokens(answer).alias("tokens"), fold(answer).alias("folded"), fold(without_name(answer, name)).alias("named"))
+    if parts is None:
+        return bound(held, lambda x: _simple(kind, values, safety_kind, x))
+    # a simple fact is one part; a composite one has the mean of its parts' scores
+    listed = F.when(kind == "composite", parts).otherwise(F.array(F.struct(kind.alias("type"), values.alias("values"))))
+    scored = bound(held, lambda x: F.transform(listed, lambda g: _simple(g["type"], g["values"], F.coalesce(safety_kind, none), x)))
+    return bound(scored, lambda s: F.when(kind == "composite", composite(s)).otherwise(s[0]))
+
+
+def score_row(answer: Column, reference: Column, gold: Column, name: Column, source: Column, attribute: Column) -> Column:
+    """struct(score, correct) of a row's answer: an entity's name is passed on but for reverse lookups, and a term's name, with or without
+    diacritics, earns nothing."""
+    own = F.when(source.isin("ak", "ag", "nm", "sat") & ~attribute.isin("reverse_name", "nm_reverse"), name)
+    scored = F.when(source.isin("nm", "sat") & own.isNotNull(), without_name(unmarked(answer), unmarked(own))).otherwise(answer)
+    return score_gold(gold["type"], gold["values"], scored, own, gold["kind"], gold["parts"])
+
+
+def row_metrics(answer: Column, reference: Column, gold: Column, name: Column, source: Column, attribute: Column) -> Column:
+    """struct(score, correct, token_f1, rouge_l, answer_words) of a row's answer, to four digits."""
+    s = score_row(answer, reference, gold, name, source, attribute)
+    return F.struct(half_even(s["score"], 4).alias("score"), s["correct"].alias("correct"), half_even(token_f1(answer, reference), 4).alias("token_f1"), half_even(rouge_l(answer, reference), 4).alias("rouge_l"), word_count(answer).alias("answer_words"))
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded by the exact binary value; true ties go to the even digit.
+
+    Twice the value in units of the last digit is an odd number at a tie. The error of that product, found by
+    splitting the factors, tells on which side of the tie the value really is.
+    """
+    x, unit = x.cast("double"), float(2 * 10**digits)
+    high = F.lit(134217729.0) * x - (F.lit(134217729.0) * x - x)
+    product = x * unit
+    error = (high * unit - product) + (x - high) * unit
+    below = F.floor((product - 1) / 2)
+    tied = (product == F.floor(product)) & (F.abs(product) < 2.0**52) & (F.pmod(product.cast("bigint"), F.lit(2)) == 1)
+    up = (error > 0) | ((error == 0) & (F.pmod(below, F.lit(2)) == 1))
+    near = F.when(tied, below + F.when(up, 1).otherwise(0)).otherwise(F.floor(product / 2 + 0.5))
+    return near.cast("double") / float(10**digits)
+
+
+def percent(share: Column) -> Column:
+    """"12.3%", or a dash for null."""
+    return F.when(share.isNull(), "\u2013").otherwise(F.concat(F.format_string("%.1f", half_even(100 * share, 1)), F.lit("%")))
+
+
 def composite(parts: Column) -> Column:
     """Of an array of struct(score, correct): the mean score, correct from one half on."""
     mean = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["score"]) / F.size(parts)

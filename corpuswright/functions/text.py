@@ -1,6 +1,7 @@
 """Text functions as column expressions: folding, tokens, stems, slugs and cleaners.
 
-``fold`` is exact for Latin text with any diacritics; ``fold_exact`` is a pandas UDF for other scripts.
+``fold`` is exact but for characters outside the Latin blocks that fold to several; ``fold_exact`` is a pandas
+UDF for those. ``nfc`` and ``nfkc`` normalise source cells and questions, which are few; Spark has no built-in for it.
 """
 
 from __future__ import annotations
@@ -36,41 +37,93 @@ NULL_WORDS = ("", "none", "none specific", "nan", "n/a", "na", "-")
 TERM_NULL_WORDS = ("", "none", "nan", "null", "-")
 
 
-@lru_cache(maxsize=1)
-def _latin() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Letters, their one-letter foldings, then letters to delete; and letters that fold to several."""
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+@lru_cache(maxsize=2)
+def _letters(cased: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters, their one-character foldings, then marks to delete; and Latin letters that fold to several.
+
+    By a rule over all characters up to the mathematical letters; characters that fold to several outside
+    the Latin blocks (fractions, units, Hangul syllables) are left as they are.
+    """
     one, several = {}, {}
-    for cp in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    latin = [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]
+    for cp in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
         c = chr(cp)
-        folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        folded = _bare(c) if cased else _bare(c).casefold()
         if len(folded) == 1 and folded != c:
             one[c] = folded
-        elif c.isalpha() and len(folded) > 1:
+    for cp in latin:
+        c = chr(cp)
+        folded = _bare(c) if cased else _bare(c).casefold()
+        if c.isalpha() and len(folded) > 1 and (cased or c.lower() == c):  # capitals are gone otherwise
             several[c] = folded
-    marks = "".join(chr(cp) for cp in range(0x300, 0x370) if unicodedata.combining(chr(cp)))
+    marks = "".join(chr(cp) for cp in range(0x300, 0x1E950) if unicodedata.combining(chr(cp)))
     return "".join(one) + marks, "".join(one.values()), tuple(several.items())
 
 
+def _without_marks(text: Column, cased: bool) -> Column:
+    source, target, several = _letters(cased)
+    out = F.translate(text, source, target)
+    rest = out
+    for a, b in several:
+        rest = F.replace(rest, F.lit(a), F.lit(b))
+    # most texts are ASCII, and hardly any holds a letter that folds to several
+    out = F.when(text.rlike("[" + "".join(a for a, _ in several) + "]"), rest).otherwise(out)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+
+
 def fold(text: Column) -> Column:
     """Lower case without diacritics; marks that stand alone go too."""
-    source, target, several = _latin()
-    out = F.translate(F.lower(text), source, target)
+    return _without_marks(F.lower(text), False)
+
+
+def unmarked(text: Column) -> Column:
+    """Without diacritics, case kept."""
+    return _without_marks(text, True)
+
+
+@lru_cache(maxsize=1)
+def _compatibles() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters that stand for one other (full-width, mathematical, circled), and ligatures."""
+    one, several = {}, {}
+    for cp in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        c = chr(cp)
+        plain = unicodedata.normalize("NFKC", c)
+        if len(plain) == 1 and plain != c:
+            one[c] = plain
+        elif 0xFB00 <= cp < 0xFB07:
+            several[c] = plain
+    return "".join(one), "".join(one.values()), tuple(several.items())
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility characters as the characters they stand for, one by one; ``nfkc`` also composes."""
+    source, target, several = _compatibles()
+    out = F.translate(text, source, target)
     for a, b in several:
-        if a.lower() == a:  # capitals are gone
-            out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 
 @F.pandas_udf(StringType())
 def fold_exact(text: pd.Series) -> pd.Series:
-    """Folding for any script: NFKD, without combining marks, case-folded."""
-    return text.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold())
+    """Folding of any character: NFKD, without combining marks, case-folded."""
+    return text.map(lambda t: t if t is None else t.lower() if t.isascii() else _bare(t).casefold())
 
 
 @F.pandas_udf(StringType())
-def ascii_fold(text: pd.Series) -> pd.Series:
-    """Without diacritics, case kept."""
-    return text.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility characters as what they stand for, composed."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed characters."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def once(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -124,15 +177,15 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\x0B\x1C-\x1F\u0085   -     　]+", " "))
 
 
-def clean(text: Column) -> Column:
-    """Squeezed text; null and words for nothing are empty."""
-    t = squeeze(F.coalesce(text, F.lit("")))
+def clean(text: Column, normalised: bool = False) -> Column:
+    """Squeezed text; null and words for nothing are empty. ``normalised`` cells are in NFKC."""
+    t = squeeze(F.coalesce(text if not normalised else nfkc(text), F.lit("")))
     return F.when(F.lower(t).isin(*NULL_WORDS), "").otherwise(t)
 
 
-def clean_term(text: Column) -> Column:
-    """A cell of a terminology table: without arrows, hard spaces and ``#san@..#`` mark-up."""
-    t = F.translate(F.coalesce(text, F.lit("")), " ⇒", "  ")
+def clean_term(text: Column, normalised: bool = False) -> Column:
+    """A cell of a terminology table: without arrows, hard spaces and ``#san@..#`` mark-up. ``normalised`` cells are in NFC."""
+    t = F.translate(F.coalesce(text if not normalised else nfc(text), F.lit("")), "\u00a0\u21d2", "  ")
     t = squeeze(F.regexp_replace(t, "#san@([^#]+)#", "$1"))
     return F.when(F.lower(t).isin(*TERM_NULL_WORDS), "").otherwise(t)
 
@@ -188,8 +241,23 @@ def lower_first(text: Column) -> Column:
 
 
 def split_list(text: Column, separators: str = ",;") -> Column:
-    """Items of a list; separators within parentheses don't count (balanced, not nested)."""
-    items = F.split(F.coalesce(text, F.lit("")), rf"[{separators}](?![^(]*\))")
+    """Items of a list; separators within parentheses, also nested or open to the end, don't count."""
+    plain = F.split(F.coalesce(text, F.lit("")), f"[{separators}]")
+    # with parentheses: a piece that ends inside some goes on in the next
+    depth = lambda x: F.length(F.regexp_replace(x, "[^(]", "")) - F.length(F.regexp_replace(x, "[^)]", ""))
+    marks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{separators}]"), 0)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("at"), F.lit(0).alias("open"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        whole = F.concat(acc["now"], piece)
+        still = acc["open"] + depth(piece)
+        closed = still <= 0
+        done = F.when(closed, F.array_append(acc["done"], whole)).otherwise(acc["done"])
+        mark = F.coalesce(F.try_element_at(marks, acc["at"] + 1), F.lit(""))
+        return F.struct(done.alias("done"), F.when(closed, F.lit("")).otherwise(F.concat(whole, mark)).alias("now"), (acc["at"] + 1).alias("at"), still.alias("open"))
+
+    nested = F.aggregate(plain, start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
+    items = F.when(F.contains(F.coalesce(text, F.lit("")), F.lit("(")), nested).otherwise(plain)
     return F.filter(F.transform(items, lambda x: F.btrim(squeeze(x), F.lit(" ."))), lambda x: x != "")
 
 

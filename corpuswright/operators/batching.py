@@ -60,11 +60,18 @@ def worst(batch_costs: DataFrame) -> DataFrame:
 
 
 def epoch_order(batch_costs: DataFrame, seed: int, epoch: int) -> DataFrame:
-    """Adds ``place``: the largest batch first, the others in the order of a hash of the epoch."""
-    first = F.row_number().over(Window.orderBy(F.desc("cost"), "pool", "batch")) == 1
-    marked = batch_costs.withColumn("first", first)
-    order = Window.orderBy(F.desc("first"), stable_int(str(seed), str(epoch), F.col("pool"), F.col("batch")), "pool", "batch")
-    return marked.withColumn("place", F.row_number().over(order) - 1).drop("first")
+    """Adds ``place``: the largest batch first, the others in the order of a hash of the epoch.
+
+    Batches are counted by slices of the hash, and placed within their slice: no task holds them all.
+    """
+    first = batch_costs.agg(F.max_by(F.struct("pool", "batch"), F.struct("cost", (-F.col("pool")).alias("p"), (-F.col("batch")).alias("b"))).alias("f"))
+    h = stable_int(str(seed), str(epoch), F.col("pool"), F.col("batch"))
+    marked = batch_costs.join(F.broadcast(first)).withColumn("__h", F.when((F.col("pool") == F.col("f.pool")) & (F.col("batch") == F.col("f.batch")), -1).otherwise(h)).drop("f")
+    sliced = marked.withColumn("__s", F.when(F.col("__h") < 0, -1).otherwise(F.floor(F.col("__h") / (1 << 36))).cast("int"))
+    before = F.sum("n").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))  # 4097 slices at most
+    starts = sliced.groupBy("__s").agg(F.count("*").alias("n")).select("__s", F.coalesce(before, F.lit(0)).alias("__from"))
+    within = F.row_number().over(Window.partitionBy("__s").orderBy("__h", "pool", "batch")) - 1
+    return sliced.withColumn("place", within).join(F.broadcast(starts), "__s").withColumn("place", (F.col("place") + F.col("__from")).cast("long")).drop("__s", "__h", "__from")
 
 
 def mask_prompt(prompt: Column, answer: Column, ignored: int = -100) -> Column:
@@ -74,3 +81,19 @@ def mask_prompt(prompt: Column, answer: Column, ignored: int = -100) -> Column:
 
 def pad_right(ids: Column, to: Column, value: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(F.lit(0), to - F.size(ids)).cast("int")))
+
+
+def collate(ids: Column, labels: Column, to: Column, pad: int, ignored: int = -100) -> Column:
+    """struct(input_ids, labels, attention_mask), padded on the right; padding is neither attended to nor learned."""
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.greatest(F.lit(0), to - F.size(ids)).cast("int")))
+    return F.struct(pad_right(ids, to, pad).alias("input_ids"), pad_right(labels, to, ignored).alias("labels"), mask.alias("attention_mask"))
+
+
+def fitting(examples: DataFrame, ids: str, most: int) -> DataFrame:
+    """Examples whose ids are no more than ``most``."""
+    return examples.where(F.size(ids) <= most)
+
+
+def by_length(examples: DataFrame, length: str, id_: str) -> DataFrame:
+    """Examples sorted by length: ranges of lengths, each sorted."""
+    return examples.repartitionByRange(length, id_).sortWithinPartitions(length, id_)

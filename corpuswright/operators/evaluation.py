@@ -77,3 +77,44 @@ def rate(log: DataFrame, by: str, order: list[str], amount: str, time: Column) -
     w = Window.partitionBy(by).orderBy(*order)
     seconds = time.cast("double")
     return log.withColumn("rate", (F.col(amount) - F.lag(amount).over(w)) / F.nullif(seconds - F.lag(seconds).over(w), F.lit(0.0)))
+
+
+def group_of(row_id: Column) -> Column:
+    """The evaluation group that a row's id tells."""
+    closed = F.when(row_id.startswith("nm-") | row_id.startswith("sat-"), "unseen_closed").otherwise("heldout_closed")
+    return (
+        F.when(row_id.startswith("concept-"), "concepts")
+        .when(row_id.startswith("safety-"), "safety")
+        .when(row_id.endswith("|open"), "heldout_open")
+        .when(row_id.endswith("|closed"), closed)
+        .otherwise("seen_closed")
+    )
+
+
+def answered_by_all(results: DataFrame, key: str, models: tuple[str, ...]) -> DataFrame:
+    """Results of keys that every model has answered."""
+    full = results.where(F.col("model").isin(*models)).groupBy(key).agg(F.countDistinct("model").alias("n")).where(F.col("n") == len(models))
+    return results.join(full.select(key), key, "left_semi")
+
+
+def rescored(rows: DataFrame, log: DataFrame, keys: list[str], metrics: Column, order: str) -> DataFrame:
+    """The latest record of each key with its metrics made anew from the rows' columns."""
+    latest = last_wins(log, [*keys, "model"], order).drop("metrics")
+    return latest.join(rows, keys).withColumn("metrics", metrics)
+
+
+def run_summary(log: DataFrame) -> DataFrame:
+    """One row of a training log: the middle speed (the upper one of an even number), and step and value of the least evaluation loss."""
+    speeds = F.sort_array(F.collect_list("tokens_per_second"))
+    return log.agg(F.get(speeds, F.floor(F.size(speeds) / 2).cast("int")).alias("speed"), F.min("eval_loss").alias("eval_loss"), F.min_by("step", F.when(F.col("eval_loss").isNotNull(), F.col("eval_loss"))).alias("step"))
+
+
+def weighted_loss(log: DataFrame, by: list[str], loss: str, tokens: str) -> DataFrame:
+    """Loss for each token and its perplexity, of summed losses."""
+    nll = F.sum(loss) / F.sum(tokens)
+    return log.groupBy(*by).agg(nll.alias("nll"), F.exp(nll).alias("perplexity"))
+
+
+def token_stats(examples: DataFrame, by: list[str], ids: str, supervised: str) -> DataFrame:
+    """Rows, tokens, supervised tokens and the longest example."""
+    return examples.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(ids).alias("tokens"), F.sum(supervised).alias("supervised"), F.max(ids).alias("longest"))

@@ -27,10 +27,9 @@ CAPS = (
 
 
 def keep_first(df: DataFrame, key: Column, *order: Column | str) -> DataFrame:
-    """The first row of each non-empty key. A window over the key; ties need an order that is unique."""
+    """The first row of each non-empty key; a partial aggregate, no sort. Ties need an order that is unique."""
     keyed = df.withColumn("__key", key).where(F.coalesce(F.col("__key"), F.lit("")) != "")
-    ranked = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
-    return ranked.where("__n = 1").drop("__key", "__n")
+    return keyed.groupBy("__key").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
 def keep_best(df: DataFrame, key: Column, score: Column, index: str) -> DataFrame:
@@ -53,11 +52,17 @@ def informativeness(*columns: str) -> Column:
 
 
 def capped(rows: DataFrame, caps: DataFrame) -> DataFrame:
-    """Rows (split, id, group, source) in hash order up to the caps (split, group, source, most)."""
+    """Rows in hash order up to the caps (split, group, source, most); rows (split, id, group, source, ...) without a cap all stay.
+
+    Only groups with a cap are ranked, and each task drops what exceeds the largest cap before the shuffle; the caps are a
+    few dozen rows by definition, which is checked before they are broadcast.
+    """
     keys = ["split", "group", "source"]
+    largest, count = caps.agg(F.max("most"), F.count("*")).first()
+    few = F.broadcast(caps) if count <= 10_000 else caps
     order = Window.partitionBy(*keys).orderBy(stable_int("cap", F.col("split"), F.col("id")), "id")
-    limited = rows.join(F.broadcast(caps), keys, "left")  # a few dozen rows by definition
-    return limited.withColumn("__n", F.row_number().over(order)).where("most IS NULL OR __n <= most").drop("__n", "most")
+    ranked = rows.join(few, keys).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= (largest or 0)).where("__n <= most")
+    return rows.join(few.select(*keys), keys, "left_anti").unionByName(ranked.select(*rows.columns))
 
 
 def caps_table(spark) -> DataFrame:  # noqa: ANN001
@@ -126,17 +131,25 @@ def context_overlap(contexts: DataFrame, held_out: DataFrame) -> DataFrame:
 def mentioned(needles: DataFrame, texts: DataFrame, shortest: int = 4) -> DataFrame:
     """Needles (id, name) whose words occur in a row, one after the other, in some text (text).
 
-    An equi-join of word runs as long as the needles', not a search of every text for every needle.
+    An equi-join of word runs as long as the needles', not a search of every text for every needle: one pass
+    over the texts makes the runs of all lengths that names have.
     """
     split = lambda c: F.filter(F.split(tx.plain_words(c), " "), lambda w: w != "")
-    wanted = needles.select("id", split(F.col("name")).alias("w")).select("id", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).where(F.length("run") >= shortest)
-    lengths = [r.n for r in wanted.select("n").distinct().collect()]  # distinct word counts of names: a handful
-    worded = texts.select(F.explode(F.array(split(F.col("text")))).alias("w"))
-    runs = None
-    for n in lengths:
-        own = worded.where(F.size("w") >= n).select(F.explode(F.array_distinct(F.expr(f"transform(sequence(0, size(w) - {n}), i -> array_join(slice(w, i + 1, {n}), ' '))"))).alias("run"))
-        own = own.join(wanted.where(F.col("n") == n).select("run").distinct(), "run", "left_semi")
-        runs = own if runs is None else runs.unionAll(own)
-    if runs is None:
+    wanted = needles.select("id", F.explode(F.array(split(F.col("name")))).alias("w")).select("id", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).where(F.length("run") >= shortest)
+    lengths = wanted.agg(F.sort_array(F.collect_set("n"))).first()[0]  # distinct word counts of names: a handful
+    if not lengths:
         return needles.limit(0).select("id")
+    worded = texts.select(F.explode(F.array(split(F.col("text")))).alias("w"))
+    each = F.expr(f"flatten(transform(filter(array({', '.join(map(str, lengths))}), n -> n <= size(w)), n -> transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))))")
+    runs = worded.select(F.explode(F.array_distinct(each)).alias("run"))
     return wanted.join(runs, "run", "left_semi").select("id")
+
+
+def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct non-empty values of a that b hasn't."""
+    return a.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").select(key).distinct().join(b.select(key), key, "left_anti")
+
+
+def is_covered(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row (covered): has b every value of a?"""
+    return set_difference(a, b, key).limit(1).agg((F.count("*") == 0).alias("covered"))

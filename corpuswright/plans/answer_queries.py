@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import prompts as p
 from ..functions import safety, scoring
 from ..functions import text as tx
+from ..operators import serving, tokens
 from . import duck
-from .tables import table
+from .tables import cards, table
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def render_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def open_book_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    entries = F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring("text", 1, 20), F.substring("text", 21, 20)))
+    entries = F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     return items.select("item_id", p.user_content(F.concat(F.lit("  "), F.col("text"), F.lit(" ")), entries).alias("content"))
 
 
@@ -101,13 +102,12 @@ def _doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.array_join(F.slice(F.split("item", " "), 1, 5), " ")
-    return _doc_items(spark, sf_dir).select("doc_id", scoring.phrase_hit(first, F.col("tokens")).alias("hit"))
+    return _doc_items(spark, sf_dir).select("doc_id", scoring.phrase_hit(F.col("item"), F.col("tokens")).alias("hit"))
 
 
 def items_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _doc_items(spark, sf_dir)
-    parts = F.slice(F.split("item", r"[.,] "), 1, 4)
+    parts = F.split("item", r"[.,] ")
     scored = tx.once(d.select("doc_id", F.transform(parts, lambda v: scoring.item_covered(v, F.col("tokens"))).alias("flags")), F.col("flags"), "f")
     n = F.size(F.filter("f", lambda x: x))
     return scored.select("doc_id", n.alias("covered"), F.size("f").alias("items"), (n / F.size("f") >= 0.5).alias("correct"))
@@ -128,21 +128,20 @@ def jaccard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def terms_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _doc_items(spark, sf_dir)
-    w = F.split("item", r"[ .,\n]+")
-    hits = scoring.term_hits(F.array(F.concat_ws("|", w[0], w[1]), w[2]), F.col("text"))
+    words = F.filter(F.split("item", r"[ .,\n]+"), lambda w: w != "")
+    hits = scoring.term_hits(words, F.col("text"))
     return d.select("doc_id", F.size(F.filter(hits, lambda x: x)).alias("hits"))
 
 
 def exact_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_items(spark, sf_dir).select("doc_id", F.contains(tx.squeeze(F.col("text")), F.substring("item", 1, 24)).alias("hit"))
+    return _doc_items(spark, sf_dir).select("doc_id", F.contains(tx.squeeze(F.col("text")), tx.squeeze(F.col("item"))).alias("hit"))
 
 
 def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _doc_items(spark, sf_dir)
     tokens = F.col("tokens")
-    first = F.array_join(F.slice(F.split("item", " "), 1, 5), " ")
     flag = lambda hit: scoring.result(hit.cast("double"), hit)
-    parts = F.array(flag(scoring.phrase_hit(first, tokens)), flag(F.contains(tx.squeeze(F.col("text")), F.substring("item", 1, 24))), flag(F.col("text").rlike(r"\bthe\b")))
+    parts = F.array(flag(scoring.phrase_hit(F.col("item"), tokens)), flag(F.contains(tx.squeeze(F.col("text")), tx.squeeze(F.col("item")))), flag(F.col("text").rlike(r"\bthe\b")))
     c = scoring.composite(parts)
     return d.select("doc_id", F.round(c["score"], 6).alias("score"), c["correct"].alias("correct"))
 
@@ -176,10 +175,26 @@ def safety_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unscorable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns whose text scores as wrong against its own first line as a phrase."""
-    t = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    hit = scoring.phrase_hit(F.substring_index("text", ".", 1), tx.content_tokens(F.col("text")))
-    return t.where(~hit).select("conv_id", "turn")
+    """Assistant turns that score as wrong against the turn before, as a phrase."""
+    hit = scoring.phrase_hit(F.col("reference"), tx.content_tokens(F.col("answer")))
+    return _pairs(spark, sf_dir).where(~hit).select("conv_id", "turn")
+
+
+def chat_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns answered as one batch, with documents as cards and a generator that states doses now and then."""
+    requests = _asked(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "message", F.array().cast("array<struct<role:string,content:string>>").alias("history"))
+    reply = lambda made: made.withColumn("answer", F.when(F.split("id", "-")[1].cast("int") % 3 == 0, "Take 2.5 - 5 g twice daily.").otherwise("Rest well."))
+    out = serving.chat(requests, cards(spark, sf_dir), "Be brief.", {"urgent": "call", "self_harm": "talk", "dose": "ask"}, reply)
+    return out.select("id", "answer", (F.col("mode") == "safety").alias("by_safety"), "outcome", "warning", (F.size("citations") > 0).alias("__c")).drop("__c")
+
+
+def encoded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of conversations that end with an answer, their prompts masked; SQL has no tokenizer."""
+    import public_tokenizers
+
+    c = conversations(spark, sf_dir).where("size(messages) >= 2 AND messages[size(messages) - 1].role = 'assistant' AND messages[size(messages) - 2].role = 'user' AND NOT exists(messages, m -> m.role = 'system')")
+    rows = c.select(F.col("conv_id").cast("string").alias("id"), F.when(F.col("conv_id") % 5 == 0, "test").otherwise("train").alias("split"), "messages")
+    return tokens.report(tokens.examples(rows, "Be brief.", public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +206,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean(t).alias("cleaned"), tx.slug(t).alias("slug"), tx.word_count(t).cast("long").alias("words"), tx.capitalize(t).alias("capital"), tx.sentence(t).alias("sentence"))
 
 
-QUERIES = {f.__name__: f for f in (conv_validate, render_chatml, open_book_prompt, clean_generation, history_window, followup_query, label_mask_counts, token_percentiles, copy_rate, token_f1, rouge_l, phrase_hit, items_covered, first_match_class, jaccard_tags, terms_hit, exact_hit, composite_score, safety_route, dose_guard, safety_score, unscorable_filter, stem_tokens, clean_text)}
+QUERIES = {f.__name__: f for f in (conv_validate, render_chatml, open_book_prompt, clean_generation, history_window, followup_query, label_mask_counts, token_percentiles, copy_rate, token_f1, rouge_l, phrase_hit, items_covered, first_match_class, jaccard_tags, terms_hit, exact_hit, composite_score, safety_route, dose_guard, safety_score, unscorable_filter, chat_outcomes, encoded_report, stem_tokens, clean_text)}
 
 _C = "c AS (SELECT conv_id, list({role: role, content: text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id)"
 _TALK = "t AS (SELECT *, list_filter(m, lambda x: x.role <> 'system') AS talk FROM c)"
@@ -201,9 +216,10 @@ _SPACES = "[ \\t\\r\\n]"
 _BLANK = "regexp_matches(coalesce({}, ''), '^[ \\t\\r\\n]*$')"
 _WORDS = "CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END"
 _PAIRS = "pairs AS (SELECT * FROM (SELECT conv_id, turn, role, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations) WHERE role = 'assistant' AND reference IS NOT NULL)"
-_ITEMS = "di AS (SELECT d.doc_id, d.text, b.text AS item FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)"
-_FIRST5 = "array_to_string(string_split(item, ' ')[1:5], ' ')"
+_ITEMS = """pl AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM benchmark)),
+di AS (SELECT d.doc_id, d.text, b.text AS item FROM documents d JOIN pl ON d.doc_id % pl.n = pl.place JOIN benchmark b USING (item_id))"""
 _SQUEEZED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_ITEM = "trim(regexp_replace(item, '\\s+', ' ', 'g'))"
 
 
 def _phrase(phrase: str, text: str) -> str:
@@ -230,7 +246,7 @@ def _routes() -> str:
 _GENERIC = "list_transform([" + ", ".join(f"'{w}'" for w in scoring.GENERIC_WORDS) + "], lambda w: w)"
 _TOKEN_SQL = duck.content_tokens("text")
 _ITEM_SQL = f"""WITH {_ITEMS}, g AS (SELECT {duck.content_tokens(repr(' '.join(scoring.GENERIC_WORDS)))} AS generic),
-v AS (SELECT doc_id, {_TOKEN_SQL} AS a, unnest(string_split_regex(item, '[.,] ')[1:4]) AS val FROM di),
+v AS (SELECT doc_id, {_TOKEN_SQL} AS a, unnest(string_split_regex(item, '[.,] ')) AS val FROM di),
 k AS (SELECT doc_id, a, {duck.content_tokens('val')} AS k, generic FROM v, g),
 s AS (SELECT doc_id, a, CASE WHEN len(list_filter(k, lambda z: NOT list_contains(generic, z))) > 0 THEN list_filter(k, lambda z: NOT list_contains(generic, z)) ELSE k END AS s FROM k),
 f AS (SELECT doc_id, len(s) > 0 AND len(list_filter(s, lambda z: list_contains(a, z))) / len(s) >= 0.5 AS f FROM s)
@@ -242,7 +258,7 @@ SELECT conv_id, {_RENDER_FAULT} AS render_fault, CASE WHEN {_BLANK.format('q')}
   WHEN len(list_filter(list_transform(h, lambda x, i: x.role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END), lambda ok: NOT ok)) > 0 THEN 'history does not alternate'
   WHEN len(list_filter(h, lambda x: {_BLANK.format('x.content')} OR length(x.content) > 8000)) > 0 THEN 'bad history text' END AS request_fault FROM h""",
     "render_chatml": f"""WITH {_C} SELECT conv_id, array_to_string(list_transform(m, lambda x: '<|im_start|>' || x.role || chr(10) || x.content || '<|im_end|>' || chr(10)), '') || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS prompt FROM c WHERE {_RENDER_FAULT} IS NULL""",
-    "open_book_prompt": "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN trim(text) ELSE 'Knowledge base entries:' || chr(10) || '[1] ' || text[1:20] || chr(10) || '[2] ' || text[21:40] || chr(10) || chr(10) || 'Question: ' || trim(text) END AS content FROM benchmark",
+    "open_book_prompt": "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN trim(text) ELSE 'Knowledge base entries:' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: '[' || i || '] ' || x), chr(10)) || chr(10) || chr(10) || 'Question: ' || trim(text) END AS content FROM benchmark",
     "clean_generation": """WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<think>' || chr(10) || 'hidden' || chr(10) || '</think>' || chr(10) || chr(10) ELSE ' ' END || text || CASE WHEN turn % 3 = 0 THEN '<|im_end|> rest <|endoftext|>' ELSE '' END AS raw, text FROM conversations)
 SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(13) || chr(10)) AS answer, trim(raw, chr(32) || chr(9) || chr(13) || chr(10)) || '<|im_end|>' AS completion FROM r""",
     "history_window": f"WITH {_C}, {_TALK} SELECT conv_id, least(len(talk), 4)::INT AS n, array_to_string(list_transform(talk[-4:], lambda x: x.role), ',') AS roles FROM t",
@@ -253,20 +269,23 @@ SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(13) || chr(10)) AS ans
     "token_f1": f"""WITH {_PAIRS}, k AS (SELECT conv_id, turn, {duck.content_tokens('answer')} AS a, {duck.content_tokens('reference')} AS b FROM pairs),
 o AS (SELECT conv_id, turn, len(a) + len(b) AS n, coalesce(list_sum(list_transform(list_distinct(a), lambda z: least(len(list_filter(a, lambda y: y = z)), len(list_filter(b, lambda y: y = z))))), 0) AS overlap FROM k)
 SELECT conv_id, turn, CASE WHEN overlap = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * overlap / n, 6) END AS f1 FROM o""",
-    "phrase_hit": f"WITH {_ITEMS} SELECT doc_id, {_phrase(_FIRST5, 'text')} AS hit FROM di",
+    "phrase_hit": f"WITH {_ITEMS} SELECT doc_id, {_phrase('item', 'text')} AS hit FROM di",
     "items_covered": _ITEM_SQL,
     "first_match_class": f"WITH f AS (SELECT doc_id, {duck.fold('text')} AS t FROM documents) SELECT doc_id, {_first('t')} AS class FROM f",
     "jaccard_tags": f"""WITH {_ITEMS}, f AS (SELECT doc_id, {_tags(duck.fold('text'))} AS a, {_tags(duck.fold('item'))} AS b FROM di)
 SELECT doc_id, CASE WHEN len(list_distinct(a || b)) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) END AS jaccard FROM f""",
-    "terms_hit": f"""WITH {_ITEMS}, f AS (SELECT doc_id, {duck.fold('text')} AS t, list_transform(string_split_regex(item, '[ .,\\n]+'), lambda w: {duck.fold('w')}) AS w FROM di)
-SELECT doc_id, regexp_matches(t, '\\b(?:' || w[1] || '|' || w[2] || ')')::INT + regexp_matches(t, '\\b(?:' || w[3] || ')')::INT AS hits FROM f""",
-    "exact_hit": f"WITH {_ITEMS} SELECT doc_id, contains({_SQUEEZED}, item[1:24]) AS hit FROM di",
-    "composite_score": f"""WITH {_ITEMS}, f AS (SELECT doc_id, {_phrase(_FIRST5, 'text')}::INT + contains({_SQUEEZED}, item[1:24])::INT + regexp_matches(text, '\\bthe\\b')::INT AS n FROM di) SELECT doc_id, round(n / 3, 6) AS score, n / 3 >= 0.5 AS correct FROM f""",
+    "terms_hit": f"""WITH {_ITEMS}, f AS (SELECT doc_id, {duck.fold('text')} AS t, list_filter(list_transform(string_split_regex(item, '[ .,\\n]+'), lambda w: {duck.fold('w')}), lambda w: w <> '') AS w FROM di)
+SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(t, '\\b(?:' || regexp_escape(x) || ')')))::INT AS hits FROM f""",
+    "exact_hit": f"WITH {_ITEMS} SELECT doc_id, contains({_SQUEEZED}, {_ITEM}) AS hit FROM di",
+    "composite_score": f"""WITH {_ITEMS}, f AS (SELECT doc_id, {_phrase('item', 'text')}::INT + contains({_SQUEEZED}, {_ITEM})::INT + regexp_matches(text, '\\bthe\\b')::INT AS n FROM di) SELECT doc_id, round(n / 3, 6) AS score, n / 3 >= 0.5 AS correct FROM f""",
     "safety_route": f"WITH a AS (SELECT conv_id, turn, [{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in _ASKS)}][(conv_id + turn) % {len(_ASKS)} + 1] || text AS m FROM conversations) SELECT conv_id, turn, {_routes()} AS route FROM a",
+    "chat_outcomes": f"""WITH a AS (SELECT conv_id, turn, [{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in _ASKS)}][(conv_id + turn) % {len(_ASKS)} + 1] || text AS m FROM conversations), r AS (SELECT conv_id, turn, {_routes()} AS route FROM a)
+SELECT conv_id || '-' || turn AS id, CASE route WHEN 'urgent' THEN 'call' WHEN 'self_harm' THEN 'talk' WHEN 'dose' THEN 'ask' ELSE CASE WHEN turn % 3 = 0 THEN 'ask' ELSE 'Rest well.' END END AS answer, route <> 'answer' AS by_safety,
+  CASE WHEN route IN ('urgent', 'self_harm') THEN 'urgent' WHEN route = 'dose' OR turn % 3 = 0 THEN 'refused' ELSE 'answered' END AS outcome, CASE WHEN route = 'answer' AND turn % 3 = 0 THEN 'dose_removed' END AS warning FROM r""",
     "dose_guard": f"WITH a AS (SELECT conv_id, turn, {_DOSED} || text AS a FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(a, '(?i){safety.ANSWER_DOSE}') THEN 'no dose' ELSE a END AS answer, regexp_matches(a, '(?i){safety.ANSWER_DOSE}') AS replaced FROM a",
     "safety_score": f"""WITH a AS (SELECT conv_id, turn, {_DOSED} || text AS a FROM conversations) SELECT conv_id, turn, CASE conv_id % 3 WHEN 1 THEN regexp_matches(a, '(?i){scoring.EMERGENCY}') WHEN 2 THEN regexp_matches(a, '(?i){scoring.CRISIS}')
   ELSE NOT regexp_matches(a, '(?i){scoring.DOSE}') AND regexp_matches(a, '(?i){scoring.REFERRAL}') END AS correct FROM a""",
-    "unscorable_filter": f"WITH a AS (SELECT conv_id, turn, text, split_part(text, '.', 1) AS f FROM conversations WHERE role = 'assistant') SELECT conv_id, turn FROM a WHERE NOT {_phrase('f', 'text')}",
+    "unscorable_filter": f"WITH {_PAIRS} SELECT conv_id, turn FROM pairs WHERE NOT {_phrase('reference', 'answer')}",
     "stem_tokens": f"SELECT item_id, array_to_string({duck.content_tokens('text')}, ' ') AS stems, array_to_string({duck.tokenize('text')}, ' ') AS tokens FROM benchmark",
     "clean_text": f"""WITH a AS (SELECT *, {_SQUEEZED} AS q FROM conversations) SELECT conv_id, turn, CASE WHEN lower(q) IN ('', 'none', 'none specific', 'nan', 'n/a', 'na', '-') THEN '' ELSE q END AS cleaned, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
   ({_WORDS})::BIGINT AS words, upper(text[1:1]) || text[2:] AS capital, CASE WHEN regexp_matches(trim(text), '[.!?]$') THEN trim(text) ELSE trim(text) || '.' END AS sentence FROM a""",

@@ -63,7 +63,7 @@ def heldout_term_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reverse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = facts.reverse(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), "p_brand", "p_name", "p_partkey")
-    return out.select("key", "first", tx.join_list(F.slice("names", 1, 5)).alias("names"), F.size("names").alias("n"))
+    return out.select("key", "first", tx.join_list(F.col("names")).alias("names"), F.size("names").alias("n"))
 
 
 def two_turn_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ ORACLES = {
     "rag_only_expansion": _expansion([("'train'", _nth("rag", i), "|open", "true", "grp", "grp = 'rag_only'") for i in (1, 2)]),
     "heldout_expansion": _expansion([(_HELD_SPLIT, _HELD_SLOT, "|open", "true", "'heldout_open'", "grp LIKE 'heldout%'"), (_HELD_SPLIT, _HELD_SLOT, "|closed", "false", "'heldout_closed'", f"grp = 'heldout_test' AND {_chance(0.5, 'control')}")]),
     "heldout_term_expansion": _expansion([(_HELD_SPLIT, _HELD_SLOT, "|open", "true", "'heldout_open'", "grp LIKE 'heldout%'"), (_HELD_SPLIT, _HELD_SLOT, "|closed", "false", "'unseen_closed'", "grp LIKE 'heldout%' AND attribute = 'type'")]),
-    "reverse_facts": "WITH r AS (SELECT lower(p_brand) AS key, arg_min(p_brand, p_partkey) AS first, list(p_name ORDER BY p_partkey) AS l FROM part WHERE p_brand <> '' GROUP BY 1) SELECT key, first, CASE WHEN len(l) <= 1 THEN array_to_string(l, '') ELSE array_to_string(l[1:least(len(l), 5) - 1], ', ') || ' and ' || l[least(len(l), 5)] END AS names, len(l)::INT AS n FROM r",
+    "reverse_facts": "WITH r AS (SELECT lower(p_brand) AS key, arg_min(p_brand, p_partkey) AS first, list(p_name ORDER BY p_partkey) AS l FROM part WHERE p_brand <> '' GROUP BY 1) SELECT key, first, CASE WHEN len(l) <= 1 THEN array_to_string(l, '') ELSE array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[len(l)] END AS names, len(l)::INT AS n FROM r",
     "two_turn_conversations": f"""WITH {_FACTS}, {_TEMPLATES}, o AS (SELECT entity, name, list({{h: {_I(_q('turn'), 'entity', 'attribute')}, attribute: attribute, answer: answer}} ORDER BY {_I(_q('turn'), 'entity', 'attribute')}, attribute) AS l FROM f GROUP BY entity, name),
 p AS (SELECT entity, name, l[1] AS a, l[2] AS b, entity || '|' || l[1].attribute || '>' || l[2].attribute AS id, {_nth('turn-slot', 1).replace('key', 'entity')} AS slot FROM o WHERE len(l) >= 2)
 SELECT p.id, entity, 'user:' || replace(t.text, '{{name}}', name) || chr(10) || 'assistant:' || a.answer || chr(10) || 'user:And its ' || b.attribute || '?' || chr(10) || 'assistant:' || b.answer AS talk, {_I(_q('multi-open'), 'p.id')} % 10000 < 4000 AS open_too FROM p JOIN t ON t.attribute = a.attribute AND t.slot = p.slot""",

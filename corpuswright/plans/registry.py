@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, build_queries, retrieval_queries, split_queries
+from . import answer_queries, assembly_queries, build_queries, retrieval_queries, split_queries
 
-_MODULES = (retrieval_queries, split_queries, answer_queries, build_queries)
+_MODULES = (retrieval_queries, split_queries, answer_queries, build_queries, assembly_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -6,6 +6,11 @@ read, are small by nature and are parsed on the driver.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,10 +81,38 @@ def write_ordered(df: DataFrame, path: str, split: str, id_: str) -> None:
     df.withColumn("__o", order).repartitionByRange("__o", id_).sortWithinPartitions("__o", id_).drop("__o").write.option("compression", "gzip").json(path)
 
 
+def _plain_bytes(content: bytes) -> bytes:
+    import gzip
+
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
 def content_hashes(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file, sha256) of whole files, read in parallel."""
+    """(file, sha256) of whole files, read in parallel; gzipped ones by what is in them, as headers may differ."""
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+    @F.pandas_udf("string")
+    def inside(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: hashlib.sha256(_plain_bytes(bytes(c))).hexdigest())
+
+    name = F.element_at(F.split("path", "/"), -1)
+    plain = files.where(~name.endswith(".gz")).select(name.alias("file"), F.sha2("content", 256).alias("sha256"))
+    return plain.unionByName(files.where(name.endswith(".gz")).select(name.alias("file"), inside("content").alias("sha256")))
+
+
+def resolve(spark: SparkSession, folder: str, name: str, sha256: str) -> str:
+    """The path of the first file of that name below a folder, if its content has the hash; else this raises."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+    found = files.select("path", F.sha2("content", 256).alias("sha256")).orderBy("path").first()
+    if found is None:
+        raise FileNotFoundError(f"{name} not found below {folder}")
+    if found.sha256 != sha256:
+        raise ValueError(f"{name}: {found.sha256} instead of {sha256}")
+    return found.path
+
+
+def prompt_hash(prompt: str) -> str:
+    return hashlib.sha256(prompt.encode()).hexdigest()
 
 
 def manifest_faults(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -88,10 +121,142 @@ def manifest_faults(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.where("found IS NULL OR found <> sha256").select("file", F.when(F.col("found").isNull(), "missing").otherwise("mismatch").alias("fault"))
 
 
-def write_relational(tables: dict[str, DataFrame], keys: dict[str, list[str]], path: str) -> None:
-    """A Parquet folder for each table, after its key has been checked to be unique."""
+def write_relational(tables: dict[str, DataFrame], keys: dict[str, list[str]], path: str, audit: dict[str, DataFrame] | None = None) -> None:
+    """A Parquet folder for each table, replaced all at once after keys are unique and audits (tables of violations) are empty.
+
+    Tables are written to a folder beside ``path``, which then takes its name.
+    """
     for name, df in tables.items():
-        repeated = df.groupBy(*keys[name]).agg(F.count("*").alias("n")).where("n > 1")
-        if name in keys and not repeated.isEmpty():
+        if name in keys and not df.groupBy(*keys[name]).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             raise ValueError(f"{name}: repeated keys")
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, violations in (audit or {}).items():
+        if not violations.isEmpty():
+            raise ValueError(f"audit failed: {name}")
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{staged}/{name}")
+    _replace(spark, staged, path)
+
+
+def _replace(spark: SparkSession, new: str, path: str) -> None:
+    """Give a folder or file the place of another through Hadoop's file system; what stood there goes last."""
+    jvm = spark._jvm
+    to, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    had = fs.exists(to)
+    if had and not fs.rename(to, old) or not fs.rename(made, to):
+        raise OSError(f"can't replace {path}")
+    if had:
+        fs.delete(old, True)
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """One JSON file, keys sorted, that appears whole or not at all."""
+    jvm, made = spark._jvm, f"{path}.{uuid.uuid4().hex}"
+    at = jvm.org.apache.hadoop.fs.Path(made)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray((json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()))
+    finally:
+        out.close()
+    _replace(spark, made, path)
+
+
+def write_cards(cards: DataFrame, path: str) -> None:
+    """Cards (card_id, title, source, text) as JSON lines, keys sorted."""
+    cards.select("card_id", "source", "text", "title").write.json(path)
+
+
+def read_cards(spark: SparkSession, path: str) -> DataFrame:
+    """Cards (card_id, title, source, text) of JSON lines with card_id or id; repeated ids raise."""
+    raw = spark.read.schema("card_id string, id string, title string, source string, text string").option("mode", "FAILFAST").json(path)
+    cards = raw.select(F.coalesce("card_id", "id").alias("card_id"), "title", "source", "text")
+    if not cards.groupBy("card_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"{path}: repeated ids")
+    return cards
+
+
+def provenance(spark: SparkSession, records: list[dict[str, str]]) -> DataFrame:
+    """(id, name, license, url, sha256, use) of the sources, one row each."""
+    columns = ["id", "name", "license", "url", "sha256", "use"]
+    if len({r["id"] for r in records}) != len(records):
+        raise ValueError("repeated sources")
+    return spark.createDataFrame([tuple(r.get(c, "") for c in columns) for r in records], strings(columns))
+
+
+def manifest(inputs: dict[str, str], outputs: DataFrame, prompt: str) -> dict[str, object]:
+    """Hashes of inputs, of output files (file, sha256: a few) and of the prompt."""
+    return {"inputs": inputs, "outputs": {r.file: r.sha256 for r in outputs.collect()}, "system_prompt_sha256": prompt_hash(prompt)}
+
+
+def verify_manifest(expected: dict, actual: DataFrame, prompt: str) -> None:
+    """Raise for missing or differing files (file, sha256) and for another prompt."""
+    want = actual.sparkSession.createDataFrame(sorted(expected["outputs"].items()), "file string, sha256 string")
+    faults = [f"{r.file}: {r.fault}" for r in manifest_faults(want, actual).collect()]
+    if expected["system_prompt_sha256"] != prompt_hash(prompt):
+        faults.append("the system prompt differs")
+    if faults:
+        raise ValueError("; ".join(faults))
+
+
+def run_fingerprint(config: dict, manifest_: dict, paths: tuple[tuple[str, ...], ...] = (("output_dir",), ("base_model", "local_dir"))) -> str:
+    """16 digits that tell a configuration and its data, paths left out."""
+    raw = json.loads(json.dumps(config))
+    for *above, last in paths:
+        at = raw
+        for k in above:
+            at = at.get(k, {})
+        at.pop(last, None)
+    return hashlib.sha256(json.dumps({"config": raw, "data": manifest_}, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def read_concepts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, questions, answer, key_terms) of a YAML file with ``concepts``; each has five questions. Needs yaml."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        rows = [(c["id"], list(map(str, c["questions"])), str(c["answer"]), list(map(str, c["key_terms"]))) for c in yaml.safe_load(f)["concepts"]]
+    if bad := [r[0] for r in rows if len(r[1]) != 5]:
+        raise ValueError(f"{path}: {bad} without five questions")
+    return spark.createDataFrame(rows, "id string, questions array<string>, answer string, key_terms array<string>")
+
+
+def read_safety(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(split, kind, place, prompt) of a YAML file with ``train`` and ``test`` prompts, and the rest of the file. Needs yaml."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        raw = yaml.safe_load(f)
+    rows = [(s, k, i, str(x)) for s in ("train", "test") for k, listed in raw.pop(s).items() for i, x in enumerate(listed)]
+    return spark.createDataFrame(rows, "split string, kind string, place int, prompt string"), raw
+
+
+def read_templates(spark: SparkSession, path: str, slots: int = 7) -> DataFrame:
+    """(kind, attribute, slot, text) of a YAML file {kind: {attribute: [text, ...]}}; every attribute has one text a slot. Needs yaml."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        raw = yaml.safe_load(f)
+    rows = [(k, a, i, str(t)) for k, attributes in raw.items() for a, texts in attributes.items() for i, t in enumerate(texts)]
+    if bad := [a for attributes in raw.values() for a, texts in attributes.items() if len(texts) != slots]:
+        raise ValueError(f"{path}: {bad} without {slots} texts")
+    return spark.createDataFrame(rows, "kind string, attribute string, slot int, text string")
+
+
+def read_config(path: str, overrides: dict[str, str] | None = None) -> dict:
+    """A YAML file with some dotted keys set anew. Needs yaml."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        raw = yaml.safe_load(f)
+    for key, value in (overrides or {}).items():
+        *above, last = key.split(".")
+        at = raw
+        for k in above:
+            at = at.setdefault(k, {})
+        at[last] = value
+    return raw
