@@ -1,24 +1,26 @@
 """Exact URL filtering with a cascade of Bloom filters, on the JVM alone.
 
 A rule is a host, for itself and its subdomains, and a prefix of the path. Every URL has candidate
-keys: each suffix of its host, by labels, with each prefix of its path that is as long as some
+keys: the suffixes of its host with as many labels as some rule's, with the prefixes of its path that are as long as some
 rule's. A URL fits a rule exactly if the rule is one of its keys, so filtering is membership of
 keys in the list.
 
 The cascade answers membership exactly over the key universe of the corpus, that is, all candidate
 keys of all its URLs. Level 1 encodes the listed keys; level 2 the keys of the universe that level 1
 takes for listed without reason; level 3 the listed keys that level 2 takes for such, and so on until
-a level has no false positive. A key's verdict is that of the first level that doesn't hold it. The
-first level's size is chosen so that its false positives are about as many as the listed keys;
-from there on each level halves, so the cascade is bounded by the list (``MAX_RULES``), not by
-the corpus. Only false positives are ever shuffled or collected, and their number is bounded alike:
-more of them than ``MAX_FALSE`` make the first level larger. The levels are constants in the plan:
-judging needs no join and no shuffle.
+a level has no false positive. A key's verdict is that of the first level that doesn't hold it. The first level lets
+through a false key in ``2 ** FIRST_BITS``, each later one every second, so level 2 has ``universe / 2 ** FIRST_BITS``
+keys and from there on each level halves.
+
+The allow and the block list have a cascade each; one pass over the corpus finds the false positives of both first levels,
+and only those are shuffled. They stay in tables; no list and no false positive is collected, and neither is capped. What comes to the
+driver, and goes back into the plan as a constant, are the levels' bits: some 35 for a listed key, 1.5 for a false positive.
+Judging is a scan without join or shuffle.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; of
 several fitting rules the longest (host and path together) wins, of equally long ones that with
-the longer host; null ids stay null, repeated rows have equal results, an empty table an empty one.
-Columns beside page_id and url are left out.
+the longer host; of rules with one host and path in a table block wins, in a tuple the last; null ids stay null, repeated rows
+have equal results, an empty table an empty one, and so has a table without rules no rule. Columns beside page_id and url are left out.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 1_000_000
-MAX_FALSE = 1_000_000
-HASHES = 20
+from . import scratch
+
+FIRST_BITS = 24
 
 #: The contract's rules: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -39,19 +41,20 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter: words of 64 bits and the number of hashes."""
+    """A Bloom filter: a constant array of words of 64 bits, their number of bits and that of hashes."""
 
-    words: tuple[int, ...]
+    words: Column
+    bits: int
     hashes: int
 
-    @property
-    def bits(self) -> int:
-        return 64 * len(self.words)
+
+def _lower(x: Column) -> Column:
+    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def host_of(url: Column) -> Column:
     after = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)"))
-    return F.translate(F.coalesce(F.regexp_extract(after, "^[^/?#]*", 0), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.coalesce(F.regexp_extract(after, "^[^/?#]*", 0), F.lit("")))
 
 
 def path_of(url: Column) -> Column:
@@ -65,86 +68,91 @@ def parsed(pages: DataFrame) -> DataFrame:
     return named.select("page_id", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
 
 
-def with_keys(urls: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """Adds ``keys``: candidate keys of (host, path), longest first, of equally long ones the longer host first."""
-    lengths = f"array({', '.join(map(str, path_lengths)) or 'cast(null as int)'})"
-    suffixes = "transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))"
-    prefixes = f"transform(filter({lengths}, n -> n <= char_length(path)), n -> substring(path, 1, n))"
+def with_keys(urls: DataFrame, labels: list[int], path_lengths: list[int]) -> DataFrame:
+    """Adds ``keys``: candidate keys of (host, path), longest first, of equally long ones the longer host first.
+
+    Only suffixes of so many labels and prefixes of such lengths as rules have.
+    """
+    listed = lambda x: f"array({', '.join(map(str, x)) or 'cast(null as int)'})"
+    parts = "split(host, '[.]')"
+    suffixes = f"transform(filter({listed(labels)}, n -> n <= size({parts})), n -> array_join(slice({parts}, -n, n), '.'))"
+    prefixes = f"transform(filter({listed(path_lengths)}, n -> n <= char_length(path)), n -> substring(path, 1, n))"
     each = f"flatten(transform({suffixes}, h -> transform({prefixes}, p -> struct(-char_length(h) - char_length(p) AS a, -char_length(h) AS b, concat(h, p) AS key))))"
     return urls.withColumn("keys", F.expr(f"transform(array_sort(CASE WHEN host = '' THEN cast(array() as array<struct<a:int,b:int,key:string>>) ELSE {each} END), x -> x.key)"))
 
 
-def _holds(level: Level, n: int) -> str:
-    """SQL: does the level hold the key ``k``? Positions are a double hash of the key, seeded by the level."""
-    word = "array(" + ", ".join(f"{w}L" if w > -(1 << 63) else "bigint('-9223372036854775808')" for w in level.words) + ")"
-    at = _position(level, n)
-    return f"forall(sequence(0, {level.hashes - 1}), i -> getbit({word}[cast(({at}) div 64 as int)], cast(({at}) % 64 as int)) = 1)"
+def _position(key: Column, i: Column, bits: int, n: int) -> Column:
+    """Of the i-th hash: a double hash of the key, seeded by the level."""
+    one, two = (F.pmod(F.xxhash64(key, F.lit(2 * n + j)), F.lit(bits)) for j in (0, 1))
+    return F.pmod(one + i * two, F.lit(bits))
+
+
+def holds(level: Level, key: Column, n: int) -> Column:
+    """Does level n hold the key?"""
 
+    def is_set(i: Column) -> Column:
+        at = _position(key, i, level.bits, n)
+        return F.getbit(F.get(level.words, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
 
-def _position(level: Level, n: int) -> str:
-    return f"pmod(pmod(xxhash64(k, {2 * n}), {level.bits}) + i * pmod(xxhash64(k, {2 * n + 1}), {level.bits}), {level.bits})"
+    return F.forall(F.sequence(F.lit(0), F.lit(level.hashes - 1)), is_set)
 
 
-def make_level(keys: DataFrame, count: int, false_rate: float, n: int) -> Level:
-    """A level of the ``count`` keys in column ``k``; its bits are OR-ed by position on the executors."""
-    hashes = max(1, min(HASHES, round(-math.log2(false_rate))))
-    words = max(1, math.ceil(-count * math.log(false_rate) / math.log(2) ** 2 / 64))
-    shape = Level((0,) * words, hashes)
-    at = keys.select(F.explode(F.expr(f"transform(sequence(0, {hashes - 1}), i -> {_position(shape, n)})")).alias("at"))
-    made = at.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
-    out = [0] * words
-    for r in made:
-        out[r.word] = r.bits
-    return Level(tuple(out), hashes)
+def make_level(keys: DataFrame, count: int, false_bits: int, n: int) -> Level:
+    """Level n of the ``count`` keys in column ``k``; its bits are OR-ed by position on the executors."""
+    words = max(1, math.ceil(count * false_bits / math.log(2) / 64))
+    at = keys.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(false_bits - 1)), lambda i: _position(F.col("k"), i, 64 * words, n))).alias("at"))
+    made = at.groupBy(F.expr("at div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    full = keys.sparkSession.range(words).join(made, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    row = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("words"))
+    # the array goes from the driver's JVM into the plan as it is
+    functions = keys.sparkSession._jvm.org.apache.spark.sql.functions
+    return Level(Column(functions.lit(row._jdf.head().get(0))), 64 * words, false_bits)
 
 
-def member(levels: list[Level], key: str = "k") -> str:
-    """SQL: is ``key`` listed? The first level that doesn't hold it decides; the last one's yes stands."""
-    out = "true" if len(levels) % 2 else "false"
+def member(levels: list[Level], key: Column) -> Column:
+    """Is the key listed? The first level that doesn't hold it decides; the last one's yes stands."""
+    out = F.lit(len(levels) % 2 == 1)
     for n in reversed(range(len(levels))):
-        out = f"CASE WHEN NOT {_holds(levels[n], n)} THEN {'false' if n % 2 == 0 else 'true'} ELSE {out} END"
-    return out if key == "k" else out.replace("xxhash64(k,", f"xxhash64({key},")
-
-
-def cascade(listed: list[str], universe: DataFrame) -> list[Level]:
-    """Levels that tell the listed keys from all other keys in column ``k`` of ``universe``."""
-    if len(listed) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    if not listed:
-        return []
-    spark = universe.sparkSession
-    sides = [spark.createDataFrame([(k,) for k in sorted(set(listed))], "k string")]
-    count = [len(set(listed)), universe.count()]
-    rate = min(0.5, max(2.0**-HASHES, count[0] / max(1, count[1])))
-    while True:
-        levels = [make_level(sides[0], count[0], rate, 0)]
-        # keys that pass level 1 without being listed; few, so that only they are shuffled
-        passing = universe.where(F.expr(_holds(levels[0], 0))).distinct()
-        false = passing.join(F.broadcast(sides[0]), "k", "left_anti").limit(MAX_FALSE + 1).collect()
-        if len(false) <= MAX_FALSE or rate <= 2.0**-HASHES:
-            break
-        rate /= 16
-    if len(false) > MAX_FALSE:
-        raise ValueError(f"more than {MAX_FALSE} false positives of the first level")
-    sets = [[r.k for r in sides[0].collect()], [r.k for r in false]]
-    while sets[1]:
-        n = len(levels)
-        levels.append(make_level(spark.createDataFrame([(k,) for k in sets[1]], "k string"), len(sets[1]), 0.5, n))
-        wrong = spark.createDataFrame([(k,) for k in sets[0]], "k string").where(F.expr(_holds(levels[n], n))).collect()
-        sets = [sets[1], [r.k for r in wrong]]
+        out = F.when(~holds(levels[n], key, n), n % 2 == 1).otherwise(out)
+    return out
+
+
+def cascades(listed: dict[str, DataFrame], universe: DataFrame, first_bits: int = FIRST_BITS) -> dict[str, list[Level]]:
+    """For each list (distinct keys in column ``k``) levels that tell its keys from all other keys of ``universe``."""
+    counts = {v: df.count() for v, df in listed.items()}
+    levels = {v: [make_level(df, counts[v], first_bits, 0)] if counts[v] else [] for v, df in listed.items()}
+    names = [v for v in listed if counts[v]]
+    if not names:
+        return levels
+    flags = [holds(levels[v][0], F.col("k"), 0).alias(f"in_{v}") for v in names]
+    passing = scratch.cut(universe.select("k", *flags).where(" OR ".join(f"in_{v}" for v in names)).distinct(), "passing")
+    for v in names:
+        sides = [listed[v], scratch.cut(passing.where(f"in_{v}").select("k").join(listed[v], "k", "left_anti"), "false")]
+        while count := sides[1].count():
+            n = len(levels[v])
+            levels[v].append(make_level(sides[1], count, 1, n))
+            sides = [sides[1], scratch.cut(sides[0].where(holds(levels[v][n], F.col("k"), n)), "false")]
     return levels
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule (null if none fits) and verdict of every page."""
-    listed = {h + p: v for v, h, p in rules}
-    lengths = sorted({len(p) for _, _, p in rules})
-    keyed = with_keys(parsed(pages), lengths)
-    universe = keyed.select(F.explode("keys").alias("k"))
-    levels = {v: cascade([k for k, w in listed.items() if w == v], universe) for v in ("block", "allow")}
-    tests = {v: member(levels[v]) if levels[v] else "false" for v in levels}
-    first = f"filter(transform(keys, k -> struct(k AS key, CASE WHEN {tests['block']} THEN 'block' WHEN {tests['allow']} THEN 'allow' END AS verdict)), x -> x.verdict IS NOT NULL)"
-    found = keyed.withColumn("fit", F.try_element_at(F.expr(first), F.lit(1)))
+def rule_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] | DataFrame) -> DataFrame:
+    """(k, verdict, labels, length) of rules (verdict, host, path), one for each host and path; hosts in lower case."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(v, h, p) for (h, p), v in {(h, p): v for v, h, p in rules}.items()], "verdict string, host string, path string")
+    keyed = rules.select("verdict", _lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("host <> ''")
+    own = keyed.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    return own.select(F.concat("host", "path").alias("k"), "verdict", F.size(F.split("host", "[.]")).alias("labels"), F.char_length("path").alias("length"))
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES, default: str = "allow") -> DataFrame:
+    """page_id, host, path, rule (null if none fits) and verdict of every page; rules are (verdict, host, path)."""
+    listed = scratch.cut(rule_table(pages.sparkSession, rules), "rules")
+    shape = listed.agg(F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("length"))).first()  # as many as hosts have labels and paths characters
+    keyed = with_keys(parsed(pages), *shape)
+    levels = cascades({v: listed.where(F.col("verdict") == v).select("k") for v in ("block", "allow")}, keyed.select(F.explode("keys").alias("k")))
+    told = lambda k: F.when(member(levels["block"], k), "block").when(member(levels["allow"], k), "allow")
+    fits = F.filter(F.transform("keys", lambda k: F.struct(k.alias("key"), told(k).alias("verdict"))), lambda x: x["verdict"].isNotNull())
+    found = keyed.withColumn("fit", F.try_element_at(fits, F.lit(1)))
     return found.select("page_id", "host", "path", F.col("fit.key").alias("rule"), F.coalesce("fit.verdict", F.lit(default)).alias("verdict"))
 
 

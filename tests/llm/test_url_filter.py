@@ -48,6 +48,27 @@ def test_cascade_is_exact_with_false_positives(spark):
     rows = [(i, f"http://{r.choice(['', 'www.'])}{r.choice(names)}{r.choice(['/', '/a', '/ab/c', ''])}") for i in range(6000)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     assert result(u.judge(pages, rules)) == plain(rows, rules)
-    keys = u.with_keys(u.parsed(pages), [1, 2, 4]).select(F.explode("keys").alias("k"))
-    levels = u.cascade([h + p for _, h, p in rules], keys)
-    assert len(levels) > 2
+    keys = u.with_keys(u.parsed(pages), [1, 2], [1, 2, 4]).select(F.explode("keys").alias("k"))
+    listed = {v: spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "k string") for v in ("allow", "block")}
+    for first_bits in (1, 3, 24):
+        levels = u.cascades(listed, keys, first_bits)
+        assert first_bits == 24 or all(len(x) > 2 for x in levels.values())
+        for v, df in listed.items():
+            told = {r.k for r in keys.distinct().where(u.member(levels[v], F.col("k"))).collect()}
+            assert told == {r.k for r in df.collect()} & {r.k for r in keys.collect()}
+
+
+def test_long_hosts_and_many_rules(spark):
+    many = 1_500_000
+    rules = spark.range(many).selectExpr("if(id % 3 = 0, 'block', 'allow') as verdict", "concat('H', id, '.net') as host", "if(id % 2 = 0, '/', '/a/') as path")
+    long = "a." * 5000 + "h9.net"
+    rows = [(i, f"http://x.h{i * 977}.net/{'a/' if i % 3 else 'b'}") for i in range(2000)] + [(-1, f"http://{long}/a/"), (-2, "http://" + "z" * 100_000 + ".net/a/"), (-3, "http://h9.net/" + "a/" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in u.judge(pages, rules).collect()}
+
+    def want(n, path):
+        own = "/" if n % 2 == 0 else "/a/"
+        return (f"h{n}.net{own}", "block" if n % 3 == 0 else "allow") if n < many and path.startswith(own) else (None, "allow")
+
+    assert all(got[i] == want(i * 977, "/a/" if i % 3 else "/b") for i in range(2000))
+    assert [got[i] for i in (-1, -2, -3)] == [want(9, "/a/"), (None, "allow"), want(9, "/a/")]
