@@ -4,16 +4,14 @@ Words are the maximal runs of letters, digits and non-ASCII characters of the te
 lower-cased. A benchmark item's windows are its runs of ``window`` consecutive words, or all its
 words if it has fewer. A document's word is hit if it lies inside an occurrence of a window.
 
-The windows form a hash set that is a constant of the plan, so documents are judged where they are
-read: no join, no shuffle, a row in and a row out. Scanning has two steps. First only every
-``window - anchor + 1``-th run of ``anchor`` words is looked up in the set of the windows' own runs of
+Scanning has two steps, the same for benchmarks of any size. First only every
+``window - anchor + 1``-th run of ``anchor`` words is looked up among the windows' own runs of
 that length; any occurrence of a window holds one of these runs at whatever offset, so nothing is
-missed. Documents with such a run (few) then have all their windows looked up by their text, which
-verifies hits exactly.
-
-The set is inlined up to ``MAX_INLINE`` windows, which bounds what every task holds. A larger
-benchmark takes another way with equal results: all document windows are joined with the
-benchmark's, by a shuffle if Spark finds the windows too large to broadcast.
+missed. These runs are a Bloom filter that is a constant of the plan, so documents are sifted where they are
+read, without a shuffle; its size is bounded (``FILTER_BITS``), and a filter that is too small for its runs only lets more
+documents through. Documents with such a run (few) then have all their windows looked up by their text in the relation of
+benchmark windows, which verifies hits exactly. Spark broadcasts that relation if its size, as measured, allows, and shuffles both sides
+if not. Equal texts are looked up once.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; benchmark
 items that have a null id or no word are left out; an id with several texts has the windows of all;
@@ -23,14 +21,15 @@ empty table, an empty benchmark no hits. Columns beside the ids and texts are le
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+from .bloom import Level, holds, make_level
+
 WINDOW = 13
 ANCHOR = 5
-MAX_INLINE = 50_000
+FILTER_BITS = 1 << 28
 #: A document is contaminated if a word in this many is hit, or more.
 SHARE = 20
 OWN = "__own_"
@@ -49,7 +48,7 @@ def fixed(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _run(at: str, n: int) -> str:
+def _run(at: str, n: int | str) -> str:
     return f"array_join(slice(words, {at} + 1, {n}), ' ')"
 
 
@@ -61,24 +60,44 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy("gram", "n").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def _anchors(grams: list[str], n: int, anchor: int) -> tuple[int, list[str]]:
-    k = min(anchor, n)
-    out = set()
-    for g in grams:
-        w = g.split(" ")
-        out.update(" ".join(w[i : i + k]) for i in range(n - k + 1))
-    return k, sorted(out)
+def _sieve(windows: DataFrame, anchor: int, most_bits: int) -> Column:
+    """Has ``words`` a run that a window may lie around?"""
+    out = F.lit(False)
+    lengths = windows.agg(F.sort_array(F.collect_set("n"))).first()[0]  # as many as a window has words, at most
+    for n in lengths:
+        k = min(anchor, n)
+        own = windows.where(F.col("n") == n).select(F.split("gram", " ").alias("words"))
+        runs = scratch.cut(own.select(F.explode(F.expr(f"transform(sequence(0, {n - k}), i -> {_run('i', k)})")).alias("k")).distinct(), "anchors")
+        level = make_level(runs, runs.count(), 16, n, most_bits)
+        # the runs as elements of an array, so that each is made once
+        strided = F.expr(f"CASE WHEN size(words) >= {n} THEN transform(sequence(0, (size(words) - {k}) div {n - k + 1}), i -> {_run(f'i * {n - k + 1}', k)}) ELSE cast(array() as array<string>) END")
+        out = out | _any_held(strided, level, n)
+    return out
+
+
+def _any_held(runs: Column, level: Level, n: int) -> Column:
+    return F.exists(runs, lambda r: holds(level, r, n))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_inline: int = MAX_INLINE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: tuple[str, ...] = ("doc_id",), most_bits: int = FILTER_BITS) -> DataFrame:
     """Columns ``keep`` (as ``__own_<name>``), ``words``, ``n_words`` and ``hits``: (at, n, items) of each window that occurs, by position."""
-    windows = item_windows(benchmark, window)
-    rows = windows.limit(max_inline + 1).collect()
-    if len(rows) > max_inline:
-        return _scan_by_join(docs, windows, keep)
+    windows = scratch.cut(item_windows(benchmark, window), "windows")
     columns = [F.col(c).alias(OWN + c) for c in keep]
-    worded = fixed(docs.select(*columns, F.col("text").alias("__text")), words_of(F.col("__text")), "words").drop("__text")
-    return _counted(fixed(worded, F.expr(_inline_hits(worded.sparkSession, rows, anchor)), "hits"))
+    worded = fixed(docs.select(*columns, F.col("text").alias("__text")), words_of(F.col("__text")), "words")
+    sifted = fixed(worded, _sieve(windows, anchor, most_bits), "__some")
+    free = sifted.where("NOT __some").drop("__some", "__text").withColumn("hits", F.expr(_NO_HITS))
+    asked = sifted.where("__some").withColumn("__key", F.sha2(F.coalesce("__text", F.lit("")), 256)).drop("__some", "__text")
+    met = asked.join(_hits(asked, windows), "__key", "left").drop("__key").withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
+    return _counted(free.unionByName(met))
+
+
+def _hits(asked: DataFrame, windows: DataFrame) -> DataFrame:
+    """(__key, hits) of texts (__key, words) with windows, each text once."""
+    texts = asked.groupBy("__key").agg(F.first("words").alias("words"))
+    lengths = windows.agg(F.sort_array(F.collect_set("n"))).first()[0]
+    grams = f"flatten(transform(filter(cast(array({', '.join(map(str, lengths))}) as array<int>), n -> n <= size(words)), n -> transform(sequence(0, size(words) - n), i -> struct(i AS at, n AS n, {_run('i', 'n')} AS gram))))"
+    spread = texts.select("__key", F.explode(F.expr(grams)).alias("g")).select("__key", "g.*")
+    return spread.join(windows, ["gram", "n"]).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "items"))).alias("hits"))
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -93,48 +112,6 @@ def own(df: DataFrame) -> list[Column]:
 _NO_HITS = "cast(array() as array<struct<at:int,n:int,items:array<bigint>>>)"
 
 
-def _inline_hits(spark: SparkSession, rows: list, anchor: int) -> str:
-    """SQL for the hits of ``words``, with hash sets of anchors and windows as constants."""
-    if not rows:
-        return _NO_HITS
-    by_length = defaultdict(list)
-    for r in rows:
-        by_length[r.n].append(r)
-    parts = []
-    for n, own in sorted(by_length.items()):
-        k, anchors = _anchors([r.gram for r in own], n, anchor)
-        stride = n - k + 1
-        hashed = spark.createDataFrame([(a,) for a in anchors], "a string").select(F.xxhash64("a").alias("h")).distinct().collect()
-        listed = ", ".join(f"{r.h}L" if r.h > -(1 << 63) else "bigint('-9223372036854775808')" for r in hashed)
-        some = f"size(words) >= {n} AND exists(sequence(0, greatest(0, (size(words) - {k}) div {stride})), i -> xxhash64({_run(f'i * {stride}', k)}) IN ({listed}))"
-        size = max(1, len(own) // 2)
-        slots = spark.createDataFrame([(r.gram, r["items"]) for r in own], "gram string, items array<bigint>").select(F.expr(f"cast(pmod(xxhash64(gram), {size}) as int)").alias("slot"), "gram", "items").collect()
-        table = [[] for _ in range(size)]
-        for s in slots:
-            table[s.slot].append(f"struct('{s.gram}' AS gram, array({', '.join(f'{i}L' for i in s['items'])}) AS items)")
-        empty = "cast(array() as array<struct<gram:string,items:array<bigint>>>)"
-        lit = "array(" + ", ".join(f"array({', '.join(t)})" if t else empty for t in table) + ")"
-        found = f"filter({lit}[cast(pmod(xxhash64(gram), {size}) as int)], y -> y.gram = gram)"
-        each = f"transform(sequence(0, size(words) - {n}), i -> transform(array({_run('i', n)}), gram -> transform({found}, y -> struct(i AS at, {n} AS n, y.items AS items))))"
-        parts.append(f"CASE WHEN {some} THEN flatten(flatten({each})) ELSE {_NO_HITS} END")
-    return f"array_sort(concat({', '.join(parts)}))" if len(parts) > 1 else parts[0]
-
-
-def _scan_by_join(docs: DataFrame, windows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """As ``scan``, for benchmarks of any size. Equal texts have equal hits, so texts are keyed by their hash."""
-    keyed = docs.select(*(F.col(c).alias(OWN + c) for c in keep), F.col("text").alias("__text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("__key"))
-    texts = keyed.groupBy("__key").agg(F.min("__text").alias("__text"))
-    worded = fixed(texts, words_of(F.col("__text")), "words").drop("__text")
-    lengths = [r.n for r in windows.select("n").distinct().collect()]  # as many as the window has words, at most
-    grams = None
-    for n in lengths:
-        own = worded.where(f"size(words) >= {n}").select("__key", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {n}), i -> {_run('i', n)})")).alias("at", "gram"), F.lit(n).alias("n"))
-        grams = own if grams is None else grams.unionByName(own)
-    hits = grams.join(windows, ["gram", "n"]).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "items"))).alias("hits"))
-    out = worded.join(hits, "__key", "left").withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
-    return _counted(keyed.drop("__text").join(out, "__key").drop("__key"))
-
-
 def judge(scanned: DataFrame, share: int = SHARE) -> DataFrame:
     """Adds n_hit, n_items, items_sha256 and contaminated to the rows of ``scan``."""
     cover = """aggregate(hits, struct(0 AS stop, 0L AS n), (a, h) -> struct(greatest(a.stop, h.at + h.n) AS stop, a.n + greatest(0, h.at + h.n - greatest(a.stop, h.at)) AS n), a -> a.n)"""
