@@ -3,11 +3,11 @@
 1. Texts are cut into pre-tokens, in chunks of about ``CHUNK_BYTES`` of text. A chunk keeps the
    distinct pre-tokens it holds and, for every position, which of them stands there. Chunks are a
    table in the shared folder, bucketed by their key.
-2. The distinct words of all chunks are shuffled by a hash of the word, so that each distinct word
-   of the corpus meets in one place, and are encoded there once.
+2. The distinct words of all chunks are shuffled by buckets of a hash of the word, as many as the corpus needs, so that each
+   distinct word of the corpus meets in one place, and are encoded there once.
 3. The ids go back to the chunks that asked for them and are joined to the chunks. The chunks are
    bucketed, so only the ids are shuffled; every position then takes its word's ids in order.
-4. Decoding joins the ids with the table of token bytes, whose size is the vocabulary's.
+4. Decoding looks the ids up in the table of token bytes, whose size is the vocabulary's, as an array in each worker.
 
 Chunks are of bounded size whatever their rows are, so neither a source nor a group of copies nor a
 frequent word weighs on one task: a word occurs at most once per chunk in the shuffle. A single
@@ -40,8 +40,10 @@ from . import bpe, scratch
 from . import textkit as tk
 
 CHUNK_BYTES = 12 << 20
-BUCKETS = 256
-KNOWN_WORDS = 1_000_000
+#: Bytes of words that a bucket of the shuffle holds, about, and the least and most buckets.
+BUCKET_BYTES = 4 << 20
+BUCKETS = (256, 1 << 16)
+KNOWN_WORDS = 4_000_000
 CHUNKS = "chunk long, doc_ids array<long>, counts binary, sequence binary, words binary, lengths binary, buckets binary"
 
 
@@ -109,8 +111,9 @@ def _chain(width: np.ndarray, n: int) -> np.ndarray:
     return at[:n]
 
 
-def word_bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> tk.U64(56)).astype(np.uint8)
+def word_key(h: np.ndarray) -> np.ndarray:
+    """16 bits of a word's hash; a bucket is a range of them."""
+    return (h >> tk.U64(48)).astype(np.uint16)
 
 
 class _Chunk:
@@ -151,14 +154,14 @@ class _Chunk:
         order = np.argsort(-often, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        buckets = word_bucket(hashes[order])
-        # words lie bucket by bucket, in rank order within each
+        buckets = word_key(hashes[order])
+        # words lie in the order of their keys, in rank order within each
         by_bucket = order[np.argsort(buckets, kind="stable")]
         words = [self.words[i] for i in by_bucket.tolist()]
         lengths = np.fromiter(map(len, words), np.uint32, len(words))
         doc_ids = pa.concat_arrays([x.cast(pa.int64()) for x in self.doc_ids])
         values = [pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)]
-        values += [pa.array([x], pa.binary()) for x in (_join(self.counts, np.int64).astype("<u4").tobytes(), pack(rank[codes]), b"".join(words), lengths.astype("<u4").tobytes(), buckets.tobytes())]
+        values += [pa.array([x], pa.binary()) for x in (_join(self.counts, np.int64).astype("<u4").tobytes(), pack(rank[codes]), b"".join(words), lengths.astype("<u4").tobytes(), buckets.astype("<u2").tobytes())]
         return pa.RecordBatch.from_arrays(values, names=["chunk", "doc_ids", "counts", "sequence", "words", "lengths", "buckets"])
 
 
@@ -179,12 +182,13 @@ def chunk_rows(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks to a row for each bucket of words that a chunk holds."""
+def _asked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Chunks to a row for each of ``2 ** bits`` buckets of words that a chunk holds."""
     for b in batches:
         for chunk, words, lengths, buckets in zip(*(b.column(c) for c in ("chunk", "words", "lengths", "buckets"))):
             sizes = np.frombuffer(lengths.as_buffer(), "<u4")
-            count = np.bincount(np.frombuffer(buckets.as_buffer(), np.uint8), minlength=BUCKETS)
+            # the keys are those of the ranks; words stand in the order of keys
+            count = np.bincount(np.frombuffer(buckets.as_buffer(), "<u2") >> (16 - bits), minlength=1 << bits)
             stop = np.cumsum(count)
             ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
             raw = words.as_buffer().to_pybytes()
@@ -232,7 +236,10 @@ def encode_words(chunks: DataFrame, vocabulary: str) -> DataFrame:
                 out_ids.append(b"".join(ids))
             yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("bucket"), b.column("n"), pa.array(out_counts, pa.binary()), pa.array(out_ids, pa.binary())], names=["chunk", "bucket", "n", "counts", "ids"])
 
-    asked = chunks.select("chunk", "words", "lengths", "buckets").mapInArrow(_asked, "bucket int, chunk long, words binary, lengths binary, n int")
+    total = chunks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    buckets = min(max(total // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
+    bits = (buckets - 1).bit_length()
+    asked = chunks.select("chunk", "words", "lengths", "buckets").mapInArrow(lambda batches: _asked(batches, bits), "bucket int, chunk long, words binary, lengths binary, n int")
     met = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk")
     return met.mapInArrow(run, "chunk long, bucket int, n int, counts binary, ids binary")
 
@@ -249,6 +256,7 @@ def encode(docs: DataFrame, vocabulary: str, chunk_bytes: int = CHUNK_BYTES) ->
     spark = docs.sparkSession
     name, path = f"bpe_chunks_{uuid.uuid4().hex}", scratch.new_folder(spark, "bpe-chunks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch.hold_table(spark, name)
     chunk_rows(docs, chunk_bytes).write.bucketBy(buckets, "chunk").format("parquet").option("path", path).option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
     replies = encode_words(chunks, vocabulary).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "counts", "ids"))).alias("replies"))
@@ -264,7 +272,7 @@ def documents(encoded: DataFrame, vocabulary: str, work, schema: str) -> DataFra
         for b in batches:
             for i in range(b.num_rows):
                 counts = np.frombuffer(b.column("counts")[i].as_buffer(), "<u4").astype(np.int64)
-                buckets = np.frombuffer(b.column("buckets")[i].as_buffer(), np.uint8)
+                buckets = np.frombuffer(b.column("buckets")[i].as_buffer(), "<u2")
                 sequence = unpack(b.column("sequence")[i].as_buffer().to_pybytes(), int(counts.sum()))
                 sizes, pool = [np.zeros(0, np.int64)], []
                 for r in b.column("replies")[i].values or []:

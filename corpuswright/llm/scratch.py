@@ -8,10 +8,12 @@ error: executors could not see each other's files in a machine-local folder.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,6 +31,30 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def hold_table(spark: SparkSession, name: str) -> None:
+    """Remember a catalog table that a plan needs: it is dropped by ``release``, or at the end of the driver's Python."""
+    if not _tables:
+        atexit.register(_drop_tables, 0)
+    _tables.append((spark, name))
+
+
+def _drop_tables(since: int) -> None:
+    for spark, name in _tables[since:]:
+        with contextlib.suppress(Exception):  # the session may be gone
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    del _tables[since:]
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path for a Hadoop URI: local files, HDFS, S3, Google Cloud Storage and Azure."""
+    scheme, mark, rest = uri.partition("://")
+    names = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "abfs": "abfs", "gs": "gs", "s3": "s3", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+    if mark and scheme not in names:
+        raise ValueError(f"{scheme}:// is not among {sorted(names)}")
+    return pafs.FileSystem.from_uri(f"{names[scheme]}://{rest}" if mark else uri)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -65,16 +91,17 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def mark() -> int:
+def mark() -> tuple[int, int]:
     """A point in time for ``release``."""
-    return len(_made)
+    return len(_made), len(_tables)
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Delete the folders made since the mark; only when no plan needs them any more."""
-    for path in _made[since:]:
+def release(spark: SparkSession, since: tuple[int, int]) -> None:
+    """Delete the folders and tables made since the mark; only when no plan needs them any more."""
+    _drop_tables(since[1])
+    for path in _made[since[0] :]:
         remove(spark, path)
-    del _made[since:]
+    del _made[since[0] :]
 
 
 def fresh_name(label: str) -> str:

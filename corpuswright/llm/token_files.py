@@ -10,8 +10,8 @@ No buffer is compressed, so a memory map gives any sequence or mask without copy
 documents, in order, are in a column of a second Arrow file next to the first (``.docs.arrow``).
 
 Documents of every source or group are dealt out by ranges of the id, so that no group meets in
-one task. Tasks write under a name of their own and rename when done: a task that runs twice, or
-whose executor is lost, leaves the same file. The manifest is a table in the shared folder.
+one task. Files have the attempt in their name; the manifest, a table in the shared folder, has those of committed
+attempts only, so a task that runs twice, or whose executor is lost, does no harm.
 
 Defined results: a null or empty text has only the end id; a null doc_id sorts first; repeated ids
 are ordered by text, and equal rows each have their own ids; an empty table gives no files. Other
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,9 +91,9 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, sequen
         part = TaskContext.get().partitionId()
         enc = bpe.encoder(vocabulary)
         small = max([*enc.ranks.values(), *enc.added.values(), end_id]) < 1 << 16
-        fs, inner = pafs.FileSystem.from_uri(folder)
-        own = f"{inner}/.{uuid.uuid4().hex}"
-        final = f"{inner}/part-{part:06d}"
+        fs, inner = scratch.file_system(folder)
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        own, final = f"{inner}/.{name}", f"{inner}/{name}"
         sinks = []
         for b in batches:
             if packer is None and b.num_rows:
@@ -110,7 +109,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, sequen
             for sink, end in zip(sinks, (".arrow", ".docs.arrow")):
                 sink.close()
                 fs.move(own + end, final + end)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"part-{part:06d}"], "n_docs": [packer.n_docs], "n_tokens": [packer.n_tokens], "n_sequences": [packer.n_sequences]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [packer.n_docs], "n_tokens": [packer.n_tokens], "n_sequences": [packer.n_sequences]})
 
     placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return scratch.cut(placed.mapInArrow(run, MANIFEST), "token-manifest")
@@ -127,7 +126,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
         base += r.n_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, inner = pafs.FileSystem.from_uri(folder)
+        fs, inner = scratch.file_system(folder)
         for b in batches:
             for file, start in zip(b.column("file").to_pylist(), b.column("base").to_pylist()):
                 with fs.open_input_file(f"{inner}/{file}.docs.arrow") as f:

@@ -10,9 +10,9 @@ neighbours are coalesced into one read while the gap between them is small and t
 long. Every payload that is read is checked against its digest.
 
 Digests of copies are aggregated before they are shuffled; only groups of two or more are joined
-back to the pages, in a join whose hot keys adaptive execution splits. A task writes under a name
-of its own and renames when done; the index is a table in the shared folder, so lost executors
-leave no gap.
+back to the pages, in a join whose hot keys adaptive execution splits. Pages too short to be
+revisited pass without a shuffle. A file's name tells the attempt that wrote it, and the index, a table in the shared folder, has the names of
+committed attempts only: lost executors leave no gap, and a second attempt can't replace a file that is indexed.
 
 Defined results: a null html is an empty payload; a null url is recorded as ``urn:page:<id>`` and
 is null in the index; control characters and spaces in a url are percent-encoded in the archive
@@ -31,7 +31,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,9 +53,10 @@ def with_record_types(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> D
     base = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     long_enough = pages.where(F.octet_length("html") >= revisit_bytes).select("page_id", F.sha1(F.col("html").cast("binary")).alias("d"), F.octet_length("html").cast("long").alias("b"))
     groups = long_enough.groupBy("d", "b").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = base.join(groups, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    short = base.where(F.col("payload_bytes") < revisit_bytes).withColumn("refers_to", F.lit(None).cast("long"))
+    joined = base.where(F.col("payload_bytes") >= revisit_bytes).join(groups, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest"))
-    return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    return short.unionByName(joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", refers.alias("refers_to")))
 
 
 def _uri(page_id: int | None, url: str | None) -> str:
@@ -103,7 +103,7 @@ def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, fil
     """Write archives of ``pages`` (page_id, url, html) to ``folder``; their index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, inner = pafs.FileSystem.from_uri(folder)
+        fs, inner = scratch.file_system(folder)
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         n, out, at = 0, None, 0
         for b in batches:
@@ -114,7 +114,7 @@ def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, fil
                     out, at = fs.open_output_stream(f"{inner}/.{own}", compression=None), 0
                 data = record(page_id, url, payload, digest, refers)
                 out.write(data)
-                rows.append((f"part-{part:06d}-{n:04d}.warc.gz", at, len(data), page_id, url, digest, size, "response" if refers is None else "revisit", refers))
+                rows.append((f"part-{part:06d}-{n:04d}-{own}.warc.gz", at, len(data), page_id, url, digest, size, "response" if refers is None else "revisit", refers))
                 at += len(data)
                 if at >= file_bytes:
                     out.close()
@@ -124,7 +124,7 @@ def write(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, fil
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INDEX_TYPES)], names=_INDEX_NAMES)
         if out is not None:
             out.close()
-            fs.move(f"{inner}/.{own}", f"{inner}/part-{part:06d}-{n:04d}.warc.gz")
+            fs.move(f"{inner}/.{own}", f"{inner}/part-{part:06d}-{n:04d}-{own}.warc.gz")
 
     return scratch.cut(with_record_types(pages, revisit_bytes).mapInArrow(run, INDEX), "warc-index")
 
@@ -154,7 +154,7 @@ def read(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_bytes:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, inner = pafs.FileSystem.from_uri(folder)
+        fs, inner = scratch.file_system(folder)
         for b in batches:
             for file, start, stop, records in zip(*(b.column(c).to_pylist() for c in ("file", "start", "stop", "records"))):
                 with fs.open_input_file(f"{inner}/{file}") as f:
