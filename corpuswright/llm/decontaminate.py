@@ -79,16 +79,24 @@ def _any_held(runs: Column, level: Level, n: int) -> Column:
     return F.exists(runs, lambda r: holds(level, r, n))
 
 
+def _key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: tuple[str, ...] = ("doc_id",), most_bits: int = FILTER_BITS) -> DataFrame:
-    """Columns ``keep`` (as ``__own_<name>``), ``words``, ``n_words`` and ``hits``: (at, n, items) of each window that occurs, by position."""
+    """Columns ``keep`` (as ``__own_<name>``), ``n_words`` and ``hits``: (at, n, items) of each window that occurs, by position.
+
+    What the sieve lets through is told apart from the rest in one pass, whose result is kept in the shared folder.
+    """
     windows = scratch.cut(item_windows(benchmark, window), "windows")
     columns = [F.col(c).alias(OWN + c) for c in keep]
     worded = fixed(docs.select(*columns, F.col("text").alias("__text")), words_of(F.col("__text")), "words")
     sifted = fixed(worded, _sieve(windows, anchor, most_bits), "__some")
-    free = sifted.where("NOT __some").drop("__some", "__text").withColumn("hits", F.expr(_NO_HITS))
-    asked = sifted.where("__some").withColumn("__key", F.sha2(F.coalesce("__text", F.lit("")), 256)).drop("__some", "__text")
-    met = asked.join(_hits(asked, windows), "__key", "left").drop("__key").withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
-    return _counted(free.unionByName(met))
+    some = lambda c: F.when(F.col("__some"), c)
+    held = scratch.cut(sifted.select(*(OWN + c for c in keep), F.size("words").cast("long").alias("n_words"), some(F.col("words")).alias("words"), some(_key(F.col("__text"))).alias("__key")), "sifted")
+    free = held.where("__key IS NULL").drop("__key", "words").withColumn("hits", F.expr(_NO_HITS))
+    met = held.where("__key IS NOT NULL").drop("words").join(_hits(held.where("__key IS NOT NULL"), windows), "__key", "left").drop("__key")
+    return free.unionByName(met.withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS))))
 
 
 def _hits(asked: DataFrame, windows: DataFrame) -> DataFrame:
@@ -100,10 +108,6 @@ def _hits(asked: DataFrame, windows: DataFrame) -> DataFrame:
     return spread.join(windows, ["gram", "n"]).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "items"))).alias("hits"))
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    return df.withColumn("n_words", F.size("words").cast("long"))
-
-
 def own(df: DataFrame) -> list[Column]:
     """The columns that ``scan`` kept, under their own names."""
     return [F.col(c).alias(c.removeprefix(OWN)) for c in df.columns if c.startswith(OWN)]
@@ -128,9 +132,10 @@ def judge(scanned: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, share: int = SHARE) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    judged = judge(scan(docs, benchmark, keep=tuple(docs.columns)), share)
-    return judged.where(~F.col("contaminated")).select(*own(judged))
+    """The documents that are not contaminated, with their own columns: an anti-join with the contaminated texts' keys, which are few."""
+    judged = judge(scan(docs.select(_key(F.col("text")).alias("key"), "text"), benchmark, keep=("key",)), share)
+    bad = scratch.cut(judged.where("contaminated").select(F.col(OWN + "key").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, _key(docs["text"]) == bad["__bad"], "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
