@@ -45,8 +45,7 @@ def fact_rows(facts: DataFrame, templates: DataFrame) -> DataFrame:
         spread = facts.where(kinds).select("entity", "kind", "name", "attribute", "answer", "gold", F.explode(F.array_compact(F.array(*made))).alias("r")).select("entity", "kind", "name", "attribute", "answer", "gold", "r.*")
         out = spread if out is None else out.unionByName(spread)
     key = F.concat_ws("|", "entity", "attribute")
-    # a miss is answered from memory: its entries are without the gold one
-    gold_id = F.when(F.col("open_book") & ~F.col("id").endswith("|miss"), F.col("entity"))
+    gold_id = F.when(F.col("open_book"), F.col("entity"))
     asked = _asked(out, templates)
     return asked.select("split", "id", "question", "answer", _no_history().alias("history"), F.col("kind").alias("source"), "entity", "name", "attribute", "group", "slot", "open_book", "gold", gold_id.alias("gold_id"), key.alias("salt"))
 
@@ -188,14 +187,15 @@ def diagnosis_rows(conditions: DataFrame, templates: dict[str, list[str]], answe
 def entries(drafts: DataFrame, cards: DataFrame, held_out: DataFrame) -> DataFrame:
     """(split, id, context_ids, contexts) of drafts that are opened: entries by retrieval with their question.
 
-    Training sees no held-out entry (card_id). A two-turn question is searched with the one before.
+    Training sees no held-out entry (card_id). A two-turn question is searched with the one before. A miss is answered from
+    memory: its entries are without the gold one.
     """
     before = F.try_element_at("history", F.lit(-2))["content"]
     asked = drafts.where("open_book").select(F.concat_ws("\x1f", "split", "id").alias("query_id"), F.concat_ws(" ", "question", before).alias("query"), "gold_id", "split")
     found = None
-    for training in (True, False):
-        own = asked.where((F.col("split") == "train") == training).drop("split")
-        got = retrieval.contexts(cards, own, held_out if training else None)
+    missed = F.col("query_id").endswith("|miss")
+    for training, own in ((True, (F.col("split") == "train") & ~missed), (True, missed), (False, F.col("split") != "train")):
+        got = retrieval.contexts(cards, asked.where(own).drop("split"), held_out if training else None, include_gold=own is not missed)
         found = got if found is None else found.unionByName(got)
     texts = found.join(cards.select("card_id", "text"), "card_id")
     listed = texts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "card_id", "text"))).alias("x"))

@@ -79,7 +79,7 @@ _DIAGNOSIS = {
     "Long_definition": "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'It is characterized by jvaraḥ [fever], śītam by deha [feeling of cold]' WHEN 2 THEN 'The disorder is characterised by: swelling, pain and heat. This may be explained by vāta.' WHEN 3 THEN 'null' ELSE concat('dryness of ', p_name) END",
 }
 _TERM = {
-    "idx": "c_custkey", "t_id": "concat(c_custkey % 300)", "parent_id": "concat(c_custkey % 7)", "term_id": "CASE WHEN c_custkey % 5 = 4 THEN concat('AA-', c_custkey % 15, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('.', c_custkey) END) WHEN c_custkey % 50 = 0 THEN concat('SAT-', chr(65 + CAST(c_custkey % 4 AS INT))) ELSE concat('SAT-', chr(65 + CAST(c_custkey % 4 AS INT)), ' .', c_custkey) END",
+    "idx": "c_custkey", "t_id": "concat(c_custkey % 300)", "parent_id": "concat(c_custkey % 7)", "term_id": "CASE WHEN c_custkey % 5 = 4 THEN concat('AA-', c_custkey % 15, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('.', c_custkey) END) WHEN c_custkey < 4 THEN concat('SAT-', chr(65 + CAST(c_custkey % 4 AS INT))) ELSE concat('SAT-', chr(65 + CAST(c_custkey % 4 AS INT)), ' .', c_custkey) END",
     "term_iast": "CASE WHEN c_custkey % 31 = 6 THEN '' ELSE concat('guṇa', c_custkey % 500) END", "term_devanagari": "CASE WHEN c_custkey % 2 = 0 THEN 'गुण' ELSE '' END", "w_trans": "CASE WHEN c_custkey % 6 = 5 THEN '' ELSE concat('quality ', c_custkey % 11) END",
     "w_def": "CASE c_custkey % 6 WHEN 0 THEN concat('Quality ', c_custkey % 11) WHEN 1 THEN 'none' WHEN 2 THEN 'a #san@guṇa# of things.' WHEN 5 THEN CASE WHEN c_custkey % 12 = 5 THEN '' ELSE 'what is felt' END ELSE 'That which is seen' END",
     "refn": "CASE c_custkey % 4 WHEN 0 THEN 'Ca.Su.20/17; Su.U. 43/6;Ca.Ni. 1' WHEN 1 THEN '' WHEN 2 THEN 'Xx.1; page 4' ELSE 'Sha.2/ 3' END",
@@ -311,7 +311,7 @@ n2 AS (SELECT id, min(i) AS i, arg_min(name, i) AS name, arg_min(syn, i) AS syn,
 nf AS (SELECT code AS pc, arg_min(id, i) AS pid FROM n2 GROUP BY code),
 n3 AS (SELECT n2.*, CASE WHEN pid <> id THEN pid END AS parent, {_G("'namaste:' || " + _KEY.format('name'))} AS grp FROM n2 LEFT JOIN nf ON contains(code, '.') AND pc = split_part(code, '.', 1)),
 nm AS (SELECT a.*, b.name AS p_name, b.english AS p_english, b.bare AS p_bare, b.code AS p_code, b.name IS NOT NULL AND b.grp NOT LIKE 'heldout%' AS tell FROM n3 a LEFT JOIN n3 b ON a.parent = b.id)"""
-_SAT = f"""s0 AS (SELECT c_custkey AS i, 'SAT-' || chr(65 + (c_custkey % 4)::INT) AS section, 'SAT-' || chr(65 + (c_custkey % 4)::INT) || CASE WHEN c_custkey % 50 = 0 THEN '' ELSE '.' || c_custkey END AS code, CASE WHEN c_custkey % 31 = 6 THEN '' ELSE 'guṇa' || (c_custkey % 500) END AS name,
+_SAT = f"""s0 AS (SELECT c_custkey AS i, 'SAT-' || chr(65 + (c_custkey % 4)::INT) AS section, 'SAT-' || chr(65 + (c_custkey % 4)::INT) || CASE WHEN c_custkey < 4 THEN '' ELSE '.' || c_custkey END AS code, CASE WHEN c_custkey % 31 = 6 THEN '' ELSE 'guṇa' || (c_custkey % 500) END AS name,
   CASE WHEN c_custkey % 2 = 0 THEN 'गुण' ELSE '' END AS deva, CASE WHEN c_custkey % 6 = 5 THEN '' ELSE 'quality ' || (c_custkey % 11) END AS english, CASE WHEN c_custkey % 6 = 2 THEN 'a guṇa of things.' WHEN c_custkey % 12 = 11 THEN 'what is felt' WHEN c_custkey % 6 IN (3, 4) THEN 'That which is seen' ELSE '' END AS def, {_REFN} AS ref, c_custkey % 300 AS t, c_custkey % 7 AS pt FROM customer WHERE c_custkey % 5 <> 4),
 s1 AS (SELECT *, replace(lower('sat-' || code), '.', '-') AS id, rtrim(def, ' .') AS short, name <> '' AND (english <> '' OR def <> '') AS kept, {_G("'namaste:' || " + _KEY.format('name'))} AS grp FROM s0),
 sl AS (SELECT section, t, arg_max(id, i) AS pid, arg_max(name, i) AS p_name, arg_max(english, i) AS p_english, arg_max(short, i) AS p_short, arg_max(grp, i) AS p_grp, arg_max(kept AND contains(code, '.'), i) AS ok FROM s1 GROUP BY section, t),
