@@ -4,6 +4,10 @@ Quality rules and the quality classifier drop bad documents, the n-gram Jaccard
 document of each group of near copies, decontamination drops what holds benchmark passages, and
 byte-level BPE encodes what is left (and decodes it again). Every stage works on all rows that the
 one before kept and, but for the last, returns them with the columns of ``documents``.
+
+Defined results: null and empty texts fail the rules; null ids stay, as long as their text passes; of rows with equal texts one stays,
+that with the smallest id; an id with several texts keeps all that pass; without labelled rows nothing is
+rejected but by the fixed rules; an empty table gives an empty one. Further columns of any name go through to the last stage.
 """
 
 from __future__ import annotations

@@ -583,7 +583,7 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) ->
 
 
 def labelled(classes: DataFrame, family: DataFrame, links: DataFrame) -> DataFrame:
-    """(set_id, component_id): the smallest first_id of all classes that links (a, b) and known components connect."""
+    """(set_id, component_id, top): the smallest first_id of all classes that links (a, b) and known components connect, and one of these classes."""
     name = family.where("component <> set_id").select("set_id", "component")
     hops = links.join(name.withColumnsRenamed({"set_id": "a", "component": "x"}), "a", "left").join(name.withColumnsRenamed({"set_id": "b", "component": "y"}), "b", "left")
     tops = components(hops.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
@@ -591,11 +591,11 @@ def labelled(classes: DataFrame, family: DataFrame, links: DataFrame) -> DataFra
     named = named.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
     named = scratch.cut(named.select("set_id", "first_id", F.coalesce("top", "component").alias("top")), "named")
     least = named.groupBy("top").agg(F.min("first_id").alias("component_id"))
-    return scratch.cut(named.join(least, "top").select("set_id", "component_id"), "by-set")
+    return scratch.cut(named.join(least, "top").select("set_id", "component_id", "top"), "by-set")
 
 
 def cluster(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, set_id, top) of every row of ``docs`` (doc_id, text); ``top`` tells components apart, also those of one id."""
     surveyed = survey(docs, p)
     rows = surveyed.where("block IS NULL").select("doc_id", "set_id", "n")
     linking = surveyed.where("n > 0 AND doc_id IS NOT NULL")
@@ -617,20 +617,21 @@ def cluster(docs: DataFrame, p: Params = Params()) -> DataFrame:
     scratch.drop(weighed, measured, family, pairs)
     out = rows.join(by_set, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "set_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "set_id", "top")
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns.
 
-    Of several rows with that id in the component one stays, the first by its text. Rows with a
+    Of several rows with that id in the component one stays, the first by its text; texts of one id that don't link are
+    components of their own, and each stays. Rows with a
     null id stay, and so do those without a word. Only rows that a Bloom filter of the ids in question lets
     through are joined with their fate; all others pass without a shuffle.
     """
     found = cluster(docs, p).where("doc_id IS NOT NULL AND n_shingles > 0")
-    fate = found.groupBy("doc_id", "set_id", "component_id").agg(F.count("*").alias("c"))
-    twins = fate.where("doc_id = component_id").groupBy("doc_id").agg(F.sum("c").alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("twin"))
-    fate = scratch.cut(fate.join(twins, "doc_id", "left").where("doc_id <> component_id OR twin").select("doc_id", "set_id", "twin"), "fate")
+    fate = found.groupBy("doc_id", "set_id", "component_id", "top").agg(F.count("*").alias("c"))
+    twins = fate.where("doc_id = component_id").groupBy("doc_id", "top").agg(F.sum("c").alias("c")).where("c > 1").select("doc_id", "top", F.lit(True).alias("twin"))
+    fate = scratch.cut(fate.join(twins, ["doc_id", "top"], "left").where("doc_id <> component_id OR twin").select("doc_id", "set_id", "top", "twin"), "fate")
     sent, where = _bloom(fate, p)
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", *where)
     row = packed.schema["row"]
@@ -648,7 +649,7 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     passed = packed.select("row", "at1", "at2").mapInArrow(free, T.StructType([row]))
     joined = packed.mapInArrow(asked, T.StructType([row, T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType())]))
     joined = joined.join(fate.withColumn("known", F.lit(True)).hint("merge"), ["doc_id", "set_id"], "left")
-    order = Window.partitionBy("doc_id").orderBy("row.text", "set_id")
+    order = Window.partitionBy("doc_id", "top").orderBy("row.text", "set_id")
     several = joined.where("twin").withColumn("at", F.row_number().over(order)).where("at = 1")
     out = passed.unionAll(joined.where("known IS NULL").select("row"))
     if not fate.where("twin").isEmpty():  # ids usually are unique

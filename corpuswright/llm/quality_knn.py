@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import quality_rules
+from . import quality_rules, scratch
 from . import textkit as tk
 
 
@@ -195,7 +195,8 @@ def stage(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Params = P
     model = fit(docs, labels, p)
     if model is None:
         return docs
-    return score(docs, model, tuple(docs.columns), "__knn_").where("__knn_predicted = 1").select(*docs.columns)
+    prefix = scratch.free_prefix(docs.columns, "__knn_")
+    return score(docs, model, tuple(docs.columns), prefix).where(F.col(prefix + "predicted") == 1).select(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scratch
 from . import textkit as tk
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct")
@@ -226,7 +227,8 @@ def judge(docs: DataFrame, forest: Forest | None, p: Params = Params(), keep: tu
 def stage(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents that pass, with their own columns."""
     forest = fit(docs, labels, p)
-    return judge(docs, forest, p, tuple(docs.columns), "__rule_").where("__rule_kept").select(*docs.columns)
+    prefix = scratch.free_prefix(docs.columns, "__rule_")
+    return judge(docs, forest, p, tuple(docs.columns), prefix).where(F.col(prefix + "kept")).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,10 @@ def release(spark: SparkSession, since: tuple[int, int]) -> None:
 def fresh_name(label: str) -> str:
     """A name for a folder that nothing else has."""
     return f"{''.join(c if c.isalnum() else '-' for c in label)}-{uuid.uuid4().hex}"
+
+
+def free_prefix(columns: list[str], base: str) -> str:
+    """A prefix that none of the columns has, whatever its case."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base = f"_{base}"
+    return base

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as c
 from corpuswright.llm import quality_knn, quality_rules, scratch
 
@@ -37,3 +39,26 @@ def test_classifier_stage_drops_what_it_rejects(spark):
     judged = quality_knn.score(docs, quality_knn.fit(docs, labels)).collect()
     assert kept == {r.doc_id for r in judged if r.predicted == 1}
     assert 0 < len(judged) - len(kept) < 300
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns of any name; then empty tables."""
+    words = [f"w{i}" for i in range(400)]
+    text = lambda a, n=120: " ".join(random.Random(a).choices(words, k=n))
+    rows = [(1, text(1), 0), (1, text(1), 0), (2, text(1), 1), (3, None, 2), (None, text(2), 3), (4, "", 4), (5, text(3), 5), (5, text(4), 6), (6, text(5) + " " + text(6, 40), 7), (7, text(8, 30_000), 8)]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, __rule_kept int").selectExpr("*", "'q' as words", "cast(null as string) as __key", "1 as n_words").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, text(6, 40)), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    made = docs
+    for name, stage in c.STAGES[:-1]:
+        made = scratch.cut(stage(spark, made, folder), "test")
+        assert made.schema == docs.schema, name
+    # null ids stay; of equal texts one row; two texts of one id both; the contaminated one goes
+    assert sorted((str(r.doc_id), r.text) for r in made.collect()) == sorted([("1", text(1)), ("None", text(2)), ("5", text(3)), ("5", text(4)), ("7", text(8, 30_000))])
+    assert sorted((tuple(r) for r in c.run(spark, folder).collect()), key=str) == expected([(r.doc_id, r.text) for r in made.collect()])
+    none = f"{folder}/none"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
+    assert c.run(spark, none).count() == 0

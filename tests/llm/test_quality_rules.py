@@ -73,3 +73,36 @@ def test_a_repeated_id_takes_one_place_in_the_sample(spark, sf_dir):
     copies = docs.where(f"doc_id = {hot}").crossJoin(spark.range(5000)).drop("id")
     a, b = q.fit(docs, labels), q.fit(docs.unionByName(copies), labels)
     assert a.limit == b.limit and np.array_equal(a.feature, b.feature) and np.array_equal(a.value, b.value)
+
+
+def naive_score(forest, ratios):
+    """Mean path over the trees, walked node by node, as a share of what is expected."""
+    total = 0.0
+    for feature, value, path in zip(forest.feature, forest.value, forest.path):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + (2 if ratios[feature[node]] >= value[node] else 1)
+        total += path[node]
+    return 2.0 ** (-total / len(forest.feature) / forest.scale)
+
+
+def test_verdicts_equal_naive_path_lengths(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest = q.fit(docs, labels)
+    got = {r.doc_id: r.kept for r in q.op8_quality_rules(spark, sf).collect()}
+    rejected = 0
+    for r in docs.collect():
+        c, words = plain(r.text), re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        base = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        n = max(1, c[0])
+        high = naive_score(forest, [c[1] / n, c[2] / n, np.log1p(len(set(words))) / np.log1p(n)]) > forest.limit
+        assert got[r.doc_id] == (not base and not high)
+        rejected += high and not base
+    assert rejected > 0
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40 + " ".join(f"w{i}" for i in range(80)), 7, None), (2, None, 8, "x")], "doc_id long, text string, __rule_kept int, `__RULE_score` string")
+    out = q.stage(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert out.columns == docs.columns and [r[2] for r in out.collect()] == [7]
