@@ -55,8 +55,7 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = r.field_tokens(cards(spark, sf_dir))
-    return r.idf(r.postings(tokens), r.field_stats(tokens)).select("field", "term", "df", F.round("idf", 6).alias("idf"))
+    return r.idf(*r.index(cards(spark, sf_dir))).select("field", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 QUERIES = {f.__name__: f for f in (bm25_top3, bm25_gate_citations, bm25_context_forced_gold, bm25_context_miss, bm25_banned, retrieval_recall_at_3, postings_stats, idf_table)}
