@@ -21,7 +21,8 @@ from .entities import gold
 
 # Terms have their own rules; what can be inferred of an unseen one; the slot asked without diacritics.
 TERM_KINDS, INFERABLE, PLAIN_SLOT = ("nm", "sat"), ("nm_english", "sat_meaning"), 6
-CONVERSATIONAL = ("greeting", "about-acharyagpt")
+#: Concepts that are small talk: they are trained, but no entries of the knowledge base. A corpus names its own.
+CONVERSATIONAL = ("greeting",)
 MESSAGE = "array<struct<role:string,content:string>>"
 DRAFT = ("split", "id", "question", "answer", "history", "source", "entity", "name", "attribute", "group", "slot", "open_book", "gold", "gold_id", "salt")
 
