@@ -240,7 +240,7 @@ def score_gold(kind: Column, values: Column, answer: Column, name: Column, safet
     return bound(scored, lambda s: F.when(kind == "composite", composite(s)).otherwise(s[0]))
 
 
-def score_row(answer: Column, reference: Column, gold: Column, name: Column, source: Column, attribute: Column) -> Column:
+def score_row(answer: Column, gold: Column, name: Column, source: Column, attribute: Column) -> Column:
     """struct(score, correct) of a row's answer: an entity's name is passed on but for reverse lookups, and a term's name, with or without
     diacritics, earns nothing."""
     own = F.when(source.isin("ak", "ag", "nm", "sat") & ~attribute.isin("reverse_name", "nm_reverse"), name)
@@ -250,7 +250,7 @@ def score_row(answer: Column, reference: Column, gold: Column, name: Column, sou
 
 def row_metrics(answer: Column, reference: Column, gold: Column, name: Column, source: Column, attribute: Column) -> Column:
     """struct(score, correct, token_f1, rouge_l, answer_words) of a row's answer, to four digits."""
-    s = score_row(answer, reference, gold, name, source, attribute)
+    s = score_row(answer, gold, name, source, attribute)
     return F.struct(half_even(s["score"], 4).alias("score"), s["correct"].alias("correct"), half_even(token_f1(answer, reference), 4).alias("token_f1"), half_even(rouge_l(answer, reference), 4).alias("rouge_l"), word_count(answer).alias("answer_words"))
 
 

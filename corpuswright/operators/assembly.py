@@ -24,7 +24,6 @@ TERM_KINDS, INFERABLE, PLAIN_SLOT = ("nm", "sat"), ("nm_english", "sat_meaning")
 #: Concepts that are small talk: they are trained, but no entries of the knowledge base. A corpus names its own.
 CONVERSATIONAL = ("greeting",)
 MESSAGE = "array<struct<role:string,content:string>>"
-DRAFT = ("split", "id", "question", "answer", "history", "source", "entity", "name", "attribute", "group", "slot", "open_book", "gold", "gold_id", "salt")
 
 
 def _no_history() -> Column:
@@ -229,7 +228,7 @@ def evaluation_rows(drafts: DataFrame, caps: DataFrame) -> tuple[DataFrame, Data
     held = drafts.where("split <> 'train'")
     kept = cut(splits.capped(held, caps), "capped")
     counts = [held.groupBy("split").agg(F.count("*").alias("a")).join(kept.groupBy("split").agg(F.count("*").alias("b")), "split", "left").select("split", F.lit("caps").alias("reason"), (F.col("a") - F.coalesce("b", F.lit(0))).alias("n"))]
-    scored = kept.withColumn("__ok", (F.col("gold.type") == "none") | scoring.score_row(F.col("answer"), F.col("answer"), F.col("gold"), F.col("name"), F.col("source"), F.col("attribute"))["correct"])
+    scored = kept.withColumn("__ok", (F.col("gold.type") == "none") | scoring.score_row(F.col("answer"), F.col("gold"), F.col("name"), F.col("source"), F.col("attribute"))["correct"])
     scored = cut(scored, "scored")
     counts.append(scored.groupBy("split").agg(F.sum(F.when(F.col("__ok"), 0).otherwise(1)).alias("n")).select("split", F.lit("unscorable").alias("reason"), "n"))
     fair = scored.where("__ok").drop("__ok")

@@ -243,7 +243,7 @@ def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     for attribute, (kind, values, answer) in shown.items():
         g = entities.gold(kind, F.split(F.expr(values), "[|]"))
         own = own.unionByName(part.select(F.expr("concat('p', p_partkey)").alias("entity"), F.lit("ak").alias("kind"), F.col("p_name").alias("name"), F.lit(attribute).alias("attribute"), F.expr(answer).alias("answer"), F.lit("next").alias("whose"), g.alias("gold")))
-    s = scoring.score_row(F.col("answer"), F.col("answer"), F.col("gold"), F.col("name"), F.col("kind"), F.col("attribute"))
+    s = scoring.score_row(F.col("answer"), F.col("gold"), F.col("name"), F.col("kind"), F.col("attribute"))
     scored = own.select("entity", "attribute", "whose", F.explode(F.array(s)).alias("s"))
     return scored.select("entity", "attribute", "whose", F.round("s.score", 6).alias("score"), "s.correct")
 
