@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, jaccard_join, quality_knn, quality_rules, shards, token_counts, token_files, url_filter, warc
+from . import byte_bpe, decontaminate, jaccard_join, quality_knn, quality_rules, sessions, shards, token_counts, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_knn.op9_quality_classifier,
     "op10_token_files": token_files.op10_token_files,
+    "op12_sessionise": sessions.op12_sessionise,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op12_sessionise": sessions.OP12_SQL,
 }
