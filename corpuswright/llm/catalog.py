@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, jaccard_join, quality_knn, quality_rules, sessions, shards, token_counts, token_files, url_filter, warc
+from . import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_knn, quality_rules, resample, sessions, shards, token_counts, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -19,11 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_knn.op9_quality_classifier,
     "op10_token_files": token_files.op10_token_files,
+    "op11_resample": resample.op11_resample,
     "op12_sessionise": sessions.op12_sessionise,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op11_resample": resample.OP11_SQL,
     "op12_sessionise": sessions.OP12_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }

@@ -12,7 +12,7 @@
 4. A session that crosses partitions is left in pieces (sums and the ids of its clicks in order), which are put
    together by session.
 
-The scan's results are a table in the shared folder; states are joined, never collected, and one number a round
+The scan's results are a table in the shared folder; states are joined, never collected or broadcast, and one number a round
 goes to the driver. The scan holds one session's ids, in pieces of at most ``piece_ids``. A chain of partitions without any
 certain cut takes a round for each of them at worst: only a client that never pauses and never ends makes one.
 
@@ -217,7 +217,7 @@ def speculate(clicks: DataFrame, p: Params = Params()) -> DataFrame:
 
 def rerun(scanned: DataFrame, carried: DataFrame, p: Params = Params()) -> DataFrame:
     """The heads of the partitions in ``carried`` (part, state), run again from those states."""
-    heads = scanned.where("kind = 'click'").join(carried.select("part"), "part", "left_semi")
+    heads = scanned.where("kind = 'click'").join(carried.select("part").hint("merge"), "part", "left_semi")
     given = carried.select("part", *_STATE)
     state = given.select(*(F.lit(-1).cast("long").alias("seq") if c == "seq" else F.col(c) if c in given.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCAN.split(", "))))
     return heads.select(*_NAMES).unionByName(state).repartition("part").sortWithinPartitions("part", "seq").mapInArrow(_again(p), SCAN)
@@ -230,7 +230,7 @@ def settle(scanned: DataFrame, p: Params = Params()) -> DataFrame:
     known = scratch.cut(ends.select("*", *(F.lit(None).cast(t).alias(f"was_{c}") for c, t in ends.select(*_STATE).dtypes)), "sessions-states")
     while True:
         before = known.select((F.col("part") + 1).alias("part"), *(F.col(c).alias(f"new_{c}") for c in _STATE))
-        met = known.join(before, "part", "left")
+        met = known.join(before.hint("merge"), "part", "left")
         # another client's session is none here
         ours = F.col("new_session_id").isNotNull() & (F.col("new_client_id") == F.col("first_client"))
         told = met.select(*known.columns, *(F.when(ours, F.col(f"new_{c}")).alias(f"new_{c}") for c in _STATE))
@@ -242,7 +242,7 @@ def settle(scanned: DataFrame, p: Params = Params()) -> DataFrame:
             scratch.drop(known)
             return told.where("new_session_id IS NOT NULL").select("part", *(F.col(f"new_{c}").alias(c) for c in _STATE))
         ended = rerun(scanned, moved, p).where("kind = 'state'").select("part", *(F.col(c).alias(f"end_{c}") for c in _STATE))
-        fresh = told.join(ended.withColumn("run", F.lit(True)), "part", "left")
+        fresh = told.join(ended.withColumn("run", F.lit(True)).hint("merge"), "part", "left")
         run = F.col("run").isNotNull()
         after = scratch.cut(
             fresh.select(
@@ -291,7 +291,7 @@ def sessionise(clicks: DataFrame, p: Params = Params()) -> DataFrame:
     wrong = scratch.cut(settle(scanned, p), "sessions-wrong")
     again = scratch.cut(rerun(scanned, wrong, p), "sessions-again")
     certain = scanned.where("NOT head AND kind IN ('session', 'piece')")
-    guessed = scanned.where("head AND kind IN ('session', 'piece')").join(wrong.select("part"), "part", "left_anti").select(*_NAMES)
+    guessed = scanned.where("head AND kind IN ('session', 'piece')").join(wrong.select("part").hint("merge"), "part", "left_anti").select(*_NAMES)
     parts = certain.unionByName(guessed).unionByName(again.where("kind IN ('session', 'piece')"))
     columns = [c.split()[0] for c in SESSIONS.split(", ")]
     whole = parts.where("kind = 'session'").withColumnRenamed("path", "path_sha256").select(*columns)
