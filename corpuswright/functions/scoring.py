@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .text import content_tokens, fold, squeeze, stem, unmarked, word_count
 
@@ -294,22 +291,50 @@ def token_f1(answer: Column, reference: Column) -> Column:
     return F.transform(F.array(F.struct(content_tokens(answer).alias("a"), content_tokens(reference).alias("b"))), f1)[0]
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
-    """F-measure of the longest common subsequence of two token arrays, by a row-wise recurrence."""
+#: Bits of a limb: two limbs and a carry add up within a long.
+_LIMB = 62
 
-    def one(x, y) -> float:  # noqa: ANN001
-        if x is None or y is None or not len(x) or not len(y):
-            return 0.0
-        x, y = np.asarray(x), np.asarray(y)
-        row = np.zeros(len(y) + 1, np.int64)
-        for t in x:
-            # take the match or keep what was; the running maximum carries the best from the left
-            row[1:] = np.maximum.accumulate(np.where(y == t, row[:-1] + 1, row[1:]))
-        return 2.0 * row[-1] / (len(x) + len(y))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, sixty-two places of ``b`` at a time.
+
+    A fold over ``a`` keeps a row of bits, one for each place of ``b``: zero where the best length rises. A token's places are
+    added to the row, which moves each rise to the first match after the one before; carries go from limb to limb. At the end zeros are counted.
+    """
+    full = F.lit((1 << _LIMB) - 1)
+
+    def places(x: Column) -> Column:
+        """Of each distinct token, its places as limbs."""
+        limbs = F.sequence(F.lit(0), F.floor((F.size(x["b"]) - 1) / _LIMB).cast("int"))
+        bits = lambda t: F.transform(limbs, lambda j: F.aggregate(F.transform(F.slice(x["b"], j * _LIMB + 1, _LIMB), lambda y, i: F.when(y == t, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, y: s.bitwiseOR(y)))
+        return F.map_from_entries(F.transform(F.array_intersect(x["b"], x["a"]), lambda t: F.struct(t, bits(t))))
+
+    def step(row: Column, at: Column) -> Column:
+        """One token: row = (row + (row & places)) | (row & ~places), limb by limb."""
+
+        def limb(s: Column, p: Column) -> Column:
+            total = p["row"] + p["row"].bitwiseAND(p["at"]) + s["carry"]
+            new = total.bitwiseAND(full).bitwiseOR(p["row"].bitwiseAND(F.bitwise_not(p["at"])))
+            return F.struct(F.concat(s["out"], F.array(new)).alias("out"), F.call_function("shiftright", total, F.lit(_LIMB)).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("carry"))
+        paired = F.zip_with(row, at, lambda r, m: F.struct(r.alias("row"), m.alias("at")))
+        return F.aggregate(paired, start, limb, lambda s: s["out"])
+
+    def length(x: Column) -> Column:
+        size = F.floor((F.size(x["b"]) - 1) / _LIMB).cast("int") + 1
+        ones = F.array_repeat(full, size)
+        return bound(F.struct(places(x).alias("m"), x["a"].alias("a"), ones.alias("ones")), lambda y: bound(
+            F.aggregate(y["a"], y["ones"], lambda row, t: bound(y["m"][t], lambda at: F.when(at.isNull(), row).otherwise(step(row, at)))),
+            lambda row: F.aggregate(row, F.lit(0), lambda n, v: n + _LIMB - F.bit_count(v)),
+        ))
+
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return bound(both, lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), length(x)).otherwise(0))
 
 
 def rouge_l(answer: Column, reference: Column) -> Column:
-    return rouge_l_tokens(content_tokens(answer), content_tokens(reference))
+    """F-measure of the longest common subsequence of stems; 0 without any."""
+    held = F.struct(content_tokens(F.coalesce(answer, F.lit(""))).alias("a"), content_tokens(F.coalesce(reference, F.lit(""))).alias("b"))
+    total = lambda x: F.size(x["a"]) + F.size(x["b"])
+    return bound(held, lambda x: F.when(total(x) > 0, 2.0 * common_length(x["a"], x["b"]) / total(x)).otherwise(0.0))

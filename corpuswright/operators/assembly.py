@@ -16,7 +16,7 @@ from ..functions import text as tx
 from ..functions.hashing import chance, slots_by_hash, stable_int
 from ..shared import cut
 from . import facts as fx
-from . import retrieval, splits
+from . import mentions, retrieval, splits
 from .entities import gold
 
 # Terms have their own rules; what can be inferred of an unseen one; the slot asked without diacritics.
@@ -235,7 +235,7 @@ def evaluation_rows(drafts: DataFrame, caps: DataFrame) -> tuple[DataFrame, Data
     closed = fair.where("`group` IN ('unseen_closed', 'heldout_closed')")
     # training text: every message of the row, as they are written
     said = drafts.where("split = 'train'").select(F.explode(F.concat(F.transform("history", lambda m: m["content"]), F.array("question", "answer"))).alias("text"))
-    hit = splits.mentioned(closed.select(F.concat_ws("\x1f", "split", "id").alias("id"), "name"), said).distinct()
+    hit = mentions.mentioned(closed.select(F.concat_ws("\x1f", "split", "id").alias("id"), "name"), said).distinct()
     hit = cut(hit, "mentioned")
     out = fair.withColumn("__key", F.concat_ws("\x1f", "split", "id")).join(hit.withColumnRenamed("id", "__key"), "__key", "left_anti").drop("__key")
     counts.append(hit.groupBy(F.split("id", "\x1f")[0].alias("split")).agg(F.count("*").alias("n")).select("split", F.lit("mentioned").alias("reason"), "n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +20,36 @@ def pools(examples: DataFrame, budget: int, pool_batches: int = 64, seed: str =
     return examples.withColumn("pool", (stable_int(seed, F.col("id")) % count).cast("int"))
 
 
+def _starts(lengths: Column, budget: int, multiple: int) -> Column:
+    """Where batches begin in an array of lengths: a fold whose state is (next place, batches so far, longest, held)."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("longest"), F.lit(0).cast("long").alias("held"))
+    def step(s: Column, n: Column) -> Column:
+        size = padded(n, multiple)
+        longest = F.greatest(s["longest"], size)
+        opens = (s["held"] == 0) | (longest * (s["held"] + 1) > budget)
+        starts = F.when(opens, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"])
+        return F.struct((s["at"] + 1).alias("at"), starts.alias("starts"), F.when(opens, size).otherwise(longest).alias("longest"), F.when(opens, F.lit(1).cast("long")).otherwise(s["held"] + 1).alias("held"))
+
+    return F.aggregate(lengths, state, step, lambda s: s["starts"])
+
+
 def pack(examples: DataFrame, budget: int, multiple: int = 8, pool_batches: int = 64, seed: str = "0") -> DataFrame:
     """(pool, batch, id, length): each pool in order of length, cut where padding would exceed the budget.
 
-    Where a batch ends depends on where the last one ended, so a pool is packed by one task; a pool has a
-    bounded number of examples. Longer examples than the budget raise.
+    Where a batch ends depends on where the last one ended, so a pool, which has a bounded number of examples, is one array; a fold over
+    its lengths finds where batches begin, and each batch is a slice. Longer examples than the budget raise.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id"], kind="stable")
-        batch, longest, held, out = 0, 0, 0, []
-        for n in pdf["length"]:
-            size = -(-int(n) // multiple) * multiple
-            if size > budget:
-                raise ValueError(f"an example of {size} padded tokens exceeds the budget of {budget}")
-            if held and max(longest, size) * (held + 1) > budget:
-                batch, longest, held = batch + 1, 0, 0
-            longest, held = max(longest, size), held + 1
-            out.append(batch)
-        return pdf.assign(batch=out)[["pool", "batch", "id", "length"]]
-
-    dealt = pools(examples, budget, pool_batches, seed).select("pool", "id", "length")
-    return dealt.groupBy("pool").applyInPandas(one, "pool int, batch int, id long, length long")
+    dealt = pools(examples, budget, pool_batches, seed).select("pool", "id", F.col("length").cast("long").alias("length"))
+    fits = F.when(padded(F.col("length"), multiple) <= budget, F.col("length")).otherwise(
+        F.raise_error(F.concat(F.lit("an example of "), padded(F.col("length"), multiple).cast("string"), F.lit(f" padded tokens exceeds the budget of {budget}"))).cast("long")
+    )
+    sorted_ = dealt.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct(fits.alias("length"), "id"))).alias("rows"))
+    # generated once, not where it is used
+    cut = sorted_.select("pool", "rows", F.explode(F.array(_starts(F.transform("rows", lambda r: r["length"]), budget, multiple))).alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("rows")))
+    slices = F.transform("starts", lambda at, i: F.slice("rows", at + 1, F.element_at(ends, i + 1) - at))
+    batches = cut.select("pool", F.posexplode(slices).alias("batch", "rows"))
+    return batches.select("pool", "batch", F.explode("rows").alias("r")).select("pool", "batch", "r.id", "r.length")
 
 
 def costs(batches: DataFrame, multiple: int = 8) -> DataFrame:

@@ -128,23 +128,6 @@ def context_overlap(contexts: DataFrame, held_out: DataFrame) -> DataFrame:
     return contexts.join(held_out, "card_id", "left_semi")
 
 
-def mentioned(needles: DataFrame, texts: DataFrame, shortest: int = 4) -> DataFrame:
-    """Needles (id, name) whose words occur in a row, one after the other, in some text (text).
-
-    An equi-join of word runs as long as the needles', not a search of every text for every needle: one pass
-    over the texts makes the runs of all lengths that names have.
-    """
-    split = lambda c: F.filter(F.split(tx.plain_words(c), " "), lambda w: w != "")
-    wanted = needles.select("id", F.explode(F.array(split(F.col("name")))).alias("w")).select("id", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).where(F.length("run") >= shortest)
-    lengths = wanted.agg(F.sort_array(F.collect_set("n"))).first()[0]  # distinct word counts of names: a handful
-    if not lengths:
-        return needles.limit(0).select("id")
-    worded = texts.select(F.explode(F.array(split(F.col("text")))).alias("w"))
-    each = F.expr(f"flatten(transform(filter(array({', '.join(map(str, lengths))}), n -> n <= size(w)), n -> transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))))")
-    runs = worded.select(F.explode(F.array_distinct(each)).alias("run"))
-    return wanted.join(runs, "run", "left_semi").select("id")
-
-
 def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct non-empty values of a that b hasn't."""
     return a.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").select(key).distinct().join(b.select(key), key, "left_anti")

@@ -269,6 +269,9 @@ SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(13) || chr(10)) AS ans
     "token_f1": f"""WITH {_PAIRS}, k AS (SELECT conv_id, turn, {duck.content_tokens('answer')} AS a, {duck.content_tokens('reference')} AS b FROM pairs),
 o AS (SELECT conv_id, turn, len(a) + len(b) AS n, coalesce(list_sum(list_transform(list_distinct(a), lambda z: least(len(list_filter(a, lambda y: y = z)), len(list_filter(b, lambda y: y = z))))), 0) AS overlap FROM k)
 SELECT conv_id, turn, CASE WHEN overlap = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * overlap / n, 6) END AS f1 FROM o""",
+    "rouge_l": f"""WITH {_PAIRS}, k AS (SELECT conv_id, turn, {duck.content_tokens("coalesce(answer, '')")} AS a, {duck.content_tokens("coalesce(reference, '')")} AS b FROM pairs),
+o AS (SELECT conv_id, turn, len(a) + len(b) AS n, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_reduce(a, lambda before, t: list_reduce(range(1, len(b) + 1), lambda now, j: list_append(now, greatest(now[j], CASE WHEN b[j] = t THEN before[j] + 1 ELSE before[j + 1] END)), [0::BIGINT]), list_resize([0::BIGINT], len(b) + 1, 0))[-1] END AS common FROM k)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * common / n, 6) END AS rouge_l FROM o""",
     "phrase_hit": f"WITH {_ITEMS} SELECT doc_id, {_phrase('item', 'text')} AS hit FROM di",
     "items_covered": _ITEM_SQL,
     "first_match_class": f"WITH f AS (SELECT doc_id, {duck.fold('text')} AS t FROM documents) SELECT doc_id, {_first('t')} AS class FROM f",

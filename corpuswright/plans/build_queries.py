@@ -93,7 +93,7 @@ def worst_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worst_packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worst of the packed batches themselves, which SQL can't make."""
+    """The worst of the packed batches themselves."""
     return batching.worst(batching.costs(token_budget_batches(spark, sf_dir)))
 
 
@@ -227,6 +227,15 @@ def _mcnemar(a: str, b: str, digits: int = 6) -> str:
 
 
 _LENGTH = "least(n_chars % 1500 + 20, 1500)"
+#: Each step takes the next example of every pool.
+_PACKED = f"""e AS (SELECT doc_id AS id, ({_LENGTH})::BIGINT AS length FROM documents),
+z AS (SELECT greatest(1, ceil(count(*) / greatest(1, 64 * 4096 // greatest(1, sum(length)::BIGINT // count(*)))))::BIGINT AS pools FROM e),
+p AS (SELECT id, length, (ceil(length / 8) * 8)::BIGINT AS padded, ({_I(_q('0'), 'id::VARCHAR')} % (SELECT pools FROM z))::INT AS pool FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY length, id) AS n FROM p),
+b AS (SELECT pool, n, id, length, padded, 0 AS batch, padded AS longest, 1 AS held FROM o WHERE n = 1
+  UNION ALL SELECT o.pool, o.n, o.id, o.length, o.padded, b.batch + (greatest(b.longest, o.padded) * (b.held + 1) > 4096)::INT,
+    CASE WHEN greatest(b.longest, o.padded) * (b.held + 1) > 4096 THEN o.padded ELSE greatest(b.longest, o.padded) END, CASE WHEN greatest(b.longest, o.padded) * (b.held + 1) > 4096 THEN 1 ELSE b.held + 1 END
+  FROM b JOIN o ON o.pool = b.pool AND o.n = b.n + 1)"""
 ORACLES = {
     "fact_explode": f"WITH {_FACTS} SELECT entity, attribute, answer, vals FROM f",
     "seen_expansion": _expansion([
@@ -242,6 +251,9 @@ ORACLES = {
 p AS (SELECT entity, name, l[1] AS a, l[2] AS b, entity || '|' || l[1].attribute || '>' || l[2].attribute AS id, {_nth('turn-slot', 1).replace('key', 'entity')} AS slot FROM o WHERE len(l) >= 2)
 SELECT p.id, entity, 'user:' || replace(t.text, '{{name}}', name) || chr(10) || 'assistant:' || a.answer || chr(10) || 'user:And its ' || b.attribute || '?' || chr(10) || 'assistant:' || b.answer AS talk, {_I(_q('multi-open'), 'p.id')} % 10000 < 4000 AS open_too FROM p JOIN t ON t.attribute = a.attribute AND t.slot = p.slot""",
     "pad_to_multiple": f"SELECT doc_id AS id, (ceil({_LENGTH} / 8) * 8)::BIGINT AS padded, (ceil(({_LENGTH} % 20) / 8) * 8)::INT AS filled FROM documents",
+    "token_budget_batches": f"WITH RECURSIVE {_PACKED} SELECT pool, batch, id, length FROM b",
+    "worst_packed_batches": f"""WITH RECURSIVE {_PACKED}, c AS (SELECT pool, batch, count(*) AS size, max(length) AS longest, max(padded) * count(*) AS cost FROM b GROUP BY pool, batch)
+SELECT * FROM (SELECT * FROM c ORDER BY cost DESC, pool, batch LIMIT 1) UNION SELECT * FROM (SELECT * FROM c ORDER BY longest DESC, pool, batch LIMIT 1)""",
     "worst_batches": f"""WITH e AS (SELECT doc_id AS id, {_LENGTH} AS length, doc_id % 4 AS pool FROM documents), b AS (SELECT *, (row_number() OVER (PARTITION BY pool ORDER BY length, id) - 1) // 16 AS batch FROM e),
 c AS (SELECT pool::INT AS pool, batch::INT AS batch, count(*) AS size, max(length) AS longest, (ceil(max(length) / 8) * 8)::BIGINT * count(*) AS cost FROM b GROUP BY pool, batch)
 SELECT * FROM (SELECT * FROM c ORDER BY cost DESC, pool, batch LIMIT 1) UNION SELECT * FROM (SELECT * FROM c ORDER BY longest DESC, pool, batch LIMIT 1)""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.hashing import bucket, chance, entity_group, slots_by_hash, stable_int
+from ..operators import mentions
 from ..operators import splits as s
 from . import duck
 from .tables import table
@@ -129,7 +130,16 @@ def leak_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _example_rows(spark, sf_dir)
-    return s.mentioned(rows.where("split <> 'train'").select("id", "name"), rows.where("split = 'train'").select("text"))
+    return mentions.mentioned(rows.where("split <> 'train'").select("id", "name"), rows.where("split = 'train'").select("text"))
+
+
+def mention_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the training conversations mention, also across the border of two messages or conversations."""
+    said = table(spark, sf_dir, "conversations").where(~entity_group(F.col("conv_id").cast("string")).startswith("heldout")).select("conv_id", "turn", "text")
+    names = table(spark, sf_dir, "conversations").where(entity_group(F.col("conv_id").cast("string")).startswith("heldout"))
+    words = F.split(F.trim(tx.plain_words(F.coalesce("text", F.lit("")))), " ")
+    needles = names.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.array_join(F.slice(words, 2, 2), " ").alias("name"))
+    return mentions.mentioned(needles, said, order=("conv_id", "turn"))
 
 
 def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +152,7 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (hash_split_groups, twin_safe_split, bernoulli_share, caps_per_group, dedup_keep_first, dedup_keep_best, twin_merge, parent_lookup, section_parent, reference_fallback, slot_rotation, slot_pick2, slot_argmin, leak_question_overlap, leak_entity, leak_entity_audit, twin_leak, leak_context, mention_filter, split_stats, duplicate_ids)}
+QUERIES = {f.__name__: f for f in (hash_split_groups, twin_safe_split, bernoulli_share, caps_per_group, dedup_keep_first, dedup_keep_best, twin_merge, parent_lookup, section_parent, reference_fallback, slot_rotation, slot_pick2, slot_argmin, leak_question_overlap, leak_entity, leak_entity_audit, twin_leak, leak_context, mention_filter, mention_across, split_stats, duplicate_ids)}
 
 _I = duck.stable_int
 _DOC = "doc_id::VARCHAR"
@@ -188,6 +198,12 @@ SELECT n_nationkey, coalesce(nullif(a.ref, ''), nullif(b.ref, ''), '') AS refere
 t AS (SELECT ' ' || array_to_string({_PLAIN.format(duck.fold('text'))}, ' ') || ' ' AS x FROM e WHERE split = 'train'),
 r AS (SELECT DISTINCT run FROM n WHERE length(run) >= 4),
 h AS (SELECT run FROM r WHERE EXISTS (SELECT 1 FROM t WHERE contains(t.x, ' ' || r.run || ' ')))
+SELECT id FROM n JOIN h USING (run)""",
+    "mention_across": f"""WITH c AS (SELECT *, {duck.entity_group("conv_id::VARCHAR")} AS g, {_PLAIN.format(duck.fold("coalesce(text, '')"))} AS w FROM conversations),
+n AS (SELECT conv_id || '-' || turn AS id, array_to_string(w[2:3], ' ') AS run FROM c WHERE starts_with(g, 'heldout')),
+t AS (SELECT ' ' || string_agg(array_to_string(w, ' '), ' ' ORDER BY conv_id, turn) FILTER (WHERE len(w) > 0) || ' ' AS x FROM c WHERE NOT starts_with(g, 'heldout')),
+r AS (SELECT DISTINCT run FROM n WHERE length(run) >= 4),
+h AS (SELECT run FROM r, t WHERE contains(t.x, ' ' || r.run || ' '))
 SELECT id FROM n JOIN h USING (run)""",
     "split_stats": f'WITH {_SPLIT} SELECT split, "group", source, count(*) AS n, count(DISTINCT entity) AS entities FROM e GROUP BY GROUPING SETS ((split, "group"), (split, source), (split))',
     "duplicate_ids": "SELECT concat_ws('-', conv_id::VARCHAR, role) AS id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuswright.functions import prompts, safety, scoring
 from corpuswright.functions import text as tx
 from corpuswright.functions.hashing import bucket
-from corpuswright.operators import batching, evaluation, retrieval, serving, splits, tokens
+from corpuswright.operators import batching, evaluation, mentions, retrieval, serving, splits, tokens
 from corpuswright.sources import files
 from corpuswright.streaming import log
 
@@ -176,8 +176,8 @@ def test_caps_and_places(spark):
     assert {r.id for r in splits.capped(df, caps).collect()} == want
     needles = spark.createDataFrame([("a", "Red Ōre"), ("b", "ore"), ("c", "dark ore vein"), ("d", "none such")], "id string, name string")
     texts = spark.createDataFrame([("The RED ore, found",), ("a dark ore",), (None,)], "text string")
-    assert {r.id for r in splits.mentioned(needles, texts).collect()} == {"a"}
-    assert {r.id for r in splits.mentioned(needles, texts, 3).collect()} == {"a", "b"}
+    assert {r.id for r in mentions.mentioned(needles, texts).collect()} == {"a"}
+    assert {r.id for r in mentions.mentioned(needles, texts, 3).collect()} == {"a", "b"}
 
 
 def test_twins_and_best(spark):
