@@ -108,13 +108,13 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.offs = np.zeros(1 << 15, np.int64)
         self.lens = np.zeros(1 << 15, np.int64)
 
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         encoded = [self.piece(w) for w in words]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(sizes.sum()))
@@ -126,7 +126,7 @@ class Encoder:
         self.pool[self.used : end] = flat
         self.offs[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.lens[n : n + len(words)] = sizes
-        self.index.update(zip(keys, range(n, n + len(words))))
+        self.index.update(zip(words, range(n, n + len(words))))
         self.used = end
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +135,15 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         ends = np.append(starts[1:], len(buf))
-        codes, keys = pd.factorize(tk.hash_ranges(buf, starts, ends))
-        keys = keys.tolist()
+        codes, first = tk.distinct(buf, starts, ends)
         if len(self.index) > self.cache_words:
             self._reset()
-        new = [i for i, k in enumerate(keys) if k not in self.index]
+        raw = buf.tobytes()
+        words = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [w for w in words if w not in self.index]
         if new:
-            first = np.zeros(len(keys), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = buf.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[j] : ends[j]] for j in first[new].tolist()])
-        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[codes]
+            self._learn(new)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[codes]
         lens = self.lens[at]
         total = np.zeros(len(lens) + 1, np.int64)
         np.cumsum(lens, out=total[1:])

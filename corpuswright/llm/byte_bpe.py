@@ -14,7 +14,7 @@ frequent word weighs on one task: a word occurs at most once per chunk in the sh
 text longer than a chunk is a chunk of its own. Lost executors are made up for from the bucketed
 table and shuffles; nothing lies in machine-local folders.
 
-Pre-tokens are told apart by a 64-bit hash within a chunk and by their bytes in the shuffle.
+Pre-tokens are told apart by their bytes, in a chunk and in the shuffle.
 
 Defined results: a null or empty text has no ids; null ids stay null; repeated rows each have their
 own, equal results; an empty table gives an empty table. Other columns are left out.
@@ -120,7 +120,7 @@ class _Chunk:
     """What one chunk has gathered."""
 
     def __init__(self) -> None:
-        self.keys: dict[int, int] = {}
+        self.keys: dict[bytes, int] = {}
         self.words: list[bytes] = []
         self.hashes: list[np.ndarray] = []
         self.codes: list[np.ndarray] = []
@@ -136,17 +136,15 @@ class _Chunk:
         if not len(starts):
             return
         ends = np.append(starts[1:], len(buf))
-        codes, keys = pd.factorize(tk.hash_ranges(buf, starts, ends))
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.keys]
+        codes, first = tk.distinct(buf, starts, ends)
+        raw = buf.tobytes()
+        found = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [i for i, w in enumerate(found) if w not in self.keys]
         if new:
-            first = np.zeros(len(known), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = buf.tobytes()
-            self.keys.update(zip((known[i] for i in new), range(len(self.words), len(self.words) + len(new))))
-            self.words += [raw[starts[j] : ends[j]] for j in first[new].tolist()]
-            self.hashes.append(keys[new])
-        self.codes.append(np.fromiter(map(self.keys.__getitem__, known), np.int32, len(known))[codes])
+            self.keys.update(zip((found[i] for i in new), range(len(self.words), len(self.words) + len(new))))
+            self.words += [found[i] for i in new]
+            self.hashes.append(tk.hash_ranges(buf, starts[first[new]], ends[first[new]]))
+        self.codes.append(np.fromiter(map(self.keys.__getitem__, found), np.int32, len(found))[codes])
 
     def row(self, key: int) -> pa.RecordBatch:
         codes, hashes = _join(self.codes, np.int32), _join(self.hashes, tk.U64)

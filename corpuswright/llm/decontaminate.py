@@ -29,6 +29,7 @@ from .bloom import Level, holds, make_level
 
 WINDOW = 13
 ANCHOR = 5
+#: Of the filters of all window lengths together.
 FILTER_BITS = 1 << 28
 #: A document is contaminated if a word in this many is hit, or more.
 SHARE = 20
@@ -68,7 +69,7 @@ def _sieve(windows: DataFrame, anchor: int, most_bits: int) -> Column:
         k = min(anchor, n)
         own = windows.where(F.col("n") == n).select(F.split("gram", " ").alias("words"))
         runs = scratch.cut(own.select(F.explode(F.expr(f"transform(sequence(0, {n - k}), i -> {_run('i', k)})")).alias("k")).distinct(), "anchors")
-        level = make_level(runs, runs.count(), 16, n, most_bits)
+        level = make_level(runs, runs.count(), 16, n, most_bits // len(lengths))
         # the runs as elements of an array, so that each is made once
         strided = F.expr(f"CASE WHEN size(words) >= {n} THEN transform(sequence(0, (size(words) - {k}) div {n - k + 1}), i -> {_run(f'i * {n - k + 1}', k)}) ELSE cast(array() as array<string>) END")
         out = out | _any_held(strided, level, n)

@@ -426,7 +426,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     read = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *where).mapInArrow(run, "doc_id long, set_id long, text string")
     once = read.groupBy("doc_id", "set_id").agg(F.first("text").alias("text"))  # rows may repeat
     out = scratch.cut(once.join(wanted.hint("merge"), ["doc_id", "set_id"]).drop("doc_id"), "texts")
-    sent.destroy()
+    sent.unpersist()
     scratch.drop(wanted)
     return out
 
@@ -608,7 +608,7 @@ def cluster(docs: DataFrame, p: Params = Params()) -> DataFrame:
     hubs = hub_pairs(weighed, classes, p)
     root = roots(hubs)
     measured = to_hubs(hubs.unionByName(root).distinct(), docs, classes, sent, p)
-    sent.destroy()
+    sent.unpersist()
     family = families(measured, root)
     pairs = family_pairs(family, p).unionAll(cross_pairs(weighed, family, p)).distinct()
     pairs = scratch.cut(similar(pairs, classes, p), "pairs")

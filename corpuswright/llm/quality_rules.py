@@ -65,8 +65,8 @@ def text_counts(texts: pa.Array) -> np.ndarray:
         n = last - first
         starts, ends, ptr = tk.split(buf, offs, tk.SPACES)
         owner = tk.owners(ptr)
-        h = tk.hash_ranges(buf, starts, ends)
-        salt = tk.mix(np.arange(1, n + 1, dtype=tk.U64))
+        word, firsts = tk.distinct(buf, starts, ends)
+        size = max(1, len(firsts))
         block = out[first:last]
         block[:, 0] = np.diff(ptr)
         begins = (buf & 0xC0) != 0x80
@@ -77,21 +77,20 @@ def text_counts(texts: pa.Array) -> np.ndarray:
         words_in = np.searchsorted(starts, le) - np.searchsorted(starts, ls)
         full = words_in > 0
         line_owner = tk.owners(lptr)[full]
-        line_keys = tk.hash_ranges(buf, ls[full], le[full]) ^ salt[line_owner]
+        line_keys = line_owner * (len(ls) + 1) + tk.distinct(buf, ls[full], le[full])[0]
         later = _duplicated(line_keys, "first")
         block[:, 3] = np.bincount(line_owner[later], minlength=n)
         # words inside any window of three words that the text holds twice or more
-        m = max(0, len(h) - 2)
-        inside = owner[:m] == owner[2:] if m else np.zeros(0, bool)
-        at = np.flatnonzero(inside)
-        f = tk.mix(np.arange(11, 14, dtype=tk.U64)) | tk.U64(1)
-        keys = tk.mix(h[at] * f[0] + h[at + 1] * f[1] + h[at + 2] * f[2]) ^ salt[owner[at]] if m else np.zeros(0, tk.U64)
-        hit = at[_duplicated(keys, False)]
-        covered = np.zeros(len(h), bool)
+        m = max(0, len(word) - 2)
+        at = np.flatnonzero(owner[:m] == owner[2:]) if m else np.zeros(0, np.int64)
+        pairs, _ = pd.factorize(word[at] * size + word[at + 1])
+        windows, window_list = pd.factorize(pairs * size + word[at + 2])
+        hit = at[_duplicated(owner[at] * (len(window_list) + 1) + windows, False)]
+        covered = np.zeros(len(word), bool)
         for j in range(3):
             covered[hit + j] = True
         block[:, 4] = np.bincount(owner[covered], minlength=n)
-        block[:, 5] = np.bincount(owner[~_duplicated(h ^ salt[owner], "first")], minlength=n)
+        block[:, 5] = np.bincount(owner[~_duplicated(owner * size + word, "first")], minlength=n)
     return out
 
 
@@ -176,8 +175,8 @@ def calibrate(forest: Forest, x: np.ndarray, quality: np.ndarray, p: Params) ->
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """(text, quality) of at most ``sample_rows`` labelled rows, those lowest by a hash of the id."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """(text, quality) of at most ``sample_rows`` labelled rows of ``docs``, those lowest by a hash of the id."""
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows)
     return one_row_each(docs, chosen).select("text", "quality")
 

@@ -8,7 +8,7 @@ in which its middle lies. Shards are therefore contiguous in id order and differ
 share by less than one document's size at each end.
 
 The ordered sizes are a table in the shared folder, so that later steps see the same partitions
-even if executors are lost. Ids are ranges of keys, so neither sources nor groups of copies meet.
+even if executors are lost. Ranges are of (id, size, checksum), so rows of one id, or without one, are spread too.
 
 Defined results: a null text has size 8 and checksum 0; a null doc_id sorts first; repeated ids
 are ordered by size and checksum, and equal rows get neighbouring slots; an empty table gives an
@@ -51,7 +51,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
     spark = docs.sparkSession
-    placed = sizes(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "size", "text_crc32")
+    placed = sizes(docs).repartitionByRange("doc_id", "size", "text_crc32").sortWithinPartitions("doc_id", "size", "text_crc32")
     ordered = scratch.cut(placed.mapInArrow(_running, "doc_id long, size long, text_crc32 long, part int, bytes_before long, rows_before long"), "shard-sizes")
     # a row for each partition: the one thing that the driver holds
     totals = ordered.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("part").collect()

@@ -7,10 +7,12 @@ whatever the batch size is; no text is ever shortened.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -51,31 +53,71 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown when a longer block comes."""
+#: Longer ranges are hashed one by one; the others eight bytes at a time, side by side.
+_SIDE_BY_SIDE = 256
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [_MASK], U64)
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, _BASE & _MASK, U64)]))
-            self.down = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, inverse, U64)]))
-        return self.up[:n], self.down[:n]
+def _words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as an integer, zeros after the end; a view, not aligned."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
-_powers = _Powers()
+def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end); equal bytes give equal hashes in any block.
 
+    Every eight bytes are mixed with the hash of those before: no sum of bytes and powers, for which whole families of
+    texts collide.
+    """
+    lens = ends - starts
+    h, words = mix(lens.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(_BASE & _MASK)), _words_at(buf)
+    left = np.flatnonzero((lens > 0) & (lens <= _SIDE_BY_SIDE))
+    at = 0
+    while len(left):
+        rest = lens[left] - at
+        block = words[starts[left] + at] & _LOW_BYTES[np.minimum(rest, 8)]
+        h[left] = mix((h[left] ^ block) * U64(_BASE & _MASK) + block)
+        at += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(lens > _SIDE_BY_SIDE).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, key=b"range").digest(), "little")
+    return h
 
-def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end); equal bytes give equal hashes in any block."""
-    up, down = _powers.get(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray) -> bool:
+    """Are the bytes from each of ``a`` on those from ``b`` on, as many as ``lens`` says?"""
+    words, at = _words_at(buf), 0
+    short = lens <= _SIDE_BY_SIDE
+    x, y, n = a[short], b[short], lens[short]
+    while len(x):
+        low = _LOW_BYTES[np.minimum(n - at, 8)]
+        if ((words[x + at] ^ words[y + at]) & low).any():
+            return False
+        at += 8
+        more = n > at
+        x, y, n = x[more], y[more], n[more]
+    return all(np.array_equal(buf[i : i + k], buf[j : j + k]) for i, j, k in zip(a[~short].tolist(), b[~short].tolist(), lens[~short].tolist()))
+
+
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range the number of its bytes among the distinct ones, and the first range of each of these.
+
+    Hashes only find equal ranges; their bytes are compared, and if any differ, all are told apart by their bytes.
+    """
+    codes, keys = pd.factorize(hash_ranges(buf, starts, ends))
+    first = np.zeros(len(keys), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    lens = ends - starts
+    same = first[codes]
+    other = np.flatnonzero(same != np.arange(len(codes)))
+    if np.array_equal(lens[other], lens[same[other]]) and _equal(buf, starts[other], starts[same[other]], lens[other]):
+        return codes, first
+    raw, seen = buf.tobytes(), {}
+    codes = np.fromiter((seen.setdefault(raw[i:j], len(seen)) for i, j in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+    first = np.zeros(len(seen), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, first
 
 
 def split(buf: np.ndarray, offs: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +38,7 @@ class Unigram:
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10.0
-        self.cache: dict[int, int] = {}
+        self.cache: dict[bytes, int] = {}
         self.cache_words = cache_words
         self.steps = 0
 
@@ -72,17 +71,13 @@ class Unigram:
         n = np.diff(ptr)
         if not len(starts):
             return n, np.zeros(len(n), np.int64)
-        codes, keys = pd.factorize(tk.hash_ranges(buf, starts, ends))
+        codes, first = tk.distinct(buf, starts, ends)
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.cache]
-        if new:
-            first = np.zeros(len(known), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = buf.tobytes()
-            words = sorted((MARK + raw[starts[j] : ends[j]].decode(), known[i]) for i, j in zip(new, first[new].tolist()))
-            self.cache.update(zip((k for _, k in words), self.count([w for w, _ in words])))
+        raw = buf.tobytes()
+        known = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+        new = sorted((MARK + w.decode(), w) for w in known if w not in self.cache)
+        self.cache.update(zip((w for _, w in new), self.count([w for w, _ in new])))
         counts = np.fromiter(map(self.cache.__getitem__, known), np.int64, len(known))[codes]
         total = np.append(0, np.cumsum(counts))
         return n, total[ptr[1:]] - total[ptr[:-1]]

@@ -29,6 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, scratch
 from . import textkit as tk
@@ -79,6 +80,11 @@ class Packer:
         self.docs.close()
 
 
+def ranged(docs: DataFrame) -> DataFrame:
+    """Rows in order of id and text, in ranges; rows of one id are spread by how their texts begin."""
+    return docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+
+
 def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, sequence_length: int = 2048, batch_sequences: int = 128, added_tokens: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text), write the files in ascending id order; the manifest, a row for each file.
 
@@ -111,8 +117,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, sequen
                 fs.move(own + end, final + end)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [packer.n_docs], "n_tokens": [packer.n_tokens], "n_sequences": [packer.n_sequences]})
 
-    placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.cut(placed.mapInArrow(run, MANIFEST), "token-manifest")
+    return scratch.cut(ranged(docs).mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

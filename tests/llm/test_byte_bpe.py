@@ -7,6 +7,8 @@ import tiktoken
 
 from corpuswright.llm import bpe, byte_bpe
 
+from .twins import PAIRS
+
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -49,3 +51,9 @@ def test_packed_ranks():
         assert byte_bpe.unpack(byte_bpe.pack(codes), n).tolist() == codes.tolist()
     edge = np.array([191, 192, 14527, 14528, 473279, 473280, (1 << 31) - 1])
     assert byte_bpe.unpack(byte_bpe.pack(edge), len(edge)).tolist() == edge.tolist()
+
+
+def test_words_with_equal_sums_of_powers_are_told_apart(spark):
+    rows = list(enumerate([x for pair in PAIRS for x in pair] + [" ".join(pair) for pair in PAIRS]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in byte_bpe.digests(docs, PATH).collect()), key=str) == expected(rows)

@@ -8,6 +8,8 @@ import pytest
 from corpuswright.llm import jaccard_join as j
 from corpuswright.llm.components import components
 
+from .twins import PAIRS
+
 
 def shingles(text, k=5):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
@@ -134,3 +136,9 @@ def test_crowded_sketch_keeps_no_postings_of_one_class(spark):
     assert 500 < kept.count() < 4000 and runs.where("n = 1").count() == 0
     assert kept.where("salt > 0").count() == 0
     assert result(j.cluster(docs, p)) == plain(list(enumerate(texts)))
+
+
+def test_texts_with_equal_sums_of_powers_do_not_link(spark):
+    rows = list(enumerate(x for pair in PAIRS for x in pair))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(j.cluster(docs)) == plain(rows) and j.keep_one(docs).count() == len(rows)

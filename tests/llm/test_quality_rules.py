@@ -6,6 +6,8 @@ import pyarrow as pa
 
 from corpuswright.llm import quality_rules as q
 
+from .twins import PAIRS
+
 
 def plain(text):
     text = text or ""
@@ -106,3 +108,16 @@ def test_stage_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b " * 40 + " ".join(f"w{i}" for i in range(80)), 7, None), (2, None, 8, "x")], "doc_id long, text string, __rule_kept int, `__RULE_score` string")
     out = q.stage(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert out.columns == docs.columns and [r[2] for r in out.collect()] == [7]
+
+
+def test_words_with_equal_sums_of_powers_are_told_apart():
+    texts = ["\n".join(pair) for pair in PAIRS] + [" ".join(pair) + " a " + " ".join(pair) for pair in PAIRS]
+    counts = q.text_counts(pa.array(texts))
+    assert counts[:, :5].tolist() == [plain(x) for x in texts]
+    assert counts[:, 5].tolist() == [2] * len(PAIRS) + [3] * len(PAIRS)
+
+
+def test_labels_of_missing_documents_do_not_shrink_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert q.labelled_sample(docs, labels, q.Params(sample_rows=50)).count() == 50

@@ -46,3 +46,9 @@ def test_written_shards(spark):
     placed = shards.write(docs, path, 4)
     back = spark.read.parquet(path)
     assert sorted((r.doc_id, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in placed.collect())
+
+
+def test_one_id_on_many_rows(spark):
+    rows = [(7, "x" * (i % 50)) for i in range(500)] + [(None, "y" * i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in shards.assign(docs, 5).collect()), key=str) == plain(rows, 5)

@@ -7,6 +7,8 @@ import regex
 
 from corpuswright.llm import textkit as tk
 
+from .twins import PAIRS
+
 ALPHABET = [" ", "  ", "\n", "\t", " ", "　", "'", "'s", "'re", "'ll", "'ve", "'t", "'", "a", "be", "É", "ß", "1", "²", "!", "?", "日本", "😀", "é", "‍", "'S", "\x1c", "\x85"]
 
 
@@ -56,3 +58,25 @@ def test_blocks_of_a_sliced_array():
     assert (first, end, bytes(buf), offs.tolist()) == (0, 3, b"cde", [0, 0, 3, 3])
     assert list(tk.blocks(pa.array([], pa.string()))) == []
     assert np.array_equal(tk.hash_ranges(np.frombuffer(b"xxabab", np.uint8), np.array([2, 4]), np.array([4, 6]))[:1], tk.hash_ranges(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2])))
+
+
+def test_ranges_are_told_apart():
+    r = random.Random(8)
+    parts = [x.encode() for pair in PAIRS for x in pair] + [bytes(r.choices(b"ab", k=r.randrange(40))) for _ in range(3000)] + [b"x" * n for n in range(250, 262)] * 2
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(x) for x in parts])
+    starts = ends - [len(x) for x in parts]
+    h = tk.hash_ranges(buf, starts, ends).tolist()
+    assert len(set(zip(h, parts))) == len(set(h)) == len(set(parts))
+    assert [int(tk.hash_ranges(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in parts[:40]] == h[:40]
+    codes, first = tk.distinct(buf, starts, ends)
+    assert [parts[first[c]] for c in codes] == parts and len(first) == len(set(parts))
+
+
+def test_equal_hashes_of_different_bytes_change_nothing(monkeypatch):
+    monkeypatch.setattr(tk, "hash_ranges", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    parts = [b"one", b"two", b"one", b"", b"t" * 300, b"t" * 299 + b"u", b"t" * 300]
+    ends = np.cumsum([len(x) for x in parts])
+    starts = ends - [len(x) for x in parts]
+    codes, first = tk.distinct(np.frombuffer(b"".join(parts), np.uint8), starts, ends)
+    assert [parts[first[c]] for c in codes] == parts and len(first) == 5

@@ -7,6 +7,8 @@ import pyarrow as pa
 from corpuswright.llm import textkit as tk
 from corpuswright.llm import token_counts as t
 
+from .twins import PAIRS
+
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -63,3 +65,9 @@ def test_prefixes_are_shared():
     words = sorted(t.MARK + "counter" + x for x in ("", "s", "part", "parts", "act"))
     model.count(words)
     assert model.steps == len(t.MARK + "counter") + len("act") + len("part") + len("s") + len("s")
+
+
+def test_words_with_equal_sums_of_powers_are_told_apart():
+    model, texts = t.load(PATH), [x for pair in PAIRS for x in pair]
+    for _, _, buf, offs in tk.blocks(pa.array(texts)):
+        assert model.totals(buf, offs)[1].tolist() == [alone(model, t.MARK + x) for x in texts]

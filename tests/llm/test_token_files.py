@@ -9,6 +9,8 @@ from tokenizers import Tokenizer
 
 from corpuswright.llm import bpe, scratch, token_files
 
+from .twins import PAIRS
+
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -75,3 +77,20 @@ def test_added_tokens_are_the_library_s_at_its_defaults(spark, tmp_path):
         want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(tuple(r) for r in token_files.op10_token_files(spark, str(tmp_path)).collect()) == want
+
+
+def test_words_with_equal_sums_of_powers_are_told_apart(spark, tmp_path):
+    rows = list(enumerate(x for pair in PAIRS for x in (*pair, " ".join(pair))))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in token_files.op10_token_files(spark, str(tmp_path)).collect()) == expected(rows)
+
+
+def test_one_id_on_many_rows_is_spread(spark):
+    rows = [(7, f"text number {i}") for i in range(400)] + [(None, f"no id {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert max(len(x) for x in token_files.ranged(docs).select("doc_id").rdd.glom().collect()) < 200
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    folder = scratch.new_folder(spark, "t")
+    assert sorted((tuple(r) for r in token_files.read(spark, folder, token_files.write(docs, JSON, folder)).collect()), key=lambda r: r[1]) == expected(rows)
