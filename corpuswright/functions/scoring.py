@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import content_tokens, fold, squeeze, stem, unmarked, word_count
+from .text import content_tokens, fold, folded_tokens, squeeze, stem_word, unmarked, word_count
 
 # Classes and the patterns that name them in folded text, in the order of ties.
 FACTORS = {
@@ -97,12 +97,26 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _alternatives(patterns: dict[str, str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns.values())
+
+
+def _named(found: Column, patterns: dict[str, str]) -> Column:
+    """The first pattern that fits a piece of text that one of them matched."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, p in patterns.items():
+        out = out.when(found.rlike(f"^(?:{p})"), name)
+    return out
+
+
 def _tagged(folded: Column, patterns: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(n)) for n, p in patterns.items())))
+    # one scan that looks ahead everywhere; only what it found is told apart. Of patterns that fit one place the first counts.
+    found = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?=({_alternatives(patterns)}))"), 1))
+    return F.array_intersect(F.array(*map(F.lit, patterns)), F.transform(found, lambda m: _named(m, patterns)))
 
 
 def tagged(text: Column, patterns: dict[str, str]) -> Column:
-    """Names of all patterns that occur in the folded text."""
+    """Names of all patterns that occur in the folded text, in their order."""
     return bound(fold(text), lambda t: _tagged(t, patterns))
 
 
@@ -117,12 +131,17 @@ def factors(text: Column) -> Column:
 
 
 def _first_match(folded: Column, patterns: dict[str, str]) -> Column:
-    found = F.array(*(F.struct(F.regexp_instr(folded, F.lit(p)).alias("at"), F.lit(i).alias("n"), F.lit(name).alias("name")) for i, (name, p) in enumerate(patterns.items())))
-    return F.array_min(F.filter(found, lambda x: x["at"] > 0))["name"]
+    """One scan: a sign for each pattern stands after the text, and the first match is replaced by its own pattern's sign."""
+    signs = {name: chr(0xE000 + i) for i, name in enumerate(patterns)}
+    found = "|".join(f"(?:{p})(?=.*({signs[name]}))" for name, p in patterns.items())
+    groups = "".join(f"${i + 1}" for i in range(len(patterns)))
+    tail = F.lit("\n" + "".join(signs.values()))
+    sign = F.regexp_replace(F.concat(folded, tail), f"(?s)^.*?(?:{found}).*$", groups)
+    return F.element_at(F.create_map(*(F.lit(x) for name, c in signs.items() for x in (c, name))), F.when(F.length(sign) == 1, sign))
 
 
 def first_match(text: Column, patterns: dict[str, str]) -> Column:
-    """The pattern that occurs first, of equal ones the first listed; null if none does."""
+    """The pattern that occurs first, of equal ones the first listed; null if none does. Patterns have no groups that capture."""
     return bound(fold(text), lambda t: _first_match(t, patterns))
 
 
@@ -139,7 +158,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _hits(tokens: Column, among: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: F.array_contains(among, t)))
+    """How many of the tokens, repeated ones as often as they stand, are among the others."""
+    return bound(F.array_except(tokens, among), lambda missing: F.when(F.size(missing) == 0, F.size(tokens)).otherwise(F.size(F.filter(tokens, lambda t: ~F.array_contains(missing, t)))))
 
 
 def phrase_hit(phrase: Column, answer_tokens: Column) -> Column:
@@ -154,10 +174,10 @@ def phrase_hit(phrase: Column, answer_tokens: Column) -> Column:
 
 def item_covered(item: Column, answer_tokens: Column) -> Column:
     """Half of the item's specific stems, or of all if none is specific."""
-    generic = F.transform(F.array(*map(F.lit, GENERIC_WORDS)), stem)
+    generic = [stem_word(w) for w in GENERIC_WORDS]
 
     def covered(tokens: Column) -> Column:
-        special = F.filter(tokens, lambda t: ~F.array_contains(generic, t))
+        special = F.filter(tokens, lambda t: ~t.isin(*generic))
         counted = F.when(F.size(special) > 0, special).otherwise(tokens)
         return (F.size(counted) > 0) & (_hits(counted, answer_tokens) / F.size(counted) >= 0.5)
 
@@ -194,28 +214,40 @@ def term_hits(values: Column, answer: Column) -> Column:
     return bound(fold(answer), lambda t: _term_hits(values, t))
 
 
+#: What of the answer a type of fact is compared with.
+_NAMED = ("dosha_set", "system")
+_FOLDED = ("category", "source_any", "terms", "phrase", "items")
+_TOKENS = ("phrase", "items")
+
+
+def _system_hit(value: Column, named: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(None).cast("boolean"))
+    for name, p in SYSTEMS.items():
+        out = out.when(value == name, named.rlike(p))
+    return out
+
+
 def _simple(kind: Column, values: Column, safety_kind: Column, x: Column) -> Column:
     """struct(score, correct) against a fact of one of the simple types; an unknown type raises.
 
-    ``x`` has what is made of the answer: answer, tokens, folded, named (folded, without the name).
+    ``x`` has what is made of the answer, where a type needs it: answer, folded, named (folded, without the name), tokens.
     """
     expected = F.when(F.array_contains(values, "balanced"), F.array().cast("array<string>")).otherwise(F.array_distinct(values))
     pair = bound(F.struct(_factors(x["named"]).alias("named"), expected.alias("expected")), lambda y: result(jaccard(y["named"], y["expected"]), (F.size(F.array_except(y["named"], y["expected"])) == 0) & (F.size(F.array_except(y["expected"], y["named"])) == 0)))
-    system = F.create_map(*(c for n, p in SYSTEMS.items() for c in (F.lit(n), F.lit(p))))
     least = lambda share: bound(share, lambda s: result(s, s >= 0.5))
-    systems = least(_share(F.transform(values, lambda v: F.rlike(x["named"], F.element_at(system, v)))))
+    systems = least(_share(F.transform(values, lambda v: _system_hit(v, x["named"]))))
     first = F.try_element_at(values, F.lit(1))
-    category = F.when(first.isin(*PROGNOSES), _first_match(x["folded"], PROGNOSES)).otherwise(_first_match(x["folded"], SOURCES))
+    source = _first_match(x["folded"], SOURCES)
+    category = F.when(first.isin(*PROGNOSES), _first_match(x["folded"], PROGNOSES) == first).otherwise(source == first)
     items = least(F.when(F.size(values) == 0, 0.0).otherwise(_share(F.transform(values, lambda v: item_covered(v, x["tokens"])))))
-    squeezed = squeeze(x["answer"])
     return (
         F.when(kind == "dosha_set", pair)
         .when(kind == "system", systems)
-        .when(kind == "category", _flag(category == first))
-        .when(kind == "source_any", _flag(F.array_contains(values, _first_match(x["folded"], SOURCES))))
+        .when(kind == "category", _flag(category))
+        .when(kind == "source_any", _flag(F.array_contains(values, source)))
         .when(kind == "phrase", _flag(F.exists(values, lambda v: phrase_hit(v, x["tokens"]))))
         .when(kind == "items", items)
-        .when(kind == "exact", _flag(F.exists(values, lambda v: F.contains(squeezed, v))))
+        .when(kind == "exact", bound(squeeze(x["answer"]), lambda t: _flag(F.exists(values, lambda v: F.contains(t, v)))))
         .when(kind == "terms", least(_share(_term_hits(values, x["folded"]))))
         .when(kind == "safety", safety_score(safety_kind, x["answer"]))
         .otherwise(F.raise_error(F.concat(F.lit("unknown gold type: "), kind)).cast("struct<score:double,correct:boolean>"))
@@ -225,16 +257,24 @@ def _simple(kind: Column, values: Column, safety_kind: Column, x: Column) -> Col
 def score_gold(kind: Column, values: Column, answer: Column, name: Column, safety_kind: Column, parts: Column | None = None) -> Column:
     """struct(score, correct) of an answer against a fact; ``parts`` (type, values) are those of a composite one.
 
-    Texts and values of type exact are compared as they are: normalise both (``text.nfc``) if they may not be composed alike.
+    Only what the fact's types need is made of the answer, each once. Texts and values of type exact are compared as they are: normalise both (``text.nfc``) if they may not be composed alike.
     """
-    none = F.lit(None).cast("string")
-    held = F.struct(answer.alias("answer"), content_tokens(answer).alias("tokens"), fold(answer).alias("folded"), fold(without_name(answer, name)).alias("named"))
+    own = F.array(F.struct(kind.alias("type"), values.alias("values")))
+    listed = own if parts is None else F.when(kind == "composite", parts).otherwise(own)
+
+    def scored(g: Column) -> Column:
+        """Of struct(listed, answer, name, kind)."""
+        needs = lambda types: F.exists(g["listed"], lambda p: p["type"].isin(*types))
+        both = F.struct(F.when(needs(_FOLDED), g["answer"]).alias("answer"), F.when(needs(_NAMED), without_name(g["answer"], g["name"])).alias("named"))
+        folded = F.transform(F.array(both["answer"], both["named"]), fold)  # null where it isn't needed
+        with_tokens = lambda f: F.struct(g["answer"].alias("answer"), f[0].alias("folded"), f[1].alias("named"), F.when(needs(_TOKENS), folded_tokens(f[0])).alias("tokens"))
+        return bound(folded, lambda f: bound(with_tokens(f), lambda x: F.transform(g["listed"], lambda p: _simple(p["type"], p["values"], g["kind"], x))))
+
+    held = F.struct(listed.alias("listed"), answer.alias("answer"), name.alias("name"), safety_kind.alias("kind"))
+    every = bound(held, scored)
     if parts is None:
-        return bound(held, lambda x: _simple(kind, values, safety_kind, x))
-    # a simple fact is one part; a composite one has the mean of its parts' scores
-    listed = F.when(kind == "composite", parts).otherwise(F.array(F.struct(kind.alias("type"), values.alias("values"))))
-    scored = bound(held, lambda x: F.transform(listed, lambda g: _simple(g["type"], g["values"], F.coalesce(safety_kind, none), x)))
-    return bound(scored, lambda s: F.when(kind == "composite", composite(s)).otherwise(s[0]))
+        return bound(every, lambda s: s[0])
+    return bound(every, lambda s: F.when(kind == "composite", composite(s)).otherwise(s[0]))
 
 
 def score_row(answer: Column, gold: Column, name: Column, source: Column, attribute: Column) -> Column:
@@ -279,14 +319,17 @@ def composite(parts: Column) -> Column:
     return result(mean, mean >= 0.5)
 
 
+def _counted(tokens: Column) -> Column:
+    """Each token with the number of equal ones before it."""
+    return bound(F.array_sort(tokens), lambda a: F.transform(a, lambda t, i: F.struct(t.alias("t"), (i + 1 - F.array_position(a, t)).cast("int").alias("n"))))
+
+
 def token_f1(answer: Column, reference: Column) -> Column:
     """Harmonic mean of precision and recall of stems, as often as they occur."""
 
     def f1(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        count = lambda arr, t: F.size(F.filter(arr, lambda y: y == t))
-        both = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
-        return F.when(both == 0, 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+        both = F.size(F.array_intersect(_counted(x["a"]), _counted(x["b"])))
+        return bound(both, lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(x["a"]) + F.size(x["b"]))))
 
     return F.transform(F.array(F.struct(content_tokens(answer).alias("a"), content_tokens(reference).alias("b"))), f1)[0]
 

@@ -6,6 +6,7 @@ UDF for those. ``nfc`` and ``nfkc`` normalise source cells and questions, which
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -66,13 +67,12 @@ def _letters(cased: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 def _without_marks(text: Column, cased: bool) -> Column:
     source, target, several = _letters(cased)
-    out = F.translate(text, source, target)
-    rest = out
+    spread = text
     for a, b in several:
-        rest = F.replace(rest, F.lit(a), F.lit(b))
+        spread = F.replace(spread, F.lit(a), F.lit(b))
     # most texts are ASCII, and hardly any holds a letter that folds to several
-    out = F.when(text.rlike("[" + "".join(a for a, _ in several) + "]"), rest).otherwise(out)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+    spread = F.when(text.rlike("[" + "".join(a for a, _ in several) + "]"), spread).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(spread, source, target)).otherwise(text)
 
 
 def fold(text: Column) -> Column:
@@ -139,37 +139,47 @@ def words(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit("[a-z0-9]+"), 0)
 
 
-def _cut(t: Column, n: int) -> Column:
-    return F.substring(t, F.lit(1), F.length(t) - n)
+#: Retrieval's endings: plural s of words of five letters and more, h after a short vowel of words of four and more.
+_RETRIEVAL_STEM = ((r"(?<=[a-z0-9]{3})(?:(?<=[a-z0-9]{4})(?<!s)s|(?<=[^aeiou ][aiu])h)\b", ""),)
+#: Scoring's: spelling variants, plurals, then the longest common ending that leaves three letters.
+_SCORE_STEM = (("ae", "e"), ("oe", "e"), (r"(?<=[a-z0-9]{3})our\b", "or"), (r"(?<=[a-z0-9]{3})(?<!s)(?:es|s)\b", ""), (r"(?<=[a-z0-9]{3})(?:ness|ing|ed|ly|y)\b", ""))
 
 
-def _retrieval_stem(t: Column) -> Column:
-    plural = (F.length(t) > 4) & t.endswith("s") & ~t.endswith("ss")
-    breath = (F.length(t) > 3) & t.rlike("[^aeiou][aiu]h$")
-    return F.when(plural | breath, _cut(t, 1)).otherwise(t)
+def _stemmed(listed: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    """Words without their endings: all words of a text in one string, a pass for each step."""
+    t = F.array_join(listed, " ")
+    for pattern, by in steps:
+        t = F.regexp_replace(t, pattern, by)
+    return F.array_remove(F.split(t, " "), "")
 
 
 def tokenize(text: Column) -> Column:
     """Retrieval tokens: folded words without stop words, plural s and final h after a short vowel."""
-    kept = F.filter(words(fold(text)), lambda t: ~t.isin(*STOPWORDS))
-    return F.transform(kept, _retrieval_stem)
+    return _stemmed(F.filter(words(fold(text)), lambda t: ~t.isin(*STOPWORDS)), _RETRIEVAL_STEM)
 
 
 def stem(token: Column) -> Column:
     """Spelling variants, plurals and common endings of a lower-case word."""
-    t = F.replace(F.replace(token, F.lit("ae"), F.lit("e")), F.lit("oe"), F.lit("e"))
-    t = F.when((F.length(t) > 5) & t.endswith("our"), F.concat(_cut(t, 3), F.lit("or"))).otherwise(t)
-    es = (F.length(t) > 4) & t.endswith("es") & ~t.endswith("ses")
-    s = (F.length(t) > 3) & t.endswith("s") & ~t.endswith("ss")
-    t = F.when(es, _cut(t, 2)).when(s, _cut(t, 1)).otherwise(t)
-    # the first ending that leaves three letters goes
-    return F.regexp_replace(t, "^(.{3,}?)(ness|ing|ed|ly|y)$", "$1")
+    for pattern, by in _SCORE_STEM:
+        token = F.regexp_replace(token, pattern, by)
+    return token
+
+
+def stem_word(word: str) -> str:
+    """``stem`` of a word that is known before a query runs."""
+    for pattern, by in _SCORE_STEM:
+        word = re.sub(pattern, by, word)
+    return word
+
+
+def folded_tokens(folded: Column) -> Column:
+    """``content_tokens`` of a text that is folded already."""
+    return _stemmed(F.filter(words(folded), lambda t: ~t.isin(*SCORE_STOPWORDS)), _SCORE_STEM)
 
 
 def content_tokens(text: Column) -> Column:
     """Stems of the words that scoring counts."""
-    kept = F.filter(words(fold(text)), lambda t: ~t.isin(*SCORE_STOPWORDS))
-    return F.transform(kept, stem)
+    return folded_tokens(fold(text))
 
 
 def squeeze(text: Column) -> Column:
