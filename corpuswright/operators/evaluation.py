@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 METRICS = ("correct", "score", "token_f1", "rouge_l", "answer_words")
 CONTROL, GENERALIZATION = "heldout_closed", ("heldout_open", "unseen_closed")
 
@@ -41,14 +45,58 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), centre - half)).alias("low"), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), centre + half)).alias("high"))
 
 
+#: Of small numbers: what the logarithm of the factorial has beyond Stirling's formula.
+_STIRLING_ERRORS = [0.0] + [math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]
+
+
+def _stirling_error(n: Column) -> Column:
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (n * n)) / (n * n)) / (n * n)) / n
+    return F.when(n < 16, F.element_at(F.array(*map(F.lit, _STIRLING_ERRORS)), (n + 1).cast("int"))).otherwise(series)
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) + mean - x, without cancellation where the two are close."""
+
+    def near(v: Column) -> Column:
+        powers = F.lit(0.0)
+        for j in range(8, 0, -1):
+            powers = (powers + 1.0 / (2 * j + 1)) * v * v
+        return (x - mean) * v + 2 * x * v * powers
+
+    v = (x - mean) / (x + mean)
+    return F.when(F.abs(v) < 0.1, near(v)).otherwise(x * F.log(x / mean) + mean - x)
+
+
+def _half_tail(n: Column, k: Column) -> Column:
+    """P(X <= k) of n fair coins, 0 < 2k + 1 < n: the probability of k times the continued fraction of the incomplete beta function."""
+    a, b = n - k, k + 1
+    state = F.struct(F.lit(1.0).alias("c"), (1 / (1 - (a + b) * 0.5 / (a + 1))).alias("d"), (1 / (1 - (a + b) * 0.5 / (a + 1))).alias("h"), F.lit(False).alias("done"))
+
+    def term(s: Column, coefficient: Column) -> Column:
+        d, c = 1 / (1 + coefficient * s["d"]), 1 + coefficient / s["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"), (F.abs(d * c - 1) < 1e-15).alias("done"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * 0.5 / ((a - 1 + 2 * m) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 1 + 2 * m))
+        one = lambda x: F.transform(F.array(x), lambda y: term(y, odd))[0]
+        return F.when(s["done"], s).otherwise(one(term(s, even)))
+
+    steps = F.transform(F.sequence(F.lit(1), (4 * F.pow(n, F.lit(0.4))).cast("int") + 8), lambda m: m.cast("double"))
+    fraction = F.aggregate(steps, state, step, lambda s: s["h"])
+    log_p = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - _deviance(k, n / 2) - _deviance(n - k, n / 2)
+    return F.sqrt(n / (2 * math.pi * k * (n - k))) * F.exp(log_p) / 2 * fraction
+
+
 def mcnemar(only_a: Column, only_b: Column) -> Column:
-    """Exact two-sided p of discordant counts, from logarithms of the binomial terms."""
-    n, k = only_a + only_b, F.least(only_a, only_b)
-    start = F.struct((-n * F.log(F.lit(2.0))).cast("double").alias("t"), F.exp(-n * F.log(F.lit(2.0))).cast("double").alias("s"))
-    step = lambda a, i: F.struct((a["t"] + F.log((n - i + 1) / i)).alias("t"), (a["s"] + F.exp(a["t"] + F.log((n - i + 1) / i))).alias("s"))
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(terms, start, step, lambda a: a["s"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided p of discordant counts of any size; the steps grow slower than the root of their sum."""
+    sides = F.struct((only_a + only_b).cast("double").alias("n"), F.least(only_a, only_b).cast("double").alias("k"))
+
+    def p(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        return F.when(2 * k + 1 >= n, 1.0).when(k == 0, 2 * F.exp(-n * math.log(2.0))).otherwise(F.least(F.lit(1.0), 2 * _half_tail(n, k)))
+
+    return F.transform(F.array(sides), p)[0]
 
 
 def paired(results: DataFrame, key: str, group: str, a: str, b: str) -> DataFrame:
@@ -105,8 +153,10 @@ def rescored(rows: DataFrame, log: DataFrame, keys: list[str], metrics: Column,
 
 def run_summary(log: DataFrame) -> DataFrame:
     """One row of a training log: the middle speed (the upper one of an even number), and step and value of the least evaluation loss."""
-    speeds = F.sort_array(F.collect_list("tokens_per_second"))
-    return log.agg(F.get(speeds, F.floor(F.size(speeds) / 2).cast("int")).alias("speed"), F.min("eval_loss").alias("eval_loss"), F.min_by("step", F.when(F.col("eval_loss").isNotNull(), F.col("eval_loss"))).alias("step"))
+    one = log.withColumn("__run", F.lit(0))
+    middle = ranks.at_shares(one, ["__run"], "tokens_per_second", {"speed": 0.5})
+    best = log.agg(F.min("eval_loss").alias("eval_loss"), F.min_by("step", F.when(F.col("eval_loss").isNotNull(), F.col("eval_loss"))).alias("step"))
+    return best.join(middle.select("speed"), how="left").select("speed", "eval_loss", "step")
 
 
 def weighted_loss(log: DataFrame, by: list[str], loss: str, tokens: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.hashing import entity_group, stable_int
-from ..operators import batching, evaluation, facts
+from ..operators import batching, evaluation, facts, ranks
+from ..shared import root
+from ..sources import digest
+from ..streaming import log
 from . import duck
 from .tables import table
 
@@ -145,6 +150,26 @@ def last_wins_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.last_wins(log, ["user_id", "event_type"], "event_id")
 
 
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a log that is appended to twice, by a stream with a state for each key that is stopped between."""
+    at = f"{root(spark)}/corpuswright/stream-{uuid.uuid4().hex}"
+    events, keys = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"]
+    for half in (1, 0):
+        log.append(events.where(F.pmod("event_id", F.lit(2)) == half), f"{at}/log")
+        stream = log.read_log(spark, f"{at}/log", "user_id long, event_type string, event_id long, value double")
+        log.keep_latest(stream, keys, "event_id", f"{at}/changes", f"{at}/checkpoint").awaitTermination()
+    return log.latest(spark, f"{at}/changes", keys, "event_id")
+
+
+def exact_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.at_shares(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, 64)
+
+
+def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the hash tree over documents, texts left out."""
+    return digest.tree(table(spark, sf_dir, "documents"), "doc_id", 2, ["doc_id", "lang", "n_chars", "source"]).select(F.col("level").cast("long").alias("level"), "prefix", "digest", "n")
+
+
 def pick_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     return evaluation.first_of_group(docs, ["source"], ["doc_id"], 3).select("source", "doc_id")
@@ -176,7 +201,7 @@ def relational_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", name.alias("english"), F.to_json(F.struct("s_suppkey", "s_nationkey")).alias("data"))
 
 
-QUERIES = {f.__name__: f for f in (fact_explode, seen_expansion, seen_term_expansion, rag_only_expansion, heldout_expansion, heldout_term_expansion, reverse_facts, two_turn_conversations, pad_to_multiple, token_budget_batches, worst_batches, worst_packed_batches, label_mask, summarize_by_group, wilson_ci, mcnemar_exact, mcnemar_small, resume_todo, last_wins_log, pick_examples, stratified_limit, log_token_rate, weighted_nll, relational_export)}
+QUERIES = {f.__name__: f for f in (fact_explode, seen_expansion, seen_term_expansion, rag_only_expansion, heldout_expansion, heldout_term_expansion, reverse_facts, two_turn_conversations, pad_to_multiple, token_budget_batches, worst_batches, worst_packed_batches, label_mask, summarize_by_group, wilson_ci, mcnemar_exact, mcnemar_small, resume_todo, last_wins_log, stream_latest, exact_ranks, dataset_digest, pick_examples, stratified_limit, log_token_rate, weighted_nll, relational_export)}
 
 _I = duck.stable_int
 _KEY = "entity || '|' || attribute"
@@ -267,6 +292,13 @@ UNION ALL SELECT 'unseen', model, NULL, NULL, NULL, {_AGG} WHERE grp IN ('heldou
     "mcnemar_small": f"SELECT n_nationkey, {_mcnemar('(n_nationkey % 7)', '(n_nationkey % 11)', 9)} AS p FROM nation",
     "resume_todo": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "last_wins_log": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type",
+    "stream_latest": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type",
+    "exact_ranks": "WITH s AS (SELECT event_type, list_sort(list(value::DOUBLE)) AS l FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, " + ", ".join(f"l[floor(len(l) * {x}::DOUBLE)::BIGINT + 1] AS p{n}" for n, x in ((50, 0.5), (90, 0.9), (99, 0.99))) + " FROM s",
+    "dataset_digest": """WITH r AS (SELECT sha256(doc_id::VARCHAR) AS h, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS d FROM documents),
+a AS (SELECT substr(h, 1, 4) AS prefix, sha256(string_agg(h || ':' || d, ',' ORDER BY h, d)) AS digest, count(*) AS n FROM r GROUP BY 1),
+b AS (SELECT substr(prefix, 1, 2) AS prefix, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest, sum(n)::BIGINT AS n FROM a GROUP BY 1),
+c AS (SELECT '' AS prefix, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest, sum(n)::BIGINT AS n FROM b)
+SELECT 2 AS level, * FROM a UNION ALL SELECT 1, * FROM b UNION ALL SELECT 0, * FROM c""",
     "pick_examples": "SELECT source, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3",
     "stratified_limit": "SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= greatest(1, 50 // (SELECT count(DISTINCT lang) FROM documents))",
     "log_token_rate": "WITH l AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM events) SELECT event_id, round((total - lag(total) OVER w) / nullif(t - lag(t) OVER w, 0), 4) AS rate FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.evaluation import last_wins
 
@@ -18,17 +23,63 @@ def first_of_key(log: DataFrame, keys: list[str], time: str, delay: str) -> Data
     return log.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def keep_latest(log: DataFrame, keys: list[str], order: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table with the latest record of each key, batch by batch.
+def append(records: DataFrame, path: str) -> None:
+    """Appends records to a log as JSON lines; each job's files appear when it commits."""
+    records.write.mode("append").json(path)
+
+
+class _Newest(StatefulProcessor):
+    """Of each key, the greatest order value seen; records beyond it are passed on."""
+
+    def __init__(self, order: StructField, ttl_ms: int | None) -> None:
+        self.order, self.ttl_ms = order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", StructType([self.order]), self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        name = self.order.name
+        newest = None
+        for part in rows:
+            own = part.loc[[part[name].idxmax()]]
+            newest = own if newest is None or own[name].iloc[0] > newest[name].iloc[0] else newest
+        value = newest[name].iloc[0]
+        if not self.seen.exists() or value > self.seen.get()[0]:
+            self.seen.update((value.item() if hasattr(value, "item") else value,))
+            yield newest
+
+    def close(self) -> None:
+        pass
+
+
+def changes(log: DataFrame, keys: list[str], order: str, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of the records that are newer than all before them of their key, the newest of a batch only.
+
+    Each key keeps one value of ``order`` (null ones are passed over) in the state store, so a batch reads and writes the state of its
+    own keys, whatever the log's size. With ``ttl_ms`` a key that has been quiet so long is forgotten, and its next record is news.
+    Needs the RocksDB state store (``use_rocksdb``).
+    """
+    columns = [*keys, *(c for c in log.columns if c not in keys)]
+    out = StructType([log.schema[c] for c in columns])
+    mode = "ProcessingTime" if ttl_ms else "None"
+    # without nulls whole numbers stay whole in pandas
+    return log.select(*columns).where(log[order].isNotNull()).groupBy(*keys).transformWithStateInPandas(statefulProcessor=_Newest(log.schema[order], ttl_ms), outputStructType=out, outputMode="Append", timeMode=mode)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def keep_latest(log: DataFrame, keys: list[str], order: str, target: str, checkpoint: str, ttl_ms: int | None = None) -> StreamingQuery:
+    """Appends each batch's changes to the Parquet table ``target``; ``latest`` reads it.
 
-    A batch's records are merged with the table of the batch before it and written as a new version
-    named by the batch, so a batch that runs twice gives the same version.
+    Restarted on its checkpoint, it goes on where it was: state and sink know the batches they hold, so none counts twice.
     """
+    use_rocksdb(log.sparkSession)
+    made = changes(log, keys, order, ttl_ms)
+    return made.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 1}")
-        old = spark.read.schema(batch.schema).parquet(str(hadoop)) if number and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else batch.limit(0)
-        last_wins(old.unionByName(batch), keys, order).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
+    """The latest record of each key in a table of changes."""
+    return last_wins(spark.read.parquet(target), keys, order)

@@ -328,5 +328,5 @@ def test_streamed_log_keeps_the_latest(spark, tmp_path):
     for n in range(2):
         spark.createDataFrame([("a", "m", n, f"v{n}"), (f"b{n}", "m", n, "x")], schema).coalesce(1).write.mode("append").json(folder)
         log.keep_latest(log.read_log(spark, folder, schema), ["id", "model"], "step", f"file://{tmp_path}/table", f"file://{tmp_path}/check").awaitTermination(60)
-    got = spark.read.parquet(f"file://{tmp_path}/table/v=1")
+    got = log.latest(spark, f"file://{tmp_path}/table", ["id", "model"], "step")
     assert sorted((r.id, r.answer) for r in got.collect()) == [("a", "v1"), ("b0", "x"), ("b1", "x")]
