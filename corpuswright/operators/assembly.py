@@ -14,7 +14,7 @@ from ..functions import answers as an
 from ..functions import prompts, scoring
 from ..functions import text as tx
 from ..functions.hashing import chance, slots_by_hash, stable_int
-from ..shared import cut
+from ..shared import cut, small
 from . import facts as fx
 from . import mentions, retrieval, splits
 from .entities import gold
@@ -33,7 +33,7 @@ def _no_history() -> Column:
 def _asked(drafted: DataFrame, templates: DataFrame) -> DataFrame:
     """Adds the question by (kind, attribute, slot); terms in the last slot without diacritics."""
     shown = F.when(F.col("kind").isin(*TERM_KINDS) & (F.col("slot") == PLAIN_SLOT), tx.unmarked(F.col("name"))).otherwise(F.col("name"))
-    return drafted.join(F.broadcast(templates), ["kind", "attribute", "slot"]).withColumn("question", F.replace("text", F.lit("{name}"), shown))
+    return drafted.join(small(templates), ["kind", "attribute", "slot"]).withColumn("question", F.replace("text", F.lit("{name}"), shown))
 
 
 def fact_rows(facts: DataFrame, templates: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _lookups(named: DataFrame, templates: DataFrame, kind: str, attribute: str,
         later.append(("validation", F.lit(fx.VALIDATION_SLOT), chance(fx.VALIDATION_SHARE, "val", key)))
     more = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(s).alias("split"), slot.alias("slot"), F.lit("seen_closed").alias("g"))) for s, slot, when in later)))
     rows = spread.select("*", F.explode(F.concat(train, more)).alias("r")).select("entity", "kind", "name", "attribute", "answer", "gold", "key", "r.split", "r.slot", F.col("r.g").alias("group"))
-    asked = rows.join(F.broadcast(templates), ["kind", "attribute", "slot"])
+    asked = rows.join(small(templates), ["kind", "attribute", "slot"])
     return asked.select(
         "split", F.concat(F.lit(prefix), F.col("key"), F.lit("|"), F.col("slot").cast("string")).alias("id"), F.replace("text", F.lit("{name}"), F.col("name")).alias("question"), "answer",
         _no_history().alias("history"), F.col("kind").alias("source"), "entity", "name", "attribute", "group", "slot", F.lit(False).alias("open_book"), "gold", F.lit(None).cast("string").alias("gold_id"), F.lit("").alias("salt"),
@@ -102,14 +102,14 @@ def follow_up_rows(facts: DataFrame, templates: DataFrame, follow_ups: DataFrame
     ``follow_ups`` are (attribute, place, follow). Some are also opened with entries, found by the
     follow-up and the first question together.
     """
-    asked = F.broadcast(follow_ups.groupBy("attribute").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "follow"))), lambda x: x["follow"]).alias("follows")))
+    asked = small(follow_ups.groupBy("attribute").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "follow"))), lambda x: x["follow"]).alias("follows")))
     drawn = sampled(facts.where("`group` = 'seen'").select("entity").distinct(), F.col("entity"), most, salt)
     own = facts.join(drawn, "entity", "left_semi").join(asked, "attribute")
     turn = F.struct(stable_int("turn", F.col("entity"), F.col("attribute")).alias("h"), "attribute", "answer", "gold", "follows")
     pairs = own.groupBy("entity", "kind", "name").agg(F.array_sort(F.collect_list(turn), lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).when(a["attribute"] < b["attribute"], -1).otherwise(1)).alias("f")).where("size(f) >= 2")
     first, second = F.col("f")[0], F.col("f")[1]
     keyed = pairs.select("entity", "kind", "name", first.alias("a"), second.alias("b"), first["attribute"].alias("attribute"), slots_by_hash(fx.TRAIN_SLOTS, "turn-slot", F.col("entity"))[0].alias("slot"))
-    joined = keyed.join(F.broadcast(templates), ["kind", "attribute", "slot"])
+    joined = keyed.join(small(templates), ["kind", "attribute", "slot"])
     row_id = F.concat(F.col("entity"), F.lit("|"), F.col("a.attribute"), F.lit(">"), F.col("b.attribute"))
     history = F.array(F.struct(F.lit("user").alias("role"), F.replace("text", F.lit("{name}"), F.col("name")).alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("a.answer").alias("content")))
     follow = F.col("b.follows")[(stable_int("follow", row_id) % F.size("b.follows")).cast("int")]

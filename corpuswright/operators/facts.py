@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chance, slots_by_hash, stable_int
+from ..shared import small
 
 # Slots for training, validation and tests; shares of facts that get a further row.
 TRAIN_SLOTS, VALIDATION_SLOT, TEST_SLOTS = (0, 1, 2, 3), 4, (5, 6)
@@ -79,7 +80,7 @@ def held_out_rows(term: bool = False, inferable: tuple[str, ...] = ()) -> list[C
 def expand(facts: DataFrame, rows: list[Column], templates: DataFrame, name: str = "name") -> DataFrame:
     """(split, id, group, open_book, entity, attribute, slot, question, answer) of facts with a group."""
     made = facts.select("entity", "kind", name, "attribute", "answer", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("entity", "kind", name, "attribute", "answer", "r.*")
-    asked = made.join(F.broadcast(templates), ["kind", "attribute", "slot"])
+    asked = made.join(small(templates), ["kind", "attribute", "slot"])
     return asked.select("split", "id", "group", "open_book", "entity", "attribute", "slot", F.replace("text", F.lit("{name}"), F.col(name)).alias("question"), "answer")
 
 
@@ -94,10 +95,10 @@ def two_turns(facts: DataFrame, templates: DataFrame, follow_ups: DataFrame) ->
 
     ``follow_ups`` are (attribute, follow); each fact's first question has the first training slot by hash.
     """
-    ranked = facts.join(F.broadcast(follow_ups), "attribute").groupBy("entity", "kind", "name").agg(F.array_sort(F.collect_list(F.struct(stable_int("turn", F.col("entity"), F.col("attribute")).alias("h"), "attribute", "answer", "follow"))).alias("f"))
+    ranked = facts.join(small(follow_ups), "attribute").groupBy("entity", "kind", "name").agg(F.array_sort(F.collect_list(F.struct(stable_int("turn", F.col("entity"), F.col("attribute")).alias("h"), "attribute", "answer", "follow"))).alias("f"))
     pairs = ranked.where(F.size("f") >= 2).select("entity", "kind", "name", F.col("f")[0].alias("a"), F.col("f")[1].alias("b"))
     keyed = pairs.withColumn("slot", slots_by_hash(TRAIN_SLOTS, "turn-slot", F.col("entity"))[0]).withColumn("attribute", F.col("a.attribute"))
-    asked = keyed.join(F.broadcast(templates), ["kind", "attribute", "slot"])
+    asked = keyed.join(small(templates), ["kind", "attribute", "slot"])
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     messages = F.array(message("user", F.replace("text", F.lit("{name}"), F.col("name"))), message("assistant", F.col("a.answer")), message("user", F.col("b.follow")), message("assistant", F.col("b.answer")))
     row_id = F.concat(F.col("entity"), F.lit("|"), F.col("a.attribute"), F.lit(">"), F.col("b.attribute"))

@@ -9,6 +9,7 @@ from ..functions import prompts as p
 from ..functions import safety, scoring
 from ..functions import text as tx
 from ..operators import serving, tokens
+from ..shared import numbered
 from . import duck
 from .tables import cards, table
 
@@ -97,7 +98,7 @@ def _doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
     ids = items.select("item_id").distinct()
     n = max(1, ids.count())
-    placed = items.join(ids.withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1), "item_id")
+    placed = items.join(numbered(ids, "item_id"), "item_id")
     return tx.once(docs.join(placed, F.pmod("doc_id", F.lit(n)) == placed["place"]), tx.content_tokens(F.col("text")), "tokens")
 
 

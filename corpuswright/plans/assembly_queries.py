@@ -6,14 +6,17 @@ SQL as text: sentences for each value, not the rules that make them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as an
 from ..functions import scoring
 from ..functions import text as tx
-from ..operators import assembly, entities, evaluation, splits
-from ..shared import cut
+from ..operators import assembly, corpus, entities, evaluation, splits
+from ..shared import cut, root
+from ..sources import build
 from . import duck
 from .tables import table
 
@@ -233,6 +236,25 @@ def open_book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("split", "id", F.size("meta.context_ids").alias("entries"), F.array_contains("meta.context_ids", F.col("meta.entity")).alias("has_gold"), F.contains(F.col("messages")[0]["content"], F.lit("Knowledge base entries:")).alias("opened"))
 
 
+def _disease_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drafts, cards and entities of all diseases, with safety prompts."""
+    known, templates = cut(_made(spark, sf_dir)["ag"], "diseases"), _templates(spark)
+    follow = spark.createDataFrame(_FOLLOW, "attribute string, place int, follow string")
+    facts = cut(entities.facts({"ag": known}), "facts")
+    drafts = assembly.fact_rows(facts, templates).unionByName(assembly.follow_up_rows(facts, templates, follow, 500, "two-turn-ag"))
+    drafts = cut(drafts.unionByName(assembly.safety_rows(_safety_prompts(spark, sf_dir), _FILLERS, _ANSWERS)), "drafts")
+    return drafts, cut(entities.cards({"ag": known}, {"ag": "B"}), "cards"), known
+
+
+def published_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their entries of a corpus of all diseases that passed every guard, read from the version that was published."""
+    drafts, cards, known = _disease_corpus(spark, sf_dir)
+    path = f"{root(spark)}/corpuswright/corpus-{uuid.uuid4().hex}"
+    corpus.publish(spark, path, drafts, cards, known, splits.caps_table(spark), "Answer from the texts.")
+    rows = build.current(spark, path)[0]["rows"]
+    return rows.select("split", "id", F.col("meta.group").alias("grp"), F.size("meta.context_ids").alias("entries"), F.size("messages").alias("messages"), F.sha2(F.to_json("messages"), 256).alias("sha256"))
+
+
 def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact's own answer scored against its gold value, and that of the condition with the next value for three attributes."""
     facts = cut(entities.facts(_made(spark, sf_dir)), "facts")
@@ -277,7 +299,7 @@ def vocabulary_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.join(F.broadcast(covered))
 
 
-QUERIES = {f.__name__: f for f in (condition_facts, disease_facts, diagnosis_facts, term_facts, entity_cards, modern_lookup_rows, english_lookup_rows, safety_prompt_rows, concept_pair_rows, diagnosis_prompt_rows, assembled_stats, assembled_drops, two_turn_rows, open_book_rows, gold_scores, english_slugs, topic_tags, half_even_rounding, row_groups, vocabulary_cover)}
+QUERIES = {f.__name__: f for f in (condition_facts, disease_facts, diagnosis_facts, term_facts, entity_cards, modern_lookup_rows, english_lookup_rows, safety_prompt_rows, concept_pair_rows, diagnosis_prompt_rows, assembled_stats, assembled_drops, two_turn_rows, open_book_rows, published_corpus, gold_scores, english_slugs, topic_tags, half_even_rounding, row_groups, vocabulary_cover)}
 
 
 def _n(sentence: str) -> str:

@@ -11,14 +11,19 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that may be broadcast.
+SMALL = 100_000
 
 
 def root(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master  # executors of a local cluster have folders of their own
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="corpuswright-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -31,3 +36,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/corpuswright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Marked to be broadcast if it has few rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Adds each row's place in the order, from 0: places within ranges, and the rows of the ranges before, of which the driver holds one count each."""
+    inner = F.monotonically_increasing_id()
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", inner.alias("__i")), "numbered")
+    part, at = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    before, rows = [], 0
+    for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        before.append((r["part"], rows))
+        rows += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "__part long, __before long"))
+    return ranged.withColumn("__part", part).join(offsets, "__part").withColumn(name, at + F.col("__before")).drop("__part", "__before", "__i")

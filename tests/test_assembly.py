@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.functions import answers as an
-from corpuswright.operators import assembly, entities, retrieval, splits
+from corpuswright.operators import assembly, corpus, entities, retrieval, splits
 from corpuswright.plans import assembly_queries as q
+from corpuswright.sources import build
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,23 @@ def test_unknown_values_raise(spark):
     for column, match in ((an.dosha_sentence(F.lit("X"), F.lit("Vata/Foo")), "unknown factor: foo"), (an.system_sentence(F.lit("X"), F.lit("Skin/Tail")), "unknown body system: tail"), (an.prognosis_sentence(F.lit("X"), F.lit("Odd")), "unknown prognosis: odd")):
         with pytest.raises(Exception, match=match):
             one.select(column).collect()
+
+
+def test_corpus_is_published_only_without_a_leak(spark, tmp_path):
+    drafts, cards, known = q._disease_corpus(spark, SF)
+    path, caps = f"file://{tmp_path}/corpus", splits.caps_table(spark)
+    manifest = corpus.publish(spark, path, drafts, cards, known, caps, "p")
+    rows = build.current(spark, path)[0]["rows"].collect()
+    assert manifest["tables"]["rows"]["rows"] == len(rows) and {r.split for r in rows} == {"train", "validation", "test"}
+    opened = [r for r in rows if r.meta.open_book]
+    assert opened and all(r.messages[-2].content.startswith("Knowledge base entries:") and len(r.meta.context_ids) <= 3 for r in opened)
+    held = {r.id for r in known.where("startswith(`group`, 'heldout')").collect()}
+    assert held and not any(set(r.meta.context_ids) & held for r in opened if r.split == "train")
+    # a test question that training has, of an entity that isn't known
+    asked = drafts.where("split = 'train' AND NOT open_book").limit(1)
+    planted = asked.withColumns({"split": F.lit("test"), "id": F.lit("planted"), "group": F.lit("heldout_open"), "entity": F.lit("nobody"), "source": F.lit("ag"), "gold": entities.gold("none")})
+    with pytest.raises(build.BuildError) as e:
+        corpus.publish(spark, path, drafts.unionByName(planted), cards, known, caps, "p")
+    assert set(e.value.faults) == {"evaluation questions in training", "listed: no such entities"}
+    assert build.current(spark, path)[1] == manifest
+    build.verify(spark, path, corpus.KEY_OF)
