@@ -1,45 +1,53 @@
-"""Safety routing of questions and guarding of answers, by ordered patterns."""
+"""Safety routing of questions and guarding of answers, by the ordered patterns of a policy file."""
 
 from __future__ import annotations
 
+import json
+import re
+from dataclasses import dataclass
+from pathlib import Path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import compatible, squeeze
 
-# The question patterns of each route, in the order they are tried, and the answer guard.
-ROUTES = (
-    (
-        "self_harm",
-        (
-            r"\b(?:kill|hurt|harm) (?:myself|me)\b",
-            r"\b(?:want|plan|planning|thinking|going) to (?:end|kill|hurt|harm) (?:myself|my life|it all)\b",
-            r"\b(?:suicidal|suicide|end my life|don't want to live|do not want to live)\b",
-        ),
-    ),
-    (
-        "urgent",
-        (
-            r"\b(?:cannot|can't|cant|unable to|can not) breathe\b",
-            r"\b(?:trouble|difficulty|struggling) breathing\b",
-            r"\b(?:blue|bluish) lips?\b|\blips? (?:are|is) (?:turning )?(?:blue|bluish)\b",
-            r"\b(?:severe|crushing|sudden) chest pain\b|\bchest pain (?:spreading|radiating)\b",
-            r"\b(?:unconscious|unresponsive|seizure|convulsion|fitting|heavy bleeding|bleeding heavily)\b",
-            r"\b(?:overdose|swallowed (?:poison|bleach|pills)|rat poison|snake ?bite|bitten by a snake)\b",
-            r"\b(?:having a|had a|is having a) (?:stroke|heart attack)\b|\bface (?:suddenly )?droop",
-        ),
-    ),
-    (
-        "dose",
-        (
-            r"\b(?:what|which|how much|how many|exact|right|correct|safe|daily|personali[sz]ed) (?:\w+ ){0,3}(?:dose|dosage|doses)\b",
-            r"\bhow (?:much|many) (?:\w+ ){0,4}(?:should|can|do|must) (?:i|we|he|she|my \w+) (?:take|give|consume|have|eat|drink)\b",
-            r"\b(?:how many|what quantity of) (?:grams|mg|milligrams|ml|tablets|capsules|tsp|teaspoons|spoons)\b",
-            r"\b(?:dosage|dosing) (?:chart|schedule|plan)\b",
-        ),
-    ),
-)
-ANSWER_DOSE = r"\b\d+(?:\.\d+)?\s*(?:-\s*\d+(?:\.\d+)?\s*)?(?:mg|mcg|g|gm|grams?|ml|tsp|teaspoons?|tbsp|tablespoons?|capsules?|tablets?)\b(?:\s*(?:per day|a day|daily|twice|thrice|once|times))?"
+#: Routes in the order in which they are tried.
+ORDER = ("self_harm", "urgent", "dose")
+
+
+@dataclass(frozen=True)
+class Policy:
+    """Patterns of each route's questions, of doses in answers, and each route's fixed reply, if it has one."""
+
+    routes: tuple[tuple[str, tuple[str, ...]], ...]
+    dose_in_answer: str
+    responses: tuple[tuple[str, str], ...] = ()
+
+    @staticmethod
+    def of(config: dict, need_responses: bool = False) -> Policy:
+        """From a mapping with query_patterns, dose_in_answer and perhaps responses; a missing route or a pattern that isn't one raises."""
+        patterns, responses = config["query_patterns"], config.get("responses", {})
+        for name in ORDER:
+            if not patterns.get(name) or need_responses and name not in responses:
+                raise ValueError(f"the safety policy is missing {name}")
+        for p in [config["dose_in_answer"], *(p for listed in patterns.values() for p in listed)]:
+            re.compile(p)
+        return Policy(tuple((n, tuple(map(str, patterns[n]))) for n in ORDER), str(config["dose_in_answer"]), tuple((n, str(responses[n])) for n in ORDER if n in responses))
+
+    @staticmethod
+    def read(path: str | Path, need_responses: bool = False) -> Policy:
+        """From a JSON file, or a YAML one, which needs yaml."""
+        text = Path(path).read_text(encoding="utf-8")
+        if str(path).endswith(".json"):
+            return Policy.of(json.loads(text), need_responses)
+        import yaml
+
+        return Policy.of(yaml.safe_load(text), need_responses)
+
+
+#: The policy that comes with the library; a user's own is read and passed on.
+POLICY = Policy.read(Path(__file__).parent.parent / "policies" / "safety.json")
 
 
 def normalize(text: Column) -> Column:
@@ -47,20 +55,28 @@ def normalize(text: Column) -> Column:
     return squeeze(F.replace(F.lower(compatible(text)), F.lit("’"), F.lit("'")))
 
 
-def route(text: Column) -> Column:
-    """self_harm, urgent, dose or answer."""
+def route(text: Column, policy: Policy = POLICY) -> Column:
+    """self_harm, urgent, dose or answer: the first route that has a pattern in the text, one scan for each."""
     t = normalize(F.coalesce(text, F.lit("")))
     out = F.when(F.lit(False), "")
-    for name, patterns in ROUTES:
-        out = out.when(t.rlike("(?i)" + "|".join(patterns)), name)
+    for name, patterns in policy.routes:
+        out = out.when(t.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), name)
     return out.otherwise("answer")
 
 
-def states_dose(answer: Column) -> Column:
-    return F.coalesce(answer, F.lit("")).rlike("(?i)" + ANSWER_DOSE)
+def response(route_: Column, policy: Policy = POLICY) -> Column:
+    """The fixed reply of a route; null if it has none."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, text in policy.responses:
+        out = out.when(route_ == name, text)
+    return out
+
+
+def states_dose(answer: Column, policy: Policy = POLICY) -> Column:
+    return F.coalesce(answer, F.lit("")).rlike("(?i)" + policy.dose_in_answer)
 
 
-def guard(answer: Column, instead: Column) -> Column:
+def guard(answer: Column, instead: Column, policy: Policy = POLICY) -> Column:
     """struct(answer, replaced): another answer where one states a dose."""
-    bad = states_dose(answer)
+    bad = states_dose(answer, policy)
     return F.struct(F.when(bad, instead).otherwise(answer).alias("answer"), bad.alias("replaced"))

@@ -241,7 +241,7 @@ def _tags(text: str) -> str:
 def _routes() -> str:
     m = "trim(regexp_replace(replace(lower(m), '’', chr(39)), '\\s+', ' ', 'g'))"
     quote = lambda x: x.replace("'", "''")
-    return "CASE " + " ".join(f"WHEN regexp_matches({m}, '(?i){quote('|'.join(ps))}') THEN '{n}'" for n, ps in safety.ROUTES) + " ELSE 'answer' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({m}, '(?i){quote('|'.join(ps))}') THEN '{n}'" for n, ps in safety.POLICY.routes) + " ELSE 'answer' END"
 
 
 _GENERIC = "list_transform([" + ", ".join(f"'{w}'" for w in scoring.GENERIC_WORDS) + "], lambda w: w)"
@@ -286,7 +286,7 @@ SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(t, '\\b(?:' || regexp
     "chat_outcomes": f"""WITH a AS (SELECT conv_id, turn, [{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in _ASKS)}][(conv_id + turn) % {len(_ASKS)} + 1] || text AS m FROM conversations), r AS (SELECT conv_id, turn, {_routes()} AS route FROM a)
 SELECT conv_id || '-' || turn AS id, CASE route WHEN 'urgent' THEN 'call' WHEN 'self_harm' THEN 'talk' WHEN 'dose' THEN 'ask' ELSE CASE WHEN turn % 3 = 0 THEN 'ask' ELSE 'Rest well.' END END AS answer, route <> 'answer' AS by_safety,
   CASE WHEN route IN ('urgent', 'self_harm') THEN 'urgent' WHEN route = 'dose' OR turn % 3 = 0 THEN 'refused' ELSE 'answered' END AS outcome, CASE WHEN route = 'answer' AND turn % 3 = 0 THEN 'dose_removed' END AS warning FROM r""",
-    "dose_guard": f"WITH a AS (SELECT conv_id, turn, {_DOSED} || text AS a FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(a, '(?i){safety.ANSWER_DOSE}') THEN 'no dose' ELSE a END AS answer, regexp_matches(a, '(?i){safety.ANSWER_DOSE}') AS replaced FROM a",
+    "dose_guard": f"WITH a AS (SELECT conv_id, turn, {_DOSED} || text AS a FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(a, '(?i){safety.POLICY.dose_in_answer}') THEN 'no dose' ELSE a END AS answer, regexp_matches(a, '(?i){safety.POLICY.dose_in_answer}') AS replaced FROM a",
     "safety_score": f"""WITH a AS (SELECT conv_id, turn, {_DOSED} || text AS a FROM conversations) SELECT conv_id, turn, CASE conv_id % 3 WHEN 1 THEN regexp_matches(a, '(?i){scoring.EMERGENCY}') WHEN 2 THEN regexp_matches(a, '(?i){scoring.CRISIS}')
   ELSE NOT regexp_matches(a, '(?i){scoring.DOSE}') AND regexp_matches(a, '(?i){scoring.REFERRAL}') END AS correct FROM a""",
     "unscorable_filter": f"WITH {_PAIRS} SELECT conv_id, turn FROM pairs WHERE NOT {_phrase('reference', 'answer')}",

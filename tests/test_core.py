@@ -330,3 +330,23 @@ def test_streamed_log_keeps_the_latest(spark, tmp_path):
         log.keep_latest(log.read_log(spark, folder, schema), ["id", "model"], "step", f"file://{tmp_path}/table", f"file://{tmp_path}/check").awaitTermination(60)
     got = log.latest(spark, f"file://{tmp_path}/table", ["id", "model"], "step")
     assert sorted((r.id, r.answer) for r in got.collect()) == [("a", "v1"), ("b0", "x"), ("b1", "x")]
+
+
+def test_safety_policy_is_a_file(spark, tmp_path):
+    config = {"query_patterns": {"self_harm": [r"\bsad\b"], "urgent": ["fire|flood", "smoke"], "dose": ["how many (?:cups|spoons)"]}, "dose_in_answer": r"\d+ cups", "responses": {"self_harm": "talk", "urgent": "call", "dose": "ask"}}
+    for name, text in (("p.json", json.dumps(config)), ("p.yaml", json.dumps(config))):  # JSON is YAML too
+        path = tmp_path / name
+        path.write_text(text)
+        if name.endswith("yaml"):
+            pytest.importorskip("yaml")
+        policy = safety.Policy.read(path, need_responses=True)
+        asks = ["I am SAD, fire!", "much  smoke", "How many spoons?", "how much of it?", None]
+        routes = [safety.route(F.lit(a).cast("string"), policy) for a in asks]
+        assert values(spark, *routes) == ["self_harm", "urgent", "dose", "answer", "answer"]
+        assert values(spark, *(safety.response(r, policy) for r in routes)) == ["talk", "call", "ask", None, None]
+        assert values(spark, safety.states_dose(F.lit("Take 3 CUPS"), policy), safety.states_dose(F.lit("Take 3 mg"), policy)) == [True, False]
+    with pytest.raises(ValueError, match="missing urgent"):
+        safety.Policy.of({**config, "query_patterns": {"self_harm": ["x"], "dose": ["y"]}})
+    with pytest.raises(ValueError, match="missing dose"):
+        safety.Policy.of({**config, "responses": {"self_harm": "a", "urgent": "b"}}, need_responses=True)
+    assert safety.Policy.of(config).routes[1] == ("urgent", ("fire|flood", "smoke"))
