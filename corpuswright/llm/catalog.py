@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
+    "op3_sharding": shards.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op11_resample": resample.OP11_SQL,

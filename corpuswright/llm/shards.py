@@ -81,3 +81,16 @@ def write(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: crc32 byte by byte; every running sum over all rows.
+OP3_SQL = """
+WITH crc AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+texts AS (SELECT text, hex(text) AS h FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
+bytes AS (SELECT text, list_transform(range(strlen(text)), lambda i: 16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1) AS b FROM texts),
+sums AS (SELECT text, xor(list_reduce([4294967295] || b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM bytes, crc),
+sized AS (SELECT doc_id, strlen(coalesce(d.text, '')) + 8 AS size, text_crc32 FROM documents d JOIN sums s ON s.text = coalesce(d.text, '')),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM sized),
+cut AS (SELECT *, least(23, 24 * (2 * start + size) // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM cut
+"""
