@@ -53,12 +53,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         since = scratch.mark()
         made = stage(spark, docs, sf_dir)
         path = f"{scratch.shared_root(spark)}/pipeline/{scratch.fresh_name(name)}"
         made.write.parquet(path)
         scratch.release(spark, since)
-        docs = spark.read.parquet(path)
+        if before:  # only the last stage's input is still needed
+            scratch.remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

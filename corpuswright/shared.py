@@ -31,9 +31,29 @@ def root(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_made: list[str] = []
+
+
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables that ``cut`` made since the mark; only when no plan needs them any more."""
+    for path in _made[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[since:]
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` and read it back: what follows starts from the table, also after executors are lost."""
+    """Write ``df`` and read it back: what follows starts from the table, also after executors are lost.
+
+    Tables stay until they are released.
+    """
     path = f"{root(df.sparkSession)}/corpuswright/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
