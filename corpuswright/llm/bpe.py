@@ -12,7 +12,6 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow.fs as pafs
 
 from . import textkit as tk
