@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as an
 from ..functions import scoring
-from ..functions import text as tx
 from ..operators import assembly, corpus, entities, evaluation, splits
 from ..shared import cut, root
 from ..sources import build
