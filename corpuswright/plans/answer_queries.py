@@ -9,7 +9,7 @@ from ..functions import prompts as p
 from ..functions import safety, scoring
 from ..functions import text as tx
 from ..operators import serving, tokens
-from ..shared import numbered
+from ..shared import numbered, small
 from . import duck
 from .tables import cards, table
 
@@ -99,15 +99,19 @@ def _doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = items.select("item_id").distinct()
     n = max(1, ids.count())
     placed = items.join(numbered(ids, "item_id"), "item_id")
-    return tx.once(docs.join(placed, F.pmod("doc_id", F.lit(n)) == placed["place"]), tx.content_tokens(F.col("text")), "tokens")
+    return docs.join(small(placed), F.pmod("doc_id", F.lit(n)) == placed["place"])
+
+
+def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.once(_doc_items(spark, sf_dir), tx.content_tokens(F.col("text")), "tokens")
 
 
 def phrase_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_items(spark, sf_dir).select("doc_id", scoring.phrase_hit(F.col("item"), F.col("tokens")).alias("hit"))
+    return _doc_tokens(spark, sf_dir).select("doc_id", scoring.phrase_hit(F.col("item"), F.col("tokens")).alias("hit"))
 
 
 def items_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _doc_items(spark, sf_dir)
+    d = _doc_tokens(spark, sf_dir)
     parts = F.split("item", r"[.,] ")
     scored = tx.once(d.select("doc_id", F.transform(parts, lambda v: scoring.item_covered(v, F.col("tokens"))).alias("flags")), F.col("flags"), "f")
     n = F.size(F.filter("f", lambda x: x))
@@ -139,7 +143,7 @@ def exact_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _doc_items(spark, sf_dir)
+    d = _doc_tokens(spark, sf_dir)
     tokens = F.col("tokens")
     flag = lambda hit: scoring.result(hit.cast("double"), hit)
     parts = F.array(flag(scoring.phrase_hit(F.col("item"), tokens)), flag(F.contains(tx.squeeze(F.col("text")), tx.squeeze(F.col("item")))), flag(F.col("text").rlike(r"\bthe\b")))
