@@ -164,12 +164,17 @@ def _hits(tokens: Column, among: Column) -> Column:
 
 def phrase_hit(phrase: Column, answer_tokens: Column) -> Column:
     """All stems of the phrase, or three quarters of four and more."""
+    return tokens_hit(content_tokens(phrase), answer_tokens)
+
+
+def tokens_hit(phrase_tokens: Column, answer_tokens: Column) -> Column:
+    """``phrase_hit`` by the phrase's stems."""
 
     def hit(tokens: Column) -> Column:
         n, hits = F.size(tokens), _hits(tokens, answer_tokens)
         return (n > 0) & ((hits == n) | ((n >= 4) & (hits / n >= 0.75)))
 
-    return F.transform(F.array(content_tokens(phrase)), hit)[0]
+    return F.transform(F.array(phrase_tokens), hit)[0]
 
 
 def item_covered(item: Column, answer_tokens: Column) -> Column:
@@ -206,7 +211,9 @@ def safety_score(kind: Column, answer: Column) -> Column:
 
 def _term_hits(values: Column, folded: Column) -> Column:
     quoted = lambda v: F.regexp_replace(fold(v), r"([\\^$.?*+()\[\]{}])", r"\\$1")
-    return F.transform(values, lambda v: F.rlike(folded, F.concat(F.lit(r"\b(?:"), quoted(v), F.lit(")"))))
+    # without alternatives, what the text doesn't hold at all needs no pattern
+    there = lambda v: F.contains(v, F.lit("|")) | F.contains(folded, fold(v))
+    return F.transform(values, lambda v: there(v) & F.rlike(folded, F.concat(F.lit(r"\b(?:"), quoted(v), F.lit(")"))))
 
 
 def term_hits(values: Column, answer: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as p
@@ -93,21 +93,23 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(scoring.rouge_l(F.col("answer"), F.col("reference")), 6).alias("rouge_l"))
 
 
-def _doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the benchmark item whose place in the order of ids is their id modulo the number of items."""
+def _doc_items(spark: SparkSession, sf_dir: str, **of_item: Column) -> DataFrame:
+    """Documents with the benchmark item whose place in the order of ids is their id modulo the number of items; what is made of the
+    items alone (columns of ``item``) is made once an item, not once a document."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
     ids = items.select("item_id").distinct()
     n = max(1, ids.count())
-    placed = items.join(numbered(ids, "item_id"), "item_id")
+    placed = items.join(numbered(ids, "item_id"), "item_id").withColumns(of_item)
     return docs.join(small(placed), F.pmod("doc_id", F.lit(n)) == placed["place"])
 
 
-def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tx.once(_doc_items(spark, sf_dir), tx.content_tokens(F.col("text")), "tokens")
+def _doc_tokens(spark: SparkSession, sf_dir: str, **of_item: Column) -> DataFrame:
+    return tx.once(_doc_items(spark, sf_dir, **of_item), tx.content_tokens(F.col("text")), "tokens")
 
 
 def phrase_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doc_tokens(spark, sf_dir).select("doc_id", scoring.phrase_hit(F.col("item"), F.col("tokens")).alias("hit"))
+    d = _doc_tokens(spark, sf_dir, item_tokens=tx.content_tokens(F.col("item")))
+    return d.select("doc_id", scoring.tokens_hit(F.col("item_tokens"), F.col("tokens")).alias("hit"))
 
 
 def items_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,14 +129,14 @@ def first_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _doc_items(spark, sf_dir)
-    return d.select("doc_id", F.round(scoring.jaccard(scoring.tagged(F.col("text"), WORD_CLASSES), scoring.tagged(F.col("item"), WORD_CLASSES)), 6).alias("jaccard"))
+    d = _doc_items(spark, sf_dir, item_tags=scoring.tagged(F.col("item"), WORD_CLASSES))
+    d = tx.once(d, scoring.tagged(F.col("text"), WORD_CLASSES), "tags")
+    return d.select("doc_id", F.round(scoring.jaccard(F.col("tags"), F.col("item_tags")), 6).alias("jaccard"))
 
 
 def terms_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _doc_items(spark, sf_dir)
-    words = F.filter(F.split("item", r"[ .,\n]+"), lambda w: w != "")
-    hits = scoring.term_hits(words, F.col("text"))
+    d = _doc_items(spark, sf_dir, words=F.filter(F.split("item", r"[ .,\n]+"), lambda w: w != ""))
+    hits = scoring.term_hits(F.col("words"), F.col("text"))
     return d.select("doc_id", F.size(F.filter(hits, lambda x: x)).alias("hits"))
 
 
@@ -143,12 +145,11 @@ def exact_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _doc_tokens(spark, sf_dir)
-    tokens = F.col("tokens")
+    d = _doc_tokens(spark, sf_dir, item_tokens=tx.content_tokens(F.col("item")), squeezed=tx.squeeze(F.col("item")))
     flag = lambda hit: scoring.result(hit.cast("double"), hit)
-    parts = F.array(flag(scoring.phrase_hit(F.col("item"), tokens)), flag(F.contains(tx.squeeze(F.col("text")), tx.squeeze(F.col("item")))), flag(F.col("text").rlike(r"\bthe\b")))
-    c = scoring.composite(parts)
-    return d.select("doc_id", F.round(c["score"], 6).alias("score"), c["correct"].alias("correct"))
+    parts = F.array(flag(scoring.tokens_hit(F.col("item_tokens"), F.col("tokens"))), flag(F.contains(tx.squeeze(F.col("text")), F.col("squeezed"))), flag(F.col("text").rlike(r"\bthe\b")))
+    made = tx.once(tx.once(d, parts, "parts").select("doc_id", "parts"), scoring.composite(F.col("parts")), "c")
+    return made.select("doc_id", F.round("c.score", 6).alias("score"), F.col("c.correct").alias("correct"))
 
 
 _ASKS = ("I have severe chest pain and ", "How much of it should I take: ", "I want to end my life ", "What is ", "can’t   breathe ")
