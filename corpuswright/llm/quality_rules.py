@@ -3,9 +3,10 @@
 The statistics of a text are counts over all of its bytes. Two fixed limits (too few words, too
 many repeated word windows) decide first. For the rest, an isolation forest on ratios of the
 statistics gives each document the mean depth at which random splits isolate it; documents that
-are isolated early are anomalous. The forest is fitted on a bounded sample of labelled rows
-(``sample_rows``), and the limit for its score is calibrated on the labels of that sample (see
-``calibrate``).
+are isolated early are anomalous. Every labelled row that passes the fixed limits takes part in the fit:
+its ratios are what trees draw their rows from (a forest's trees are grown on small draws by definition, ``subsample`` rows
+each, lowest by a hash of id and tree among all labelled rows), and the limit for the score is calibrated on the labels of
+all of them, by counts of scores (see ``calibrate``).
 
 Defined results: null or empty text has all counts zero, fails the base rule and is not kept;
 null ids stay null; repeated rows each get their own, equal result; an empty table gives an empty
@@ -15,13 +16,13 @@ are independent of other columns, and columns of the same names in the input are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,8 @@ class Params:
     max_repeat_percent: int = 50
     trees: int = 100
     subsample: int = 64
-    sample_rows: int = 4096
+    #: None: every labelled row; a number only for a user who wants a quick look
+    sample_rows: int | None = None
     max_good_loss: float = 0.005
     seed: int = 7
 
@@ -134,15 +136,16 @@ def _expected(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def fit_forest(rows_in: np.ndarray, p: Params) -> Forest:
-    """Random splits of subsamples of the rows."""
+def fit_forest(rows_in: np.ndarray | list[np.ndarray], p: Params) -> Forest:
+    """Random splits of each tree's own draw of rows; of a matrix, draws are made here."""
     rng = np.random.default_rng(p.seed)
-    size = min(p.subsample, len(rows_in))
+    draws = rows_in if isinstance(rows_in, list) else [rows_in[rng.choice(len(rows_in), min(p.subsample, len(rows_in)), replace=False)] for _ in range(p.trees)]
+    size = max(map(len, draws))
     depth = max(1, int(np.ceil(np.log2(max(2, size)))))
     nodes = 2 ** (depth + 1) - 1
     feature, value, path = np.full((p.trees, nodes), -1), np.zeros((p.trees, nodes)), np.zeros((p.trees, nodes))
-    for t in range(p.trees):
-        todo = [(0, 0, rows_in[rng.choice(len(rows_in), size, replace=False)])]
+    for t, drawn in enumerate(draws):
+        todo = [(0, 0, drawn)]
         while todo:
             node, level, rows = todo.pop()
             low, high = rows.min(axis=0), rows.max(axis=0)
@@ -174,37 +177,105 @@ def calibrate(forest: Forest, x: np.ndarray, quality: np.ndarray, p: Params) ->
     return forest
 
 
+def score_limit(scored: DataFrame, p: Params) -> float:
+    """What ``calibrate`` sets, from a table (quality, score) of any size: by numbers of rows above each distinct score."""
+    good = F.col("quality") == 1
+    counted = scratch.cut(scored.groupBy("score").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")), "rule-scores")
+    total = counted.agg(F.sum("good")).first()[0]
+    spare = total - max(1, int(np.ceil(total * (1 - p.max_good_loss))))  # good rows that may lie above
+    # running counts from the highest score down, by ranges of scores
+    ranged = scratch.cut(counted.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()), "rule-ranges")
+    sums = {r["part"]: r for r in ranged.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()}
+    before, g, b = [], 0, 0
+    for part in sorted(sums):
+        before.append((part, g, b))
+        g, b = g + sums[part]["good"], b + sums[part]["bad"]
+    above = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    run = ranged.join(F.broadcast(scored.sparkSession.createDataFrame(before, "part int, g long, b long")), "part")
+    run = run.select("score", "good", "bad", *((F.coalesce(F.sum(c).over(above), F.lit(0)) + F.col(c[0])).alias(f"{c}_above") for c in ("good", "bad")))
+    allowed = run.where((F.col("good") > 0) & (F.col("good_above") <= spare))
+    limit = allowed.agg(F.max_by("score", F.struct("bad_above", "score")).alias("limit")).first()["limit"]
+    next_up = counted.where(F.col("score") > limit).agg(F.min(F.when(F.col("bad") > 0, F.col("score"))).alias("bad"), F.min(F.when(F.col("good") > 0, F.col("score"))).alias("good")).first()
+    clear = next_up["bad"] is not None and (next_up["good"] is None or next_up["good"] >= next_up["bad"])
+    return float((limit + next_up["bad"]) / 2 if clear else limit)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """(text, quality) of at most ``sample_rows`` labelled rows of ``docs``, those lowest by a hash of the id."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows)
-    return one_row_each(docs, chosen).select("text", "quality")
+    """(text, quality) of all labelled rows of ``docs``, or of ``sample_rows`` of them, those lowest by a hash of the id."""
+    return _labelled(docs, labels, p).select("text", "quality")
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    if p.sample_rows is None:
+        return _one_row_of(docs, marked)
+    return one_row_each(docs, marked.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows))
 
 
 def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, quality, text) of the chosen ids: of an id's rows, the one whose text is lowest by its hash."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """(doc_id, quality, text) of the few chosen ids: of an id's rows, the one whose text is lowest by its hash."""
+    return _one_row_of(docs, F.broadcast(chosen))
+
+
+def _one_row_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
     least = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
     return least.select("doc_id", "quality", "least.text")
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        c = text_counts(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), *(pa.array(c[:, j]) for j in range(len(COUNTS)))], names=["quality", *COUNTS])
+def _ratios(p: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, quality, *FEATURES) of the rows that pass the fixed limits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = text_counts(b.column("text"))
+            passed = pa.array(np.flatnonzero(~base_failed(c, p)))
+            x = features(c)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(passed), b.column("quality").cast(pa.int32()).take(passed), *(pa.array(x[:, j]).take(passed) for j in range(len(FEATURES)))], names=["doc_id", "quality", *FEATURES])
+
+    return run
+
+
+def _drawn(rows: DataFrame, p: Params) -> list[np.ndarray]:
+    """Each tree's draw: of all rows the ``subsample`` lowest by a hash of id and tree; each task sends on its own lowest only."""
+    trees = rows.select(*FEATURES, F.xxhash64("doc_id").alias("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros((0, len(FEATURES)))) for _ in range(p.trees)]
+        for b in batches:
+            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
+            for t, (held, rows_held) in enumerate(best):
+                h = tk.mix(ids ^ np.uint64((p.seed * 1_000_003 + t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
+                new = np.flatnonzero(h < held.max()) if len(held) == p.subsample else np.arange(len(h))
+                hashes = np.append(held, h[new])
+                least = np.argsort(hashes, kind="stable")[: p.subsample]
+                best[t] = hashes[least], np.vstack([rows_held, x[new]])[least]
+        tree = np.repeat(np.arange(p.trees), [len(h) for h, _ in best])
+        hashes, kept = np.concatenate([h for h, _ in best]), np.vstack([x for _, x in best])
+        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(hashes), *(pa.array(kept[:, j]) for j in range(len(FEATURES)))], names=["tree", "h", *FEATURES])
+
+    own = trees.mapInArrow(run, "tree long, h long, " + ", ".join(f"{f} double" for f in FEATURES))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("h", *FEATURES))
+    got = own.withColumn("n", place).where(F.col("n") <= p.subsample).orderBy("tree", "n").toPandas()  # trees x subsample rows
+    return [g[list(FEATURES)].to_numpy() for _, g in got.groupby("tree")]
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Forest | None:
-    """A calibrated forest, or None if no row is labelled as good."""
-    schema = "quality int, " + ", ".join(f"{c} long" for c in COUNTS)
-    # a row for each chosen id, so the limit only states the bound
-    got = labelled_sample(docs, labels, p).mapInArrow(_count_rows, schema).orderBy(*COUNTS, "quality").limit(p.sample_rows).toPandas()
-    counts, quality = got[list(COUNTS)].to_numpy(), got["quality"].to_numpy()
-    passed = ~base_failed(counts, p) if len(counts) else np.zeros(0, bool)
-    x, quality = features(counts[passed]), quality[passed]
-    if not (quality == 1).any():
+    """A forest calibrated on all labelled rows, or None if no row is labelled as good."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = scratch.cut(_labelled(docs, labels, p).mapInArrow(_ratios(p), f"doc_id {kind}, quality int, " + ", ".join(f"{f} double" for f in FEATURES)), "rule-ratios")
+    if rows.where("quality = 1").isEmpty():
         return None
-    return calibrate(fit_forest(x, p), x, quality, p)
+    forest = fit_forest(_drawn(rows, p), p)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(forest.scores(x))], names=["quality", "score"])
+
+    forest.limit = score_limit(rows.mapInArrow(score, "quality int, score double"), p)
+    return forest
 
 
 def judge(docs: DataFrame, forest: Forest | None, p: Params = Params(), keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:

@@ -121,3 +121,21 @@ def test_labels_of_missing_documents_do_not_shrink_the_sample(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
     labels = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     assert q.labelled_sample(docs, labels, q.Params(sample_rows=50)).count() == 50
+
+
+def test_every_labelled_row_counts(spark):
+    """Forest and limit come from all labelled rows: more than any bounded sample, in any partitioning, and the limit is the local one of all scores."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(rng.choice(words, 60 + int(rng.integers(80)))) + (" #|$ " * int(rng.integers(1, 30)) if i % 9 == 0 else "")) for i in range(6000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 9 <> 0 as int) as quality")
+    p = q.Params()
+    assert q.labelled_sample(docs, labels, p).count() == 6000
+    f = q.fit(docs, labels, p)
+    counts, quality = q.text_counts(pa.array([t for _, t in texts])), np.array([i % 9 != 0 for i, _ in texts]).astype(int)
+    passed = ~q.base_failed(counts, p)
+    again = q.calibrate(q.Forest(f.feature, f.value, f.path, f.depth, f.scale, np.inf), q.features(counts[passed]), quality[passed], p)
+    assert f.limit == again.limit
+    b = q.fit(docs.repartition(7), labels.repartition(3), p)
+    assert b.limit == f.limit and np.array_equal(b.value, f.value)
