@@ -19,8 +19,13 @@ CONDITION_COLUMNS = {"Ayurvedic Name": "name", "Ayurvedic Code": "code", "Modern
 DISEASE_COLUMNS = {"Disease": "name", "Hindi Name": "hindi_name", "Marathi Name": "marathi_name", "Symptoms": "symptoms", "Doshas": "doshas", "Constitution/Prakriti": "prakriti", "Ayurvedic Herbs": "herbs", "Yoga & Physical Therapy": "yoga", "Diet and Lifestyle Recommendations": "diet_lifestyle"}
 
 
+def _made_once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``df.select`` whose columns are made once a row: as the element of an array they aren't copied to every place that uses them."""
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("__row")).select("__row.*")
+
+
 def _cleaned(rows: DataFrame, columns: dict[str, str], normalised: bool) -> DataFrame:
-    return rows.select("idx", *(tx.clean(F.col(f"`{a}`"), normalised).alias(b) for a, b in columns.items()))
+    return _made_once(rows, "idx", *(tx.clean(F.col(f"`{a}`"), normalised).alias(b) for a, b in columns.items()))
 
 
 def conditions(rows: DataFrame, normalised: bool = True) -> DataFrame:
@@ -37,7 +42,7 @@ def diseases(rows: DataFrame, normalised: bool = True) -> DataFrame:
 
 
 def _terms(rows: DataFrame, *columns: str, normalised: bool) -> DataFrame:
-    return rows.select("idx", *(tx.clean_term(F.col(f"`{c}`"), normalised).alias(c) for c in columns))
+    return _made_once(rows, "idx", *(tx.clean_term(F.col(f"`{c}`"), normalised).alias(c) for c in columns))
 
 
 def diagnoses(rows: DataFrame, terminology: DataFrame, normalised: bool = True) -> DataFrame:
@@ -47,11 +52,12 @@ def diagnoses(rows: DataFrame, terminology: DataFrame, normalised: bool = True)
     own are left out.
     """
     t = _terms(rows, "NAMC_ID", "NAMC_CODE", "NAMC_term_diacritical", "NAMC_term_DEVANAGARI", "Name English", "Long_definition", normalised=normalised)
-    named = t.withColumn("n", tx.term_name(F.col("NAMC_term_diacritical"))).withColumn("c", tx.split_code(F.col("NAMC_CODE"))).where("n.name <> '' AND NAMC_CODE <> ''")
+    own = t.where("NAMC_CODE <> ''")
+    named = _made_once(own, *t.columns, tx.term_name(F.col("NAMC_term_diacritical")).alias("n"), tx.split_code(F.col("NAMC_CODE")).alias("c"), tx.english_name(F.col("Name English")).alias("e")).where("n.name <> '' AND e <> ''")
     shaped = named.select(
         F.concat(F.lit("nm-"), F.col("NAMC_ID")).alias("id"), F.lit("nm").alias("kind"), "n.name", "n.synonyms", F.col("NAMC_term_DEVANAGARI").alias("devanagari"),
-        tx.english_name(F.col("Name English")).alias("english"), "c.code", "c.tm2", F.col("Long_definition").alias("definition"), F.col("NAMC_CODE").alias("raw_code"), "idx",
-    ).where("english <> ''")
+        F.col("e").alias("english"), "c.code", "c.tm2", F.col("Long_definition").alias("definition"), F.col("NAMC_CODE").alias("raw_code"), "idx",
+    )
     refs = _terms(terminology, "term_id", "refn", normalised=normalised).where("NOT startswith(term_id, 'SAT')").select(F.col("term_id").alias("key"), "idx", F.col("refn").alias("ref"))
     referred = splits.with_fallback(shaped, refs, "raw_code", "code").drop("raw_code")
     merged = splits.merge_twins(referred, "id", "idx", ["definition", "tm2", "reference", "devanagari"])
@@ -64,7 +70,8 @@ def terms(rows: DataFrame, normalised: bool = True) -> DataFrame:
     A definition that repeats the meaning is dropped. Roots of sections and terms that aren't kept are no parents.
     """
     t = _terms(rows, "t_id", "parent_id", "term_id", "term_iast", "term_devanagari", "w_trans", "w_def", "refn", normalised=normalised)
-    own = t.withColumn("code", F.replace("term_id", F.lit(" "), F.lit(""))).where("startswith(code, 'SAT-')").withColumn("n", tx.term_name(F.col("term_iast")))
+    coded = t.withColumn("code", F.replace("term_id", F.lit(" "), F.lit(""))).where("startswith(code, 'SAT-')")
+    own = _made_once(coded, *coded.columns, tx.term_name(F.col("term_iast")).alias("n"))
     shaped = own.select(
         F.concat(F.lit("sat-"), F.replace(F.lower("code"), F.lit("."), F.lit("-"))).alias("id"), F.lit("sat").alias("kind"), "n.name", "n.synonyms", F.col("term_devanagari").alias("devanagari"),
         F.col("w_trans").alias("english"), "code", F.lit("").alias("tm2"), F.expr("CASE WHEN lower(w_def) = lower(w_trans) THEN '' ELSE w_def END").alias("definition"), F.col("refn").alias("reference"),
@@ -78,7 +85,7 @@ def terms(rows: DataFrame, normalised: bool = True) -> DataFrame:
 def grouped(entities: DataFrame) -> DataFrame:
     """Adds ``group``: by id, or for terms by their name but for spelling, so that twins share a split."""
     key = F.when(F.col("kind").isin("nm", "sat"), F.concat(F.lit("namaste:"), tx.group_key(F.col("name")))).otherwise(F.col("id"))
-    return entities.withColumn("group", entity_group(key))
+    return tx.once(entities, entity_group(key), "group")
 
 
 def with_parents(entities: DataFrame) -> DataFrame:
@@ -110,8 +117,9 @@ def modern_alternatives() -> Column:
 
 def condition_facts(entities: DataFrame) -> DataFrame:
     n, c, yes = F.col("name"), F.col, F.lit(True)
-    symptoms, factors, treated = tx.split_list(c("symptoms")), an.factor_list(c("dosha")), an.treatment_items(c("treatment"))
-    return _facts(entities, [
+    shared = [tx.split_list(c("symptoms")).alias("__symptoms"), an.factor_list(c("dosha")).alias("__factors"), an.treatment_items(c("treatment")).alias("__treated")]
+    symptoms, factors, treated = c("__symptoms"), c("__factors"), c("__treated")
+    return _facts(_made_once(entities, *entities.columns, *shared), [
         ("modern_equivalent", yes, an.fill("{n} corresponds to {m} in modern medicine.", n=n, m=F.trim("modern_equivalent")), gold("phrase", modern_alternatives())),
         ("dosha", yes, an.dosha_sentence(n, c("dosha")), gold("dosha_set", factors)),
         ("body_system", yes, an.system_sentence(n, c("body_system")), gold("system", an.system_list(c("body_system")))),
@@ -126,9 +134,9 @@ def condition_facts(entities: DataFrame) -> DataFrame:
 def disease_facts(entities: DataFrame) -> DataFrame:
     n, c, yes = F.col("name"), F.col, F.lit(True)
     listed = lambda x: tx.join_list(tx.split_list(c(x)))
-    symptoms, factors = tx.split_list(c("symptoms")), an.factor_list(c("doshas"))
-    diet = tx.split_list(c("diet_lifestyle"), ";")
-    return _facts(entities, [
+    shared = [tx.split_list(c("symptoms")).alias("__symptoms"), an.factor_list(c("doshas")).alias("__factors"), tx.split_list(c("diet_lifestyle"), ";").alias("__diet")]
+    symptoms, factors, diet = c("__symptoms"), c("__factors"), c("__diet")
+    return _facts(_made_once(entities, *entities.columns, *shared), [
         ("doshas", yes, an.fill("In Ayurveda, {n} is associated with an imbalance of {d}.", n=n, d=tx.join_list(an.factor_phrases(factors))), gold("dosha_set", factors)),
         ("prakriti", yes, an.fill("People with a {p} constitution (prakriti) are considered more prone to {n}.", p=an.constitution(c("prakriti")), n=n), gold("dosha_set", an.factor_list(c("prakriti")))),
         ("symptoms", yes, an.fill("Common symptoms of {n} include {i}.", n=n, i=tx.join_list(an.lowered(symptoms))), gold("items", symptoms)),
@@ -145,8 +153,12 @@ def _distinct_names(value: Column) -> Column:
     return F.sort_array(F.array_except(F.array(value, tx.without_parentheses(value)), F.array(F.lit(""))))
 
 
+def _references() -> Column:
+    return tx.first_references(F.col("reference"), an.BOOKS).alias("__refs")
+
+
 def _referred() -> tuple[str, Column, Column, Column]:
-    refs = tx.first_references(F.col("reference"), an.BOOKS)
+    refs = F.col("__refs")
     return "reference", F.size(refs) > 0, an.reference_sentence(F.col("name"), refs), gold("source_any", F.transform(refs, lambda r: F.lower(r["book"])))
 
 
@@ -158,8 +170,8 @@ def diagnosis_facts(entities: DataFrame) -> DataFrame:
     """Of entities of kind nm ``with_parents``."""
     n, c = F.col("name"), F.col
     tm2 = F.when(c("tm2") != "", an.fill(" It maps to the ICD-11 Traditional Medicine (TM2) code {t}.", t=c("tm2"))).otherwise("")
-    features = tx.features(c("definition"))
-    return _facts(entities, [
+    features = c("__features")
+    return _facts(_made_once(entities, *entities.columns, tx.features(c("definition")).alias("__features"), _references()), [
         ("nm_english", F.lit(True), an.fill("{n} is the Ayurvedic diagnostic term for {e}.", n=_titled(), e=c("english")), gold("phrase", _distinct_names(c("english")))),
         ("nm_code", F.lit(True), F.concat(an.fill("The NAMASTE code for {n} is {c}.", n=n, c=c("code")), tm2), gold("exact", F.array("code"))),
         ("nm_features", (c("definition") != "") & (F.size(features["items"]) > 0), an.fill("{n} is characterized by {f}", n=tx.capitalize(n), f=tx.sentence(features["clause"])), gold("items", features["items"])),
@@ -171,11 +183,12 @@ def diagnosis_facts(entities: DataFrame) -> DataFrame:
 def term_facts(entities: DataFrame) -> DataFrame:
     """Of entities of kind sat ``with_parents``."""
     c = F.col
-    short = F.when(c("definition") != "", tx.short_definition(c("definition"))).otherwise("")
+    made = F.when(c("definition") != "", tx.short_definition(c("definition"))).otherwise("").alias("__short")
+    short = c("__short")
     both = (c("english") != "") & (short != "")
     told = F.when(both, an.fill('{n} means "{e}": {d}', n=_titled(), e=c("english"), d=tx.sentence(short))).otherwise(an.fill("{n} means {e}", n=_titled(), e=tx.sentence(F.when(c("english") != "", c("english")).otherwise(short))))
     label = F.when(c("parent_english") != "", c("parent_english")).otherwise(tx.short_definition(c("parent_definition")))
-    return _facts(entities, [
+    return _facts(_made_once(entities, *entities.columns, made, _references()), [
         ("sat_meaning", F.lit(True), told, gold("phrase", F.filter(F.array(c("english"), short), lambda x: x != ""))),
         ("sat_category", c("tell_parent"), an.fill("In the Standardised Ayurveda Terminology, {n} is listed under {l} ({p}).", n=c("name"), l=label, p=c("parent_name")), gold("phrase", F.array(label, c("parent_name")))),
         _referred(),
