@@ -131,3 +131,19 @@ def test_streamed_changes_after_restarts_equal_one_run(spark, tmp_path):
     again = spark.read.parquet(f"file://{tmp_path}/changes").count()
     log.keep_latest(log.read_log(spark, folder, schema), ["id"], "step", f"file://{tmp_path}/changes", f"file://{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/changes").count() == again
+
+
+def test_streamed_keys_share_the_states_of_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "BUCKETS", 2)
+    big, schema = (1 << 53) + 1, "id long, kind string, step long, amount long"
+    folder, held = f"file://{tmp_path}/log", []
+    parts = [[(i, None if i % 5 == 0 else "x", 5, big) for i in range(30)], [(None, "x", 1, None), (big, "x", 3, big), (0, None, 5, 7), (1, "x", 4, 7), (2, "x", 6, None), (2, "x", 7, big)]]
+    for part in parts:
+        log.append(spark.createDataFrame(part, schema).coalesce(1), folder)
+        stream = log.keep_latest(log.read_log(spark, folder, schema), ["id", "kind"], "step", f"file://{tmp_path}/changes", f"file://{tmp_path}/check")
+        stream.awaitTermination()
+        held.append(stream.lastProgress["stateOperators"][0]["numRowsTotal"])
+    want = {(i, None if i % 5 == 0 else "x"): (5, big) for i in range(30)} | {(None, "x"): (1, None), (big, "x"): (3, big), (2, "x"): (7, big)}
+    assert {(r.id, r.kind): (r.step, r.amount) for r in log.latest(spark, f"file://{tmp_path}/changes", ["id", "kind"], "step").collect()} == want
+    assert spark.read.parquet(f"file://{tmp_path}/changes").count() == 33  # an older or equal step is no news
+    assert max(held) <= 2, held  # a state a bucket, so a call in Python each, not for each key
