@@ -12,6 +12,7 @@ text to text. A row for each partition, of as many words, goes to the driver for
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Words of one automaton, at most; a word takes some hundred bytes in a task's memory.
-MOST_WORDS = 1 << 18
+#: Words of one automaton, at most; a word takes some hundred bytes in a task's memory. Texts that a task numbers at once.
+MOST_WORDS, SLICE = 1 << 18, 512
 #: Stands between words that aren't next to one another; no word of a text.
 GAP = "\x00"
 
@@ -60,6 +61,9 @@ class Automaton:
                 waiting.append(child)
             suffix = self.fail[state]
             self.shorter[state] = suffix if self.ends[suffix] >= 0 else self.shorter[suffix]
+        # as they are sent to tasks
+        self.words = pa.array(self.words, pa.string())
+        self.ends, self.fail, self.shorter = (array("i", x) for x in (self.ends, self.fail, self.shorter))
 
     def step(self, state: int, word: int) -> int:
         while True:
@@ -94,7 +98,7 @@ class Automaton:
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of texts (words between single spaces), and where each text's begin."""
         lists = pc.split_pattern(texts, " ")
-        found = pc.fill_null(pc.index_in(lists.flatten(), pa.array(self.words, lists.type.value_type)), -1)
+        found = pc.fill_null(pc.index_in(lists.flatten(), self.words.cast(lists.type.value_type)), -1)
         return found.to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
 
 
@@ -107,8 +111,8 @@ def _scan_texts(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, seen, found = sent.value, set(), set()
-        for b in batches:
-            ids, starts = automaton.numbers(b.column("text"))
+        for text in (b.column("text").slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            ids, starts = automaton.numbers(text)
             # of words that no name has, one stands for all in a row; so does the border of two texts
             known = ids >= 0
             keep = known.copy()

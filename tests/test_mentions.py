@@ -74,3 +74,18 @@ def test_texts_are_neither_shuffled_nor_broadcast(spark):
     scan = next(x for x in plan.splitlines() if "MapInArrow" in x)
     below = plan[plan.index(scan) :]
     assert "Exchange" not in below and "Range" in below
+
+
+def test_a_task_numbers_few_texts_at_once(monkeypatch):
+    import pickle
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    automaton, sizes = mentions.Automaton([["some", "name"], *([f"w{i}", f"v{i}"] for i in range(5000))]), []
+    inner = mentions.Automaton.numbers
+    monkeypatch.setattr(mentions.Automaton, "numbers", lambda self, texts: sizes.append(len(texts)) or inner(self, texts))
+    texts = ["said"] * 2000 + ["some", "name"] + ["said"] * 46 + ["w7 v7", "w8 v9"]
+    got = [x for b in mentions._scan_texts(SimpleNamespace(value=automaton))(iter([pa.record_batch([texts], ["text"])])) for x in b.column("name").to_pylist()]
+    assert got == [8] and max(sizes) <= 512 and sum(sizes) == len(texts)
+    assert len(pickle.dumps([automaton.ends, automaton.fail, automaton.shorter])) < 10_001 * 3 * 4 + 1000  # four bytes a state
