@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as an
 from ..functions import text as tx
 from ..functions.hashing import entity_group
+from ..shared import cut, small
 from . import splits
 
 # Headers of the source tables, and what they are called here.
@@ -25,7 +26,9 @@ def _made_once(df: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 def _cleaned(rows: DataFrame, columns: dict[str, str], normalised: bool) -> DataFrame:
-    return _made_once(rows, "idx", *(tx.clean(F.col(f"`{a}`"), normalised).alias(b) for a, b in columns.items()))
+    cells = F.array(*(tx.nfkc(F.col(f"`{a}`")) if normalised else F.col(f"`{a}`") for a in columns))
+    made = rows.select("idx", F.explode(F.array(tx.clean_cells(cells))).alias("__cells"))
+    return made.select("idx", *(F.col("__cells")[i].alias(b) for i, b in enumerate(columns.values())))
 
 
 def conditions(rows: DataFrame, normalised: bool = True) -> DataFrame:
@@ -35,9 +38,16 @@ def conditions(rows: DataFrame, normalised: bool = True) -> DataFrame:
 
 
 def diseases(rows: DataFrame, normalised: bool = True) -> DataFrame:
-    """Kind ag: of the rows whose names have one slug, the one with most of four fields, the first of equal ones."""
-    named = _cleaned(rows, DISEASE_COLUMNS, normalised).where("name <> ''")
-    best = splits.keep_best(named, tx.slug(F.col("name")), splits.informativeness("herbs", "yoga", "symptoms", "hindi_name"), "idx")
+    """Kind ag: of the rows whose names have one slug, the one with most of four fields, the first of equal ones.
+
+    The kept rows' numbers are found by the name and the four fields alone; only rows with such a number are made in full.
+    """
+    fields = ("herbs", "yoga", "symptoms", "hindi_name")
+    key, score = tx.slug(F.col("name")), splits.informativeness(*fields)
+    narrow = {a: b for a, b in DISEASE_COLUMNS.items() if b == "name" or b in fields}
+    found = cut(splits.best_indices(_cleaned(rows, narrow, normalised).where("name <> ''"), key, score, "idx"), "best-diseases")
+    named = _cleaned(rows.join(small(found), "idx", "left_semi"), DISEASE_COLUMNS, normalised).where("name <> ''")
+    best = splits.keep_best(named, key, score, "idx")
     return best.select(F.concat(F.lit("ag-"), tx.slug(F.col("name"))).alias("id"), F.lit("ag").alias("kind"), *DISEASE_COLUMNS.values(), "idx")
 
 

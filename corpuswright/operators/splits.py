@@ -39,6 +39,15 @@ def keep_best(df: DataFrame, key: Column, score: Column, index: str) -> DataFram
     return best.select("r.*")
 
 
+def best_indices(df: DataFrame, key: Column, score: Column, index: str) -> DataFrame:
+    """The indices (a column as the index) of the rows that ``keep_best`` may keep: for each key the first one of the highest score.
+
+    Only key, score and index are read and hashed, so a large table is narrowed by these before its other columns are made.
+    """
+    first = df.select(key.alias("__key"), score.alias("__score"), index).groupBy("__key", "__score").agg(F.min(index).alias("__first"))
+    return first.groupBy("__key").agg(F.max_by("__first", "__score").alias(index)).select(index).distinct()
+
+
 def merge_twins(df: DataFrame, key: str, index: str, filled: list[str]) -> DataFrame:
     """One row of each key, the first by index; its empty ``filled`` columns take the next value there is."""
     first = [F.min_by(c, index).alias(c) for c in df.columns if c not in (key, index, *filled)]

@@ -227,10 +227,10 @@ def two_turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def open_book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of held-out diseases with the entries that retrieval finds for their questions."""
-    made = _made(spark, sf_dir)
-    cards = cut(entities.cards({"ag": made["ag"]}, {"ag": "B"}), "cards")
-    drafts = cut(assembly.fact_rows(entities.facts({"ag": made["ag"]}), _templates(spark)).where("open_book"), "drafts")
-    held = made["ag"].where("startswith(`group`, 'heldout')").select(F.col("id").alias("card_id"))
+    known = cut(_made(spark, sf_dir)["ag"], "diseases")
+    cards = cut(entities.cards({"ag": known}, {"ag": "B"}), "cards")
+    drafts = cut(assembly.fact_rows(entities.facts({"ag": known}), _templates(spark)).where("open_book"), "drafts")
+    held = known.where("startswith(`group`, 'heldout')").select(F.col("id").alias("card_id"))
     rows = assembly.rows(drafts, assembly.entries(drafts, cards, held))
     return rows.select("split", "id", F.size("meta.context_ids").alias("entries"), F.array_contains("meta.context_ids", F.col("meta.entity")).alias("has_gold"), F.contains(F.col("messages")[0]["content"], F.lit("Knowledge base entries:")).alias("opened"))
 

@@ -103,3 +103,18 @@ def test_corpus_is_published_only_without_a_leak(spark, tmp_path):
     assert set(e.value.faults) == {"evaluation questions in training", "listed: no such entities"}
     assert build.current(spark, path)[1] == manifest
     build.verify(spark, path, corpus.KEY_OF)
+
+
+def test_diseases_are_made_once_and_found_by_few_columns(spark):
+    """Odd cells, ties and repeated numbers; and the entries' plan reads the diseases that were made, not their source."""
+    columns = list(entities.DISEASE_COLUMNS)
+    odd = ["Neem", " neem  leaf ", "N/A", "none specific", "", None, "-", "a\nb", "é  x", "nan\n", "\x85 na", "İ"]
+    rows = [(i % 37, *(odd[(i * k + i // 5) % len(odd)] if k else f"Ache {i % 9}{odd[i % 12] or '!'}" for k in range(len(columns)))) for i in range(120)]
+    source = spark.createDataFrame([r for i, r in enumerate(rows) if r[0] not in (x[0] for x in rows[:i])] + rows[37:40], "idx int, " + ", ".join(f"`{c}` string" for c in columns))
+    plain = source.select("idx", *(entities.tx.clean(F.col(f"`{a}`")).alias(b) for a, b in entities.DISEASE_COLUMNS.items())).where("name <> ''")
+    assert entities._cleaned(source, entities.DISEASE_COLUMNS, False).exceptAll(source.select("idx", *(entities.tx.clean(F.col(f"`{a}`")).alias(b) for a, b in entities.DISEASE_COLUMNS.items()))).isEmpty()
+    want = splits.keep_best(plain, entities.tx.slug(F.col("name")), splits.informativeness("herbs", "yoga", "symptoms", "hindi_name"), "idx")
+    got = entities.diseases(source, normalised=False)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    files = q.open_book_rows(spark, SF).inputFiles()
+    assert files and not any("part.parquet" in f for f in files)
