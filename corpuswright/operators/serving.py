@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts, safety, scoring
+from ..shared import cut
 from . import retrieval
 
 NO_CITATIONS = "cast(array() as array<struct<card_id:string,source:string,text:string,score:double>>)"
@@ -37,8 +38,8 @@ def chat(requests: DataFrame, cards: DataFrame, system: str, instead: dict[str,
     generated. ``generate`` adds ``answer`` to (id, prompt); an empty one raises. Answers that state a dose are replaced; cards that
     score near enough to the best are cited.
     """
-    # as the element of an array, the route is made once
-    routed = requests.select("*", F.explode(F.array(safety.route(F.col("message")))).alias("route"))
+    # as the element of an array, the route is made once a row; the table, once for the refusals, the search and the prompts
+    routed = cut(requests.select("*", F.explode(F.array(safety.route(F.col("message")))).alias("route")), "routed")
     known = F.create_map(*(F.lit(x) for kv in instead.items() for x in kv))
     outcome = F.when(F.col("route").isin("urgent", "self_harm"), "urgent").otherwise("refused")
     warning = F.lit(None).cast("string")

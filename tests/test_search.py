@@ -40,3 +40,20 @@ def test_items_are_tagged_once_an_item(spark, sf_dir):
     plan = answer_queries.jaccard_tags(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     join = next(i for i, line in enumerate(plan.split("\n")) if "Join" in line)
     assert any("item_tags" in line for line in plan.split("\n")[join + 1 :])
+
+
+def test_terms_are_counted_once_for_all_passes(spark, monkeypatch):
+    """Cards are read for their terms as often in one pass as in many, and a query without a known term finds nothing."""
+    made = []
+    stats = retrieval._term_stats
+    monkeypatch.setattr(retrieval, "_term_stats", lambda *a: made.append(1) or stats(*a))
+    cards = spark.createDataFrame(cards_of(60), "card_id long, title string, text string")
+    queries = spark.createDataFrame([(i, f"word{i} word{2 * i} unheard") for i in range(40)] + [(90, "unheard")], "query_id long, query string")
+    want = hits(retrieval.ranked(retrieval.scores(cards, queries), 3))
+    for most in (1 << 12, 3):
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+        spark.sparkContext.setJobGroup(f"most-{most}", "")
+        found = retrieval.best(cards, queries, 3)
+        made.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"most-{most}")))
+        assert hits(retrieval.ranked(found, 3)) == want and want
+    assert made[0] == made[2] == 1 and len(made) == 4
