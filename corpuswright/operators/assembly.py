@@ -41,8 +41,9 @@ def fact_rows(facts: DataFrame, templates: DataFrame) -> DataFrame:
     out = None
     for term in (False, True):
         kinds = F.col("kind").isin(*TERM_KINDS) if term else ~F.col("kind").isin(*TERM_KINDS)
-        made = fx.seen_rows(term) + fx.rag_only_rows(term) + fx.held_out_rows(term, INFERABLE)
-        spread = facts.where(kinds).select("entity", "kind", "name", "attribute", "answer", "gold", F.explode(F.array_compact(F.array(*made))).alias("r")).select("entity", "kind", "name", "attribute", "answer", "gold", "r.*")
+        by = F.col("__by")
+        made = fx.seen_rows(term, by) + fx.rag_only_rows(term, by) + fx.held_out_rows(term, INFERABLE)
+        spread = tx.once(facts.where(kinds), fx.drawn(term), "__by").select("entity", "kind", "name", "attribute", "answer", "gold", F.explode(F.array_compact(F.array(*made))).alias("r")).select("entity", "kind", "name", "attribute", "answer", "gold", "r.*")
         out = spread if out is None else out.unionByName(spread)
     key = F.concat_ws("|", "entity", "attribute")
     gold_id = F.when(F.col("open_book"), F.col("entity"))
@@ -233,8 +234,9 @@ def evaluation_rows(drafts: DataFrame, caps: DataFrame) -> tuple[DataFrame, Data
     counts.append(scored.groupBy("split").agg(F.sum(F.when(F.col("__ok"), 0).otherwise(1)).alias("n")).select("split", F.lit("unscorable").alias("reason"), "n"))
     fair = scored.where("__ok").drop("__ok")
     closed = fair.where("`group` IN ('unseen_closed', 'heldout_closed')")
-    # training text: every message of the row, as they are written
-    said = drafts.where("split = 'train'").select(F.explode(F.concat(F.transform("history", lambda m: m["content"]), F.array("question", "answer"))).alias("text"))
+    # training text: every message of the row, as they are written; all rows of a fact have one answer
+    train = drafts.where("split = 'train'")
+    said = train.select(F.explode(F.concat(F.transform("history", lambda m: m["content"]), F.array("question"))).alias("text")).unionByName(train.select(F.col("answer").alias("text")).distinct())
     hit = mentions.mentioned(closed.select(F.concat_ws("\x1f", "split", "id").alias("id"), "name"), said).distinct()
     hit = cut(hit, "mentioned")
     out = fair.withColumn("__key", F.concat_ws("\x1f", "split", "id")).join(hit.withColumnRenamed("id", "__key"), "__key", "left_anti").drop("__key")

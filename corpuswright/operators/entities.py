@@ -32,8 +32,14 @@ def _cleaned(rows: DataFrame, columns: dict[str, str], normalised: bool) -> Data
 
 
 def conditions(rows: DataFrame, normalised: bool = True) -> DataFrame:
-    """Kind ak: the first row of each name, whatever its case; unknown factors, systems and prognoses raise when used."""
-    first = splits.keep_first(_cleaned(rows, CONDITION_COLUMNS, normalised), F.lower("name"), "idx")
+    """Kind ak: the first row of each name, whatever its case; unknown factors, systems and prognoses raise when used.
+
+    The kept rows' numbers are found by the name alone; only rows with such a number are made in full.
+    """
+    narrow = {a: b for a, b in CONDITION_COLUMNS.items() if b == "name"}
+    found = cut(splits.first_indices(_cleaned(rows, narrow, normalised), F.lower("name"), "idx"), "first-conditions")
+    named = _cleaned(rows.join(small(found), "idx", "left_semi"), CONDITION_COLUMNS, normalised)
+    first = splits.keep_first(named, F.lower("name"), "idx")
     return first.select(F.concat(F.lit("ak-"), tx.slug(F.col("code"))).alias("id"), F.lit("ak").alias("kind"), *CONDITION_COLUMNS.values(), "idx")
 
 
@@ -70,7 +76,7 @@ def diagnoses(rows: DataFrame, terminology: DataFrame, normalised: bool = True)
     )
     refs = _terms(terminology, "term_id", "refn", normalised=normalised).where("NOT startswith(term_id, 'SAT')").select(F.col("term_id").alias("key"), "idx", F.col("refn").alias("ref"))
     referred = splits.with_fallback(shaped, refs, "raw_code", "code").drop("raw_code")
-    merged = splits.merge_twins(referred, "id", "idx", ["definition", "tm2", "reference", "devanagari"])
+    merged = cut(splits.merge_twins(referred, "id", "idx", ["definition", "tm2", "reference", "devanagari"]), "diagnoses")
     return splits.by_prefix(merged, "id", "code", "idx")
 
 
@@ -88,7 +94,7 @@ def terms(rows: DataFrame, normalised: bool = True) -> DataFrame:
         F.substring_index("code", ".", 1).alias("section"), "t_id", "parent_id", "idx",
     )
     kept = (F.col("name") != "") & ((F.col("english") != "") | (F.col("definition") != ""))
-    found = splits.by_section(shaped, "id", ("section", "t_id"), "parent_id", "idx", kept & F.contains("code", F.lit(".")))
+    found = splits.by_section(cut(shaped, "terms"), "id", ("section", "t_id"), "parent_id", "idx", kept & F.contains("code", F.lit(".")))
     return found.where(kept).drop("section", "t_id", "parent_id")
 
 
@@ -99,9 +105,13 @@ def grouped(entities: DataFrame) -> DataFrame:
 
 
 def with_parents(entities: DataFrame) -> DataFrame:
-    """Adds the parent's name, English name, code and definition (null without one) and whether it may be told: not if it is held out."""
+    """Adds the parent's name, English name, code and definition (null without one) and whether it may be told: not if it is held out.
+
+    Only entities that are parents meet the others; ``entities`` are read three times, so they should be a table.
+    """
     p = entities.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"), F.col("english").alias("parent_english"), F.col("code").alias("parent_code"), F.col("definition").alias("parent_definition"), F.col("group").alias("parent_group"))
-    joined = entities.join(p, "parent", "left")
+    told = small(cut(p.join(entities.select("parent").distinct(), "parent", "left_semi"), "parents"))
+    joined = entities.join(told, "parent", "left")
     return joined.withColumn("tell_parent", F.col("parent_name").isNotNull() & ~F.coalesce(F.col("parent_group").startswith("heldout"), F.lit(False)))
 
 

@@ -39,18 +39,32 @@ def _test_slot() -> Column:
     return TEST_SLOTS[0] + stable_int("test-slot", _key()) % 2
 
 
-def seen_rows(term: bool = False) -> list[Column]:
+def drawn(term: bool = False) -> Column:
+    """What a fact's rows are drawn by and use more than once: struct(slots, skip, open) of numbers by hash.
+
+    As a column of its own (cf. ``tx.once``) it is made once for all rows of the fact.
+    """
+    key, seen = _key(), F.col("group") == "seen"
+    slots = F.when(F.col("group") == "rag_only", slots_by_hash(TRAIN_SLOTS, "rag", key))
+    if term:
+        slots = slots.when(seen, slots_by_hash(TRAIN_SLOTS, "nm-slot", key))
+    skip = F.lit(None).cast("bigint") if term else F.when(seen, stable_int("skip", key) % 4)
+    return F.struct(slots.alias("slots"), skip.alias("skip"), F.when(seen, chance(TERM_OPEN_SHARE if term else OPEN_SHARE, "open", key)).alias("open"))
+
+
+def seen_rows(term: bool = False, by: Column | None = None) -> list[Column]:
     """Rows of a fact of a seen entity: closed, open or missed, validation and test."""
     key, seen = _key(), F.col("group") == "seen"
     closed = F.lit("seen_closed")
+    by = drawn(term) if by is None else by
     if term:
-        slots = slots_by_hash(TRAIN_SLOTS, "nm-slot", key)
+        slots = by["slots"]
         train = [_row("train", slots[i], "", False, F.col("group"), seen) for i in range(TERM_PHRASINGS)]
-        extra = [_row("train", slots[0], "open", True, F.col("group"), seen & chance(TERM_OPEN_SHARE, "open", key))]
+        extra = [_row("train", slots[0], "open", True, F.col("group"), seen & by["open"])]
     else:
-        skip = stable_int("skip", key) % 4
+        skip = by["skip"]
         train = [_row("train", F.lit(s), "", False, F.col("group"), seen & (skip != s)) for s in TRAIN_SLOTS]
-        opened = chance(OPEN_SHARE, "open", key)
+        opened = by["open"]
         extra = [
             _row("train", stable_int("open-slot", key) % 4, "open", True, F.col("group"), seen & opened),
             _row("train", stable_int("miss-slot", key) % 4, "miss", True, F.col("group"), seen & ~opened & chance(MISS_SHARE, "miss", key)),
@@ -59,9 +73,9 @@ def seen_rows(term: bool = False) -> list[Column]:
     return train + extra + later
 
 
-def rag_only_rows(term: bool = False) -> list[Column]:
+def rag_only_rows(term: bool = False, by: Column | None = None) -> list[Column]:
     """Open rows of a fact that is only trained with its entry at hand: two slots, or one for terms."""
-    slots = slots_by_hash(TRAIN_SLOTS, "rag", _key())
+    slots = (drawn(term) if by is None else by)["slots"]
     return [_row("train", slots[i], "open", True, F.col("group"), F.col("group") == "rag_only") for i in range(1 if term else 2)]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.hashing import entity_group, stable_int
+from ..shared import cut, small
 
 # Most rows kept of each (split, group, source); others are not capped.
 CAPS = (
@@ -39,6 +40,15 @@ def keep_best(df: DataFrame, key: Column, score: Column, index: str) -> DataFram
     return best.select("r.*")
 
 
+def first_indices(df: DataFrame, key: Column, index: str) -> DataFrame:
+    """The indices (a column as the index) of the rows that ``keep_first`` may keep by this order: the smallest one of each non-empty key.
+
+    Only key and index are read and hashed, cf. ``best_indices``.
+    """
+    keyed = df.select(key.alias("__key"), index).where(F.coalesce(F.col("__key"), F.lit("")) != "")
+    return keyed.groupBy("__key").agg(F.min(index).alias(index)).select(index).distinct()
+
+
 def best_indices(df: DataFrame, key: Column, score: Column, index: str) -> DataFrame:
     """The indices (a column as the index) of the rows that ``keep_best`` may keep: for each key the first one of the highest score.
 
@@ -50,9 +60,10 @@ def best_indices(df: DataFrame, key: Column, score: Column, index: str) -> DataF
 
 def merge_twins(df: DataFrame, key: str, index: str, filled: list[str]) -> DataFrame:
     """One row of each key, the first by index; its empty ``filled`` columns take the next value there is."""
-    first = [F.min_by(c, index).alias(c) for c in df.columns if c not in (key, index, *filled)]
+    others = [c for c in df.columns if c not in (key, index, *filled)]
+    first = F.min_by(F.struct(*others), index).alias("__first")
     fill = [F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col(index))), F.lit("")).alias(c) for c in filled]
-    return df.groupBy(key).agg(F.min(index).alias(index), *first, *fill)
+    return df.groupBy(key).agg(F.min(index).alias(index), first, *fill).select(key, index, *(F.col("__first")[c].alias(c) for c in others), *filled)
 
 
 def informativeness(*columns: str) -> Column:
@@ -84,22 +95,28 @@ def name_groups(df: DataFrame, name: str, namespace: str = "namaste:") -> DataFr
 
 
 def by_prefix(df: DataFrame, id_: str, code: str, index: str) -> DataFrame:
-    """Adds ``parent``: the first row whose code is this one's up to the last dot, or else the last hyphen."""
-    first = df.groupBy(code).agg(F.min_by(id_, index).alias("__pid"))
+    """Adds ``parent``: the first row whose code is this one's up to the last dot, or else the last hyphen.
+
+    Prefixes are few where rows are many: each distinct one finds its row, and only then rows meet their prefixes' rows.
+    """
+    prefixes = [F.when(F.instr(code, mark) > 0, F.expr(f"substring(`{code}`, 1, char_length(`{code}`) - instr(reverse(`{code}`), '{mark}'))")) for mark in (".", "-")]
+    wanted = df.select(F.explode(F.array_compact(F.array(*prefixes))).alias("__c")).distinct()
+    first = df.groupBy(F.col(code).alias("__c")).agg(F.min_by(id_, index).alias("__p"))
+    side = small(cut(first.join(wanted, "__c", "left_semi"), "prefixes"))
     out = df
-    for n, mark in enumerate((".", "-")):
-        prefix = F.when(F.instr(code, mark) > 0, F.expr(f"substring(`{code}`, 1, char_length(`{code}`) - instr(reverse(`{code}`), '{mark}'))"))
-        side = first.select(F.col(code).alias(f"__c{n}"), F.col("__pid").alias(f"__p{n}"))
-        out = out.withColumn(f"__k{n}", prefix).join(side, F.col(f"__k{n}") == F.col(f"__c{n}"), "left")
+    for n, prefix in enumerate(prefixes):
+        own = side.select(F.col("__c").alias(f"__c{n}"), F.col("__p").alias(f"__p{n}"))
+        out = out.withColumn(f"__k{n}", prefix).join(own, F.col(f"__k{n}") == F.col(f"__c{n}"), "left")
     not_self = [F.when(F.col(f"__p{n}") != F.col(id_), F.col(f"__p{n}")) for n in (0, 1)]
     return out.withColumn("parent", F.coalesce(*not_self)).drop("__k0", "__k1", "__c0", "__c1", "__p0", "__p1")
 
 
 def by_section(df: DataFrame, id_: str, keys: tuple[str, str], parent_key: str, index: str, usable: Column) -> DataFrame:
-    """Adds ``parent``: the last row with (section, own key) = (section, parent key), if usable and not itself."""
+    """Adds ``parent``: the last row with (section, own key) = (section, parent key), if usable and not itself; distinct keys first, cf. ``by_prefix``."""
     section, own = keys
-    last = df.groupBy(section, own).agg(F.max_by(F.struct(F.col(id_).alias("id"), usable.alias("ok")), index).alias("p"))
-    side = last.select(F.col(section).alias("__s"), F.col(own).alias("__o"), "p")
+    wanted = df.select(F.col(section).alias("__s"), F.col(parent_key).alias("__o")).distinct()
+    last = df.groupBy(F.col(section).alias("__s"), F.col(own).alias("__o")).agg(F.max_by(F.struct(F.col(id_).alias("id"), usable.alias("ok")), index).alias("p"))
+    side = small(cut(last.join(wanted, ["__s", "__o"], "left_semi"), "sections"))
     joined = df.join(side, (F.col(section) == F.col("__s")) & (F.col(parent_key) == F.col("__o")), "left")
     return joined.withColumn("parent", F.when(F.col("p.ok") & (F.col("p.id") != F.col(id_)), F.col("p.id"))).drop("__s", "__o", "p")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as an
 from ..functions import scoring
 from ..operators import assembly, corpus, entities, evaluation, splits
-from ..shared import cut, root
+from ..shared import cut, root, spread
 from ..sources import build
 from . import duck
 from .tables import table
@@ -89,23 +89,24 @@ _TERM = {
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
-    return table(spark, sf_dir, name).select(*(F.expr(e).alias(c) for c, e in columns.items()))
+    return spread(table(spark, sf_dir, name)).select(*(F.expr(e).alias(c) for c, e in columns.items()))
 
 
-def _made(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _made(spark: SparkSession, sf_dir: str, *kinds: str) -> dict[str, DataFrame]:
+    """Entities of the given kinds, or of all; others aren't made."""
     terminology = _source(spark, sf_dir, "customer", _TERM)
-    out = {
-        "ak": entities.conditions(_source(spark, sf_dir, "part", _CONDITION), normalised=False),
-        "ag": entities.diseases(_source(spark, sf_dir, "part", _DISEASE), normalised=False),
-        "nm": entities.diagnoses(_source(spark, sf_dir, "part", _DIAGNOSIS), terminology, normalised=False),
-        "sat": entities.terms(terminology, normalised=False),
+    makers = {
+        "ak": lambda: entities.conditions(_source(spark, sf_dir, "part", _CONDITION), normalised=False),
+        "ag": lambda: entities.diseases(_source(spark, sf_dir, "part", _DISEASE), normalised=False),
+        "nm": lambda: entities.diagnoses(_source(spark, sf_dir, "part", _DIAGNOSIS), terminology, normalised=False),
+        "sat": lambda: entities.terms(terminology, normalised=False),
     }
-    grouped = {k: entities.grouped(v) for k, v in out.items()}
+    grouped = {k: entities.grouped(make()) for k, make in makers.items() if not kinds or k in kinds}
     return {k: entities.with_parents(v) if k in ("nm", "sat") else v for k, v in grouped.items()}
 
 
 def _facts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows = entities.FACTS[kind](_made(spark, sf_dir)[kind])
+    rows = entities.FACTS[kind](_made(spark, sf_dir, kind)[kind])
     return rows.select("entity", "name", F.col("group").alias("split_group"), "place", "attribute", "answer", F.col("gold.type").alias("gold_type"), F.array_join("gold.values", "|").alias("vals"))
 
 
@@ -132,11 +133,11 @@ def entity_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modern_lookup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.modern_lookups(_made(spark, sf_dir)["ak"], _templates(spark)).select("split", "id", "entity", F.col("group").alias("grp"), "slot", "question", "answer", F.array_join("gold.values", "|").alias("vals"))
+    return assembly.modern_lookups(_made(spark, sf_dir, "ak")["ak"], _templates(spark)).select("split", "id", "entity", F.col("group").alias("grp"), "slot", "question", "answer", F.array_join("gold.values", "|").alias("vals"))
 
 
 def english_lookup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.english_lookups(_made(spark, sf_dir)["nm"], _templates(spark)).select("split", "id", "entity", F.col("group").alias("grp"), "slot", "question", "answer", F.array_join("gold.values", "|").alias("vals"))
+    return assembly.english_lookups(_made(spark, sf_dir, "nm")["nm"], _templates(spark)).select("split", "id", "entity", F.col("group").alias("grp"), "slot", "question", "answer", F.array_join("gold.values", "|").alias("vals"))
 
 
 _ATTRIBUTES = {
@@ -186,7 +187,7 @@ _TOLD = "I can't say. Texts describe {symptoms} as features of {name} ({modern})
 
 
 def diagnosis_prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assembly.diagnosis_rows(_made(spark, sf_dir)["ak"], _ASK, _TOLD, {"train": 150, "test": 15})
+    rows = assembly.diagnosis_rows(_made(spark, sf_dir, "ak")["ak"], _ASK, _TOLD, {"train": 150, "test": 15})
     return rows.select("split", "id", "question", "answer", "entity")
 
 
@@ -194,7 +195,7 @@ _FOLLOW = [(a, i, t) for a, texts in {"prognosis": ("Is it curable?", "And its p
 
 
 def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, templates = _made(spark, sf_dir), _templates(spark)
+    made, templates = {k: cut(v, k) for k, v in _made(spark, sf_dir).items()}, _templates(spark)
     facts = cut(entities.facts(made), "facts")
     follow = spark.createDataFrame(_FOLLOW, "attribute string, place int, follow string")
     out = assembly.fact_rows(facts, templates)
@@ -218,7 +219,7 @@ def assembled_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-turn conversations of seen conditions and diseases with a history."""
-    made = _made(spark, sf_dir)
+    made = _made(spark, sf_dir, "ak", "ag")
     follow = spark.createDataFrame(_FOLLOW, "attribute string, place int, follow string")
     facts = cut(entities.facts({k: made[k] for k in ("ak", "ag")}), "facts")
     rows = assembly.rows(assembly.follow_up_rows(facts, _templates(spark), follow, 500, "two-turn"))
@@ -227,7 +228,7 @@ def two_turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def open_book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of held-out diseases with the entries that retrieval finds for their questions."""
-    known = cut(_made(spark, sf_dir)["ag"], "diseases")
+    known = cut(_made(spark, sf_dir, "ag")["ag"], "diseases")
     cards = cut(entities.cards({"ag": known}, {"ag": "B"}), "cards")
     drafts = cut(assembly.fact_rows(entities.facts({"ag": known}), _templates(spark)).where("open_book"), "drafts")
     held = known.where("startswith(`group`, 'heldout')").select(F.col("id").alias("card_id"))
@@ -237,7 +238,7 @@ def open_book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _disease_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drafts, cards and entities of all diseases, with safety prompts."""
-    known, templates = cut(_made(spark, sf_dir)["ag"], "diseases"), _templates(spark)
+    known, templates = cut(_made(spark, sf_dir, "ag")["ag"], "diseases"), _templates(spark)
     follow = spark.createDataFrame(_FOLLOW, "attribute string, place int, follow string")
     facts = cut(entities.facts({"ag": known}), "facts")
     drafts = assembly.fact_rows(facts, templates).unionByName(assembly.follow_up_rows(facts, templates, follow, 500, "two-turn-ag"))

@@ -118,3 +118,55 @@ def test_diseases_are_made_once_and_found_by_few_columns(spark):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
     files = q.open_book_rows(spark, SF).inputFiles()
     assert files and not any("part.parquet" in f for f in files)
+
+
+def test_entities_of_a_corpus_are_made_once(spark, monkeypatch):
+    """What is drafted of entities reads the tables that were made, not their source; and one answer of a fact is scanned once."""
+    read, lookups, scanned, mentioned = [], assembly.english_lookups, [], assembly.mentions.mentioned
+    monkeypatch.setattr(assembly, "english_lookups", lambda d, t: read.append(d.inputFiles()) or lookups(d, t))
+    drafts = q._drafts(spark, SF)
+    assert read[0] and not any("part.parquet" in f or "customer.parquet" in f for f in read[0])
+    monkeypatch.setattr(assembly.mentions, "mentioned", lambda n, t: scanned.append(t) or mentioned(n, t))
+    assembly.evaluation_rows(drafts, splits.caps_table(spark))
+    train = drafts.where("split = 'train'")
+    told = {r.answer for r in train.select("answer").collect()}
+    said = [r.text for r in scanned[0].collect()]
+    assert set(said) == told | {r[0] for r in train.select("question").collect()} | {m for r in train.select(F.col("history.content")).collect() for m in r[0]}
+    assert len(said) == len(told) + train.agg(F.sum(1 + F.size("history"))).first()[0] < 2 * train.count()
+
+
+def test_conditions_are_found_by_their_names(spark):
+    columns, odd = list(entities.CONDITION_COLUMNS), ["Vata", " a  b ", "N/A", "", None, "é  X", "É x", "nan\n"]
+    rows = [(i, *(odd[(i * k + i // 5) % len(odd)] if k else f"{'aA'[i % 2]}{i % 11}{odd[i % 8] or ''}" if i % 7 else odd[i % 8] for k in range(len(columns)))) for i in range(150)]
+    source = spark.createDataFrame(rows, "idx int, " + ", ".join(f"`{c}` string" for c in columns))
+    plain = source.select("idx", *(entities.tx.clean(F.col(f"`{a}`")).alias(b) for a, b in entities.CONDITION_COLUMNS.items()))
+    want = splits.keep_first(plain, F.lower("name"), "idx")
+    got = entities.conditions(source, normalised=False)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and 5 < got.count() < 150
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parents_of_hot_prefixes_and_terms_of_odd_cells(spark):
+    """Many rows of one prefix meet its row by a broadcast of what the prefixes have, and cells are cleaned as the long way cleans them."""
+    rows = [(f"i{i}", f"A-{i % 3}" if i < 6 else f"A-{i % 3}.{i}" if i % 4 else "A" if i % 8 else None, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, code string, idx int")
+    first = {c: i for i, c, _ in reversed(rows)}
+
+    def parent(i, code):
+        own = [first.get(code.rpartition(m)[0]) for m in ".-" if m in code] if code else []
+        return next((p for p in own if p and p != i), None)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = splits.by_prefix(df, "id", "code", "idx")
+        assert {r.id: r.parent for r in got.collect()} == {i: parent(i, c) for i, c, _ in rows}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tx, odd = entities.tx, ["a", "", None, " a", "a ", "a  b", "a\tb", " ", "a b", "x⇒y", "#san@guṇa# of", "#san@a", "a b", "vāta-x 1", "None", "null ", "\x85na", "a\x1cb", "\x0b", "-", "a#b"]
+    cells = spark.createDataFrame([(x,) for x in odd], "x string")
+    t = tx.squeeze(F.regexp_replace(F.translate(F.coalesce("x", F.lit("")), " ⇒", "  "), "#san@([^#]+)#", "$1"))
+    want = F.when(F.lower(t).isin(*tx.TERM_NULL_WORDS), "").otherwise(t)
+    assert cells.where(tx.clean_term(F.col("x")) != want).isEmpty()
+    assert cells.where(~F.col("x").rlike(tx._UNEVEN_TERM)).count() == 5  # words and signs that are even already
