@@ -107,12 +107,13 @@ def _packed(words: Column) -> Column:
 
 
 def _scan_texts(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each text by itself; the numbers of the names found in a task."""
+    """Each folded text by itself; the numbers of the names found in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, seen, found = sent.value, set(), set()
         for text in (b.column("text").slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            ids, starts = automaton.numbers(text)
+            # a space at an end makes an empty word, which no name has
+            ids, starts = automaton.numbers(pc.replace_substring_regex(text, "[^a-z0-9]+", " "))
             # of words that no name has, one stands for all in a row; so does the border of two texts
             known = ids >= 0
             keep = known.copy()
@@ -181,13 +182,14 @@ def mentioned(needles: DataFrame, texts: DataFrame, shortest: int = 4, order: tu
     size = F.size(F.split("run", " "))
     runs = wanted.select("run").distinct()
     total, longest = runs.agg(F.sum(size), F.max(size)).first()
+    folded = texts.select(tx.fold(F.coalesce("text", F.lit(""))).alias("text"))
     worded = texts.select(*order, F.explode(F.array(_packed(F.coalesce("text", F.lit(""))))).alias("text"))
     found, groups = None, max(1, -(-(total or 0) // most_words))
     for g in range(groups if total else 0):
         names = [r["run"] for r in runs.where(F.pmod(F.xxhash64("run"), F.lit(groups)) == g).collect()]  # its words are bounded
         automaton = Automaton([x.split(" ") for x in names])
         sent = spark.sparkContext.broadcast(automaton)
-        hits = worded.select("text").mapInArrow(_scan_texts(sent), "name long")
+        hits = folded.mapInArrow(_scan_texts(sent), "name long")
         if order and longest > 1:
             hits = hits.unionByName(_across(automaton, sent, worded, order, longest - 1))
         listed = spark.createDataFrame(list(enumerate(names)), "name long, run string")

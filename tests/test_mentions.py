@@ -89,3 +89,15 @@ def test_a_task_numbers_few_texts_at_once(monkeypatch):
     got = [x for b in mentions._scan_texts(SimpleNamespace(value=automaton))(iter([pa.record_batch([texts], ["text"])])) for x in b.column("name").to_pylist()]
     assert got == [8] and max(sizes) <= 512 and sum(sizes) == len(texts)
     assert len(pickle.dumps([automaton.ends, automaton.fail, automaton.shorter])) < 10_001 * 3 * 4 + 1000  # four bytes a state
+
+
+def test_scanned_texts_are_folded_only(spark):
+    """Words of texts stand apart by anything but letters and digits, marks, other scripts and zero bytes too; no pattern runs over them in a plan."""
+    names = [(i, n) for i, n in enumerate(("Red Stone", "stone wall", "äöü ß1", "wall red", "blue wall"))]
+    texts = ["a\x00Red\x00STONE", "...stone\n\n(wall)!", "Äöü—ß1", "стена wall", "red", "", None, " wall", "blue"]
+    needles = spark.createDataFrame(names, "id long, name string")
+    found = mentions.mentioned(needles, spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(r.id for r in found.distinct().collect()) == [0, 1, 2]
+    scan = found._jdf.queryExecution().optimizedPlan().toString()
+    folded = scan[scan.index("MapInArrow") :]
+    assert "[^a-z0-9]+" not in folded
